@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from .files import opened, place
@@ -88,7 +89,7 @@ def _pixels(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _has_alpha(
     width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series
 ) -> pd.Series:
@@ -100,7 +101,7 @@ def _has_alpha(
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _color_count(
     width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series
 ) -> pd.Series:
