@@ -109,7 +109,8 @@ def reconcile(
 
 def expected_manifest(before: DataFrame, renames: DataFrame) -> DataFrame:
     """``before`` as it should look once ``renames`` are applied."""
-    named = before.join(renames, ["container", "part_name"], "left")
+    known = renames.select("container", "part_name", "new_part_name")
+    named = before.join(known, ["container", "part_name"], "left")
     return named.withColumn("renamed", F.col("new_part_name").isNotNull()).withColumn(
         "part_name", F.coalesce("new_part_name", "part_name")
     ).drop("new_part_name")

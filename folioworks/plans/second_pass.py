@@ -117,7 +117,11 @@ def run_second_pass(
     extensions = jpeg_extension(types, workable)
     converted = decided.filter("accepted").select("container", "ordinal", "part_name")
     named = assign_names(converted.join(extensions, "container"), parts)
-    renames = written(named, f"{run}/renames")
+    by_ordinal = written(named, f"{run}/renames")
+    # References know parts by name; a name entered twice means its last entry.
+    renames = by_ordinal.groupBy("container", "part_name").agg(
+        F.max_by("new_part_name", "ordinal").alias("new_part_name")
+    )
     touched = renames.select("container").distinct()
     broken_rels = bad_xml.filter(F.col("part_name") != fv.CONTENT_TYPES_PART).join(
         touched, "container", "left_semi"
@@ -131,7 +135,7 @@ def run_second_pass(
     images = decided.filter("accepted").select(
         "container", "ordinal", F.lit(None).cast("string").alias("new_part_name"), "new_content"
     )
-    new_names = renames.select(
+    new_names = by_ordinal.select(
         "container",
         F.col("ordinal").cast("int").alias("ordinal"),
         "new_part_name",
@@ -210,7 +214,11 @@ def run_second_pass(
         )
         .unionByName(decided.select(*DECISION_COLUMNS))
         .join(halted.distinct(), "container", "left_anti")
-        .join(renames.select("container", "ordinal", "new_part_name"), ["container", "ordinal"], "left")
+        .join(
+            by_ordinal.select("container", "ordinal", "new_part_name"),
+            ["container", "ordinal"],
+            "left",
+        )
     )
     decisions = written(decisions, f"{run}/decisions")
     results = out.with_package_sizes(
