@@ -30,7 +30,7 @@ _TYPES = (
 
 def plain_xml(content: str) -> Column:
     """Text of an XML part without byte-order mark and element prefixes."""
-    text = F.ltrim(F.decode(content, "UTF-8"), F.lit("﻿"))
+    text = F.ltrim(F.col(content).cast("string"), F.lit("\ufeff"))
     return F.regexp_replace(text, _ELEMENT_PREFIX, "$1")
 
 
@@ -102,7 +102,8 @@ def malformed(xml_with_content: DataFrame) -> DataFrame:
     types = F.from_xml(text, _TYPES)["_corrupt_record"]
     rels = F.from_xml(text, _RELS)["_corrupt_record"]
     bad = F.when(F.col("part_name") == fv.CONTENT_TYPES_PART, types).otherwise(rels)
-    return xml_with_content.filter(bad.isNotNull()).select("container", "ordinal", "part_name")
+    garbled = ~F.is_valid_utf8(F.col("content").cast("string"))
+    return xml_with_content.filter(bad.isNotNull() | garbled).select("container", "ordinal", "part_name")
 
 
 def structure_counts(

@@ -53,8 +53,8 @@ def named_containers(files: DataFrame, suffix: str) -> DataFrame:
 def list_containers(spark: SparkSession, folder: str, suffix: str = ".docx") -> DataFrame:
     """The packages directly in ``folder``, without reading any of them.
 
-    Files whose names start with ``_`` or ``.`` are hidden from Spark's file
-    sources and so not listed.
+    Spark's file sources pass over empty files and over names that start with
+    ``_`` or ``.``, so those are not listed.
     """
     files = (
         spark.read.format("binaryFile")
