@@ -46,7 +46,8 @@ def column_codes(headers: DataFrame) -> list[str]:
     explicit choice of codes where devices have more between them.
     """
     limit = int(headers.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    found = rd.header_codes(headers).select("code").distinct().limit(limit + 1).collect()
+    codes = headers.select(F.explode("codes").alias("code")).distinct()
+    found = codes.limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"headers name more than {limit} codes; choose the columns")
     return sorted(row.code for row in found)
