@@ -71,9 +71,9 @@ def noise(height: int, width: int, channels: int = 3, seed: int = 0) -> np.ndarr
     )
 
 
-def exact_colors(count: int) -> bytes:
+def exact_colors(count: int, side: int = 0) -> bytes:
     """A PNG with exactly ``count`` colours."""
-    side = int(np.ceil(np.sqrt(count)))
+    side = max(side, int(np.ceil(np.sqrt(count))))
     numbers = np.minimum(np.arange(side * side), count - 1).reshape(side, side)
     pixels = np.stack([numbers & 255, numbers >> 8, np.zeros_like(numbers)], -1)
     return png_bytes(pixels.astype(np.uint8))
