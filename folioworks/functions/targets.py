@@ -33,7 +33,7 @@ def _normalised(path: Column) -> Column:
 
     start = F.lit([]).cast("array<string>")
     joined = F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
-    return F.when(joined == "", F.lit(".")).otherwise(joined)
+    return F.regexp_replace(joined, r"^\z", ".")
 
 
 def resolve_target(rels_path: ColumnOrName, target: ColumnOrName) -> Column:
@@ -44,10 +44,9 @@ def resolve_target(rels_path: ColumnOrName, target: ColumnOrName) -> Column:
     """
     t = col(target)
     owner = _folder(_folder(col(rels_path)))
-    joined = F.when(owner == "", t).otherwise(F.concat(owner, F.lit("/"), t))
-    return F.when(t.startswith("/"), F.ltrim(t, F.lit("/"))).otherwise(
-        _normalised(joined)
-    )
+    # Normalising drops the empty segment an empty owner leaves.
+    relative = _normalised(F.concat(owner, F.lit("/"), t))
+    return F.when(t.startswith("/"), F.ltrim(t, F.lit("/"))).otherwise(relative)
 
 
 def rewrite_target(target: ColumnOrName, new_part: ColumnOrName) -> Column:

@@ -31,7 +31,8 @@ def assign_names(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
     A candidate alone with its root whose plain name is free gets it at once.
     The others, usually few, are sorted by (container, root, archive order) and
-    walked in that order; a task holds the names of one root at a time.
+    walked in that order.  A task holds the names of one root at a time, never
+    more than the directory of one archive, which opening it loads as well.
     """
     keys = ["container", "_root"]
     named = candidates.select(

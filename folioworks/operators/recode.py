@@ -13,7 +13,7 @@ from ..functions import ext
 from ..functions.formats import format_mismatch, not_png
 from ..settings import DEFAULTS, Settings
 from ..sources.files import opened
-from ..sources.packages import Batches, by_package_slice, open_zip, read_member, read_parts
+from ..sources.packages import Batches, Share, by_package_slice, open_zip, read_member, read_parts
 from .classify import accept
 
 Codec = Callable[[bytes, str], bytes]
@@ -28,7 +28,7 @@ _RECODED = (
 _RECODED_COLUMNS = [field.split()[0] for field in _RECODED.split(", ")]
 
 
-def recode(parts: DataFrame, codec: Codec, members_per_task: int = 64) -> DataFrame:
+def recode(parts: DataFrame, codec: Codec, share: Share = Share()) -> DataFrame:
     """Apply ``codec(content, part_name)`` to each part.
 
     Parts are read, recoded and dropped one by one where they are; only a
@@ -61,7 +61,7 @@ def recode(parts: DataFrame, codec: Codec, members_per_task: int = 64) -> DataFr
             yield batch.take()
 
     rows = parts.select("container", "path", "ordinal", "part_name")
-    return by_package_slice(rows, members_per_task).mapInPandas(run, _RECODED)
+    return by_package_slice(rows, share).mapInPandas(run, _RECODED)
 
 
 def decide(recoded: DataFrame, mode: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -77,11 +77,9 @@ def decide(recoded: DataFrame, mode: str, settings: Settings = DEFAULTS) -> Data
     )
 
 
-def check_formats(
-    candidates: DataFrame, mode: str, members_per_task: int = 64
-) -> DataFrame:
+def check_formats(candidates: DataFrame, mode: str, share: Share = Share()) -> DataFrame:
     """Add ``format_reason`` from the first bytes of each candidate."""
-    heads = read_parts(candidates, members_per_task, first_bytes=32)
+    heads = read_parts(candidates, share, first_bytes=32)
     if mode == "recompress":
         why = format_mismatch("content", ext("part_name"))
     else:

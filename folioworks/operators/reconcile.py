@@ -18,6 +18,7 @@ from pyspark.sql import Window
 from .. import fixed_values as fv
 from ..functions import is_media, resolve_target, rewrite_target
 from ..functions.columns import py_list
+from .skew import spread_join
 
 VIOLATION_COLUMNS = ("container", "rule_no", "ordinal", "subject", "message")
 
@@ -248,7 +249,9 @@ def diff_relationships(
         "part_name", resolve_target("rels_path", F.col("before.target"))
     )
     known = renames.select("container", "part_name", "new_part_name")
-    looked_up = paired.join(known, ["container", "part_name"], "left")
+    looked_up = spread_join(
+        paired, known, ["container", "part_name"], "left", ["rels_path", "rel_id"]
+    )
     b, a = F.col("before"), F.col("after")
     expected = rewrite_target(b["target"], "new_part_name")
     rid = F.col("rel_id")

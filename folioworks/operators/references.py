@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import is_internal, resolve_target, rewrite_target
+from .skew import spread_join
 
 
 def rewrite_references(
@@ -14,16 +15,20 @@ def rewrite_references(
 ) -> DataFrame:
     """Add ``new_target`` and ``changed``: image references to renamed parts.
 
-    References that cannot be rewritten carry no lookup key and pass the join
-    untouched; adaptive execution picks its strategy from the actual sizes.
+    References that cannot be rewritten get keys of their own, which no part
+    has (names hold no NUL), so that they spread over all tasks like the rest.
     """
     eligible = F.col("rel_type").eqNullSafe(F.lit(image_type)) & is_internal("target")
     keyed = rels.withColumn(
-        "part_name", F.when(eligible, resolve_target("rels_path", "target"))
+        "part_name",
+        F.when(eligible, resolve_target("rels_path", "target")).otherwise(
+            F.concat(F.lit("\0"), F.col("pos").cast("string"))
+        ),
     )
     known = renames.select("container", "part_name", "new_part_name")
+    keys = ["container", "part_name"]
     return (
-        keyed.join(known, ["container", "part_name"], "left")
+        spread_join(keyed, known, keys, "left", ["rels_path", "pos"])
         .withColumn("changed", F.col("new_part_name").isNotNull())
         .withColumn(
             "new_target",

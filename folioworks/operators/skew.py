@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from ..session import width
 
 
+def of_containers(rows: DataFrame, containers: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the given containers (or, with ``left_anti``, of the others).
+
+    ``rows`` are parts or the like, numbered by ``ordinal`` within a container;
+    one container may own a third of them.
+    """
+    return spread_join(
+        rows, containers.select("container").distinct(), ["container"], how, ["ordinal"]
+    )
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,

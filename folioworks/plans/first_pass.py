@@ -12,10 +12,18 @@ from ..operators import outcomes as out
 from ..operators import reconcile as rec
 from ..operators.classify import classify_parts, missing_required
 from ..operators.recode import DECISION_COLUMNS, Codec, check_formats, decide, recode
-from ..session import scratch_dir, written
+from ..operators.skew import of_containers
+from ..session import scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
 from ..sources.package_xml import structure_counts
-from ..sources.packages import check_parts, explode_parts, list_containers, readable, unreadable
+from ..sources.packages import (
+    Share,
+    check_parts,
+    explode_parts,
+    list_containers,
+    readable,
+    unreadable,
+)
 from .publish import publish, remove_folder, write_packages
 
 EXCEPTION = "exceção durante o processamento:\n"
@@ -51,10 +59,10 @@ def undecided(parts: DataFrame, reason: str) -> DataFrame:
 
 
 def structure_violations(
-    containers: DataFrame, parts: DataFrame, after: DataFrame
+    containers: DataFrame, parts: DataFrame, after: DataFrame, share: Share
 ) -> tuple[DataFrame, DataFrame]:
     """The counts of the originals, and what differs or cannot be counted."""
-    before_counts, after_counts = structure_counts(parts), structure_counts(after)
+    before_counts, after_counts = structure_counts(parts, share), structure_counts(after, share)
     uncountable = before_counts.unionByName(after_counts).filter(F.col("problem").isNotNull())
     no_main = missing_required(containers, parts, fv.MAIN_PART)
     found = rec.all_violations(
@@ -93,35 +101,38 @@ def run_first_pass(
     that run Python or touch files are written once; the rest stays lazy.
     """
     run = scratch_dir(spark)
-    slice_size = settings.members_per_task
     staging = f"{target.rstrip('/')}/_staging-{run.rpartition('-')[2]}"
     if containers is None:
         containers = list_containers(spark, source, settings.suffix)
     containers = written(containers, f"{run}/containers")
+    tasks = tasks_for(containers)
+    share = Share(settings.members_per_task, tasks)
 
-    scanned = written(explode_parts(containers), f"{run}/scanned")
+    scanned = written(explode_parts(containers, tasks), f"{run}/scanned")
     parts = readable(scanned)
     classified = classify_parts(parts, settings)
     checked = written(
         check_formats(
-            classified.filter(F.col("disposition") == "candidate"), "recompress", slice_size
+            classified.filter(F.col("disposition") == "candidate"), "recompress", share
         ),
         f"{run}/checked",
     )
-    recoded = recode(checked.filter(F.col("format_reason").isNull()), codec, slice_size)
-    decided = written(decide(recoded, "recompress", settings), f"{run}/decided")
+    recoded = recode(checked.filter(F.col("format_reason").isNull()), codec, share)
+    decided = written(
+        decide(recoded, "recompress", settings), f"{run}/decided", large_rows=True
+    )
 
     whole = containers.join(unreadable(scanned), "container", "left_anti")
     replacements = decided.filter("accepted").select(
         "container", "ordinal", F.col("part_name").alias("new_part_name"), "new_content"
     )
-    staged = written(write_packages(whole, replacements, staging), f"{run}/staged")
+    staged = written(write_packages(whole, replacements, staging, tasks), f"{run}/staged")
     complete = staged.filter(F.col("problem").isNull())
-    rescanned = written(explode_parts(complete), f"{run}/rescanned")
+    rescanned = written(explode_parts(complete, tasks), f"{run}/rescanned")
     after = readable(rescanned)
-    before = parts.join(complete.select("container"), "container", "left_semi")
+    before = of_containers(parts, complete)
 
-    counts, structure = structure_violations(complete, before, after)
+    counts, structure = structure_violations(complete, before, after, share)
     counts = written(counts, f"{run}/counts")
     violations = written(
         rec.all_violations(
@@ -129,7 +140,7 @@ def run_first_pass(
             unprocessable(staged, "problem"),
             unprocessable(decided, "problem"),
             rec.violation(unreadable(rescanned), rec.RULE_CHECKSUM, F.lit(fv.BAD_CHECKSUM)),
-            rec.checksum_violations(check_parts(after, slice_size)),
+            rec.checksum_violations(check_parts(after, share)),
             rec.manifest_violations(before, after),
             structure,
         ),
@@ -140,7 +151,7 @@ def run_first_pass(
         staged.select("container", F.col("path").alias("staged")), "container", "left"
     )
     judged = written(judged, f"{run}/judged")
-    published = written(publish(judged, target), f"{run}/published")
+    published = written(publish(judged, target, tasks), f"{run}/published")
     remove_folder(staging)
 
     stopped = violations.filter(F.col("rule_no") == rec.RULE_READABLE).select("container")
@@ -148,9 +159,9 @@ def run_first_pass(
         undecided(classified.filter(F.col("disposition") == "kept"), "reason")
         .unionByName(undecided(checked.filter(F.col("format_reason").isNotNull()), "format_reason"))
         .unionByName(decided.select(*DECISION_COLUMNS))
-        .join(stopped.distinct(), "container", "left_anti")
     )
-    decisions = written(decisions, f"{run}/decisions")
+    decisions = written(of_containers(decisions, stopped, "left_anti"), f"{run}/decisions")
+    remove_folder(f"{run}/decided")
     results = out.with_package_sizes(
         containers,
         out.outcomes(decisions),
@@ -160,5 +171,5 @@ def run_first_pass(
     )
     facts = rec.media_counts(parts).join(counts.drop("problem"), "container", "left")
     results = written(results.join(facts, "container", "left"), f"{run}/outcomes")
-    published_parts = readable(written(explode_parts(published), f"{run}/published_parts"))
+    published_parts = readable(written(explode_parts(published, tasks), f"{run}/published_parts"))
     return PassResult(results, out.detail_lines(decisions), violations, published_parts)

@@ -17,11 +17,12 @@ from ..session import width
 from ..sources.files import copy_file, locate, open_seekable, place
 from ..sources.packages import DAMAGED
 
+_HEAD = -1  # ordinal of the row that opens a package
 _WRITTEN = "container string, path string, length long, problem string"
 
 
 def write_packages(
-    containers: DataFrame, replacements: DataFrame, folder: str, ways: int | None = None
+    containers: DataFrame, replacements: DataFrame, folder: str, tasks: int | None = None
 ) -> DataFrame:
     """Write each package again with its replaced parts.
 
@@ -33,12 +34,15 @@ def write_packages(
     members are copied in blocks, in archive order, and the replacements arrive
     sorted and one at a time, so memory does not grow with the package.  Where
     ``path`` is null the package consists of its replacements alone.
+    Replacements of containers that are not listed are passed over.
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = chain.from_iterable(f.itertuples(index=False, name=None) for f in frames)
         for container, group in groupby(rows, key=lambda row: row[0]):
-            source = next(group)[1]
+            _, source, ordinal, _, _ = next(group)
+            if ordinal != _HEAD:
+                continue  # replacements of a package that is not to be written
             target = f"{folder}/{container}"
             length, problem = None, None
             try:
@@ -55,7 +59,7 @@ def write_packages(
     heads = containers.select(
         "container",
         "path",
-        F.lit(-1).alias("ordinal"),
+        F.lit(_HEAD).alias("ordinal"),
         none.cast("string").alias("new_part_name"),
         none.cast("binary").alias("new_content"),
     )
@@ -68,7 +72,7 @@ def write_packages(
     )
     return (
         heads.unionByName(bodies)
-        .repartition(ways or width(heads.sparkSession), "container")
+        .repartition(tasks or width(heads.sparkSession), "container")
         .sortWithinPartitions("container", "ordinal")
         .mapInPandas(write, _WRITTEN)
     )
@@ -116,7 +120,7 @@ def _fill(out, source: str | None, replacements: Iterator[tuple]) -> None:
                         shutil.copyfileobj(part, copy, fv.COPY_BLOCK)
 
 
-def publish(judged: DataFrame, folder: str) -> DataFrame:
+def publish(judged: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
     """Put each container's chosen version into ``folder``.
 
     ``judged``: ``container, path, staged, version``.  The new version is
@@ -139,7 +143,7 @@ def publish(judged: DataFrame, folder: str) -> DataFrame:
             )
 
     rows = judged.select("container", "path", "staged", "version")
-    return rows.repartition(width(rows.sparkSession), "container").mapInPandas(
+    return rows.repartition(tasks or width(rows.sparkSession), "container").mapInPandas(
         place_all, "container string, path string, length long"
     )
 

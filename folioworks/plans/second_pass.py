@@ -16,7 +16,8 @@ from ..operators.classify import candidates, missing_required, only_large
 from ..operators.naming import assign_names
 from ..operators.recode import DECISION_COLUMNS, Codec, check_formats, decide, recode
 from ..operators.references import jpeg_extension, missing_defaults, rewrite_references
-from ..session import scratch_dir, written
+from ..operators.skew import of_containers, spread_join
+from ..session import scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
 from ..sources.images import image_profile, pixel_flags, read_images, stage_images
 from ..sources.package_xml import (
@@ -27,6 +28,7 @@ from ..sources.package_xml import (
     rels_parts,
 )
 from ..sources.packages import (
+    Share,
     check_parts,
     explode_parts,
     list_containers,
@@ -55,18 +57,19 @@ def run_second_pass(
     ``large_only`` packages up to ``settings.alert_bytes`` are left out.
     """
     run = scratch_dir(spark)
-    slice_size = settings.members_per_task
     staging = f"{target.rstrip('/')}/_staging-{run.rpartition('-')[2]}"
     if containers is None:
         containers = list_containers(spark, source, settings.suffix)
     if large_only:
         containers = only_large(containers, settings.alert_bytes)
     containers = written(containers, f"{run}/containers")
+    tasks = tasks_for(containers)
+    share = Share(settings.members_per_task, tasks)
 
-    scanned = written(explode_parts(containers), f"{run}/scanned")
+    scanned = written(explode_parts(containers, tasks), f"{run}/scanned")
     parts = readable(scanned)
     xml = rels_parts(parts).unionByName(content_types_parts(parts))
-    xml = written(read_parts(xml, slice_size), f"{run}/xml")
+    xml = written(read_parts(xml, share), f"{run}/xml")
     rels = relationships(rels_parts(xml))
     types = content_types(content_types_parts(xml))
     whole = containers.join(unreadable(scanned), "container", "left_anti")
@@ -90,12 +93,12 @@ def run_second_pass(
     workable = whole.join(stopped.select("container").distinct(), "container", "left_anti")
 
     # Which candidates to convert.
-    wanted = candidates(parts, fv.PNG_EXTENSIONS, settings.min_part_bytes).join(
-        workable.select("container"), "container", "left_semi"
+    wanted = of_containers(
+        candidates(parts, fv.PNG_EXTENSIONS, settings.min_part_bytes), workable
     )
-    checked = written(check_formats(wanted, "convert", slice_size), f"{run}/checked")
+    checked = written(check_formats(wanted, "convert", share), f"{run}/checked")
     png = checked.filter(F.col("format_reason").isNull())
-    staged_png = written(stage_images(png, f"{run}/png", slice_size), f"{run}/png_keys")
+    staged_png = written(stage_images(png, f"{run}/png", share), f"{run}/png_keys")
     flags = pixel_flags(_images(spark, f"{run}/png", staged_png), settings.min_colors)
     why = (
         F.when(~F.col("decodable"), F.format_string(fv.KEPT_ERROR_PNG, F.lit(_UNDECODABLE)))
@@ -110,17 +113,20 @@ def run_second_pass(
     )
     judged_png = written(judged_png, f"{run}/judged_png")
     photos = judged_png.filter(F.col("pixel_reason").isNull())
-    recoded = recode(photos, codec, slice_size)
-    decided = written(decide(recoded, "convert", settings), f"{run}/decided")
+    recoded = recode(photos, codec, share)
+    decided = written(decide(recoded, "convert", settings), f"{run}/decided", large_rows=True)
+    remove_folder(f"{run}/png")
 
     # New names, and everything that must follow them.
     extensions = jpeg_extension(types, workable)
     converted = decided.filter("accepted").select("container", "ordinal", "part_name")
-    named = assign_names(converted.join(extensions, "container"), parts)
+    extended = spread_join(converted, extensions, ["container"], "inner", ["ordinal"])
+    named = assign_names(extended, parts)
     by_ordinal = written(named, f"{run}/renames")
     # References know parts by name; a name entered twice means its last entry.
     renames = by_ordinal.groupBy("container", "part_name").agg(
-        F.max_by("new_part_name", "ordinal").alias("new_part_name")
+        F.max_by("new_part_name", "ordinal").alias("new_part_name"),
+        F.max("ordinal").alias("ordinal"),
     )
     touched = renames.select("container").distinct()
     broken_rels = bad_xml.filter(F.col("part_name") != fv.CONTENT_TYPES_PART).join(
@@ -141,30 +147,27 @@ def run_second_pass(
         "new_part_name",
         F.lit(None).cast("binary").alias("new_content"),
     )
-    replacements = (
-        images.unionByName(new_names)
-        .unionByName(edited_xml(xml, rels, types, renames, extensions))
-        .join(to_write.select("container"), "container", "left_semi")
+    replacements = images.unionByName(new_names).unionByName(
+        edited_xml(xml, rels, types, renames, extensions)
     )
-    staged = written(write_packages(to_write, replacements, staging), f"{run}/staged")
+    staged = written(write_packages(to_write, replacements, staging, tasks), f"{run}/staged")
 
     # Proof.
     complete = staged.filter(F.col("problem").isNull())
-    rescanned = written(explode_parts(complete), f"{run}/rescanned")
+    rescanned = written(explode_parts(complete, tasks), f"{run}/rescanned")
     after = readable(rescanned)
     after_xml = rels_parts(after).unionByName(content_types_parts(after))
-    after_xml = written(read_parts(after_xml, slice_size), f"{run}/after_xml")
-    ready = complete.select("container")
-    before = parts.join(ready, "container", "left_semi")
-    moved = renames.join(ready, "container", "left_semi")
-    counts, structure = structure_violations(complete, before, after)
+    after_xml = written(read_parts(after_xml, share), f"{run}/after_xml")
+    before = of_containers(parts, complete)
+    moved = of_containers(renames, complete)
+    counts, structure = structure_violations(complete, before, after, share)
     counts = written(counts, f"{run}/counts")
     new_images = after.join(
         moved.select("container", F.col("new_part_name").alias("part_name")),
         ["container", "part_name"],
         "left_semi",
     )
-    keys = written(stage_images(new_images, f"{run}/jpeg", slice_size), f"{run}/jpeg_keys")
+    keys = written(stage_images(new_images, f"{run}/jpeg", share), f"{run}/jpeg_keys")
     undecodable = keys.join(
         _profile(spark, f"{run}/jpeg", keys).filter(~F.col("decodable")), "image_key"
     ).join(after.select("container", "ordinal", "part_name"), ["container", "ordinal"])
@@ -174,7 +177,7 @@ def run_second_pass(
             stopped_late,
             unprocessable(staged, "problem"),
             rec.violation(unreadable(rescanned), rec.RULE_CHECKSUM, F.lit(fv.BAD_CHECKSUM)),
-            rec.checksum_violations(check_parts(after, slice_size)),
+            rec.checksum_violations(check_parts(after, share)),
             rec.manifest_violations_renamed(before, after, moved),
             rec.violation(
                 undecodable,
@@ -185,12 +188,16 @@ def run_second_pass(
             ),
             unprocessable(malformed(after_xml), "part_name"),
             rec.diff_relationships(
-                rels.join(ready, "container", "left_semi"),
+                of_containers(rels.withColumnRenamed("pos", "ordinal"), complete).withColumnRenamed(
+                    "ordinal", "pos"
+                ),
                 relationships(rels_parts(after_xml)),
                 moved,
             ),
             rec.diff_content_types(
-                types.join(ready, "container", "left_semi"),
+                of_containers(types.withColumnRenamed("pos", "ordinal"), complete).withColumnRenamed(
+                    "ordinal", "pos"
+                ),
                 content_types(content_types_parts(after_xml)),
                 moved,
             ),
@@ -203,7 +210,7 @@ def run_second_pass(
         staged.select("container", F.col("path").alias("staged")), "container", "left"
     )
     judged = written(judged, f"{run}/judged")
-    published = written(publish(judged, target), f"{run}/published")
+    published = written(publish(judged, target, tasks), f"{run}/published")
     remove_folder(staging)
 
     halted = violations.filter(F.col("rule_no") == rec.RULE_READABLE).select("container")
@@ -213,7 +220,9 @@ def run_second_pass(
             undecided(judged_png.filter(F.col("pixel_reason").isNotNull()), "pixel_reason")
         )
         .unionByName(decided.select(*DECISION_COLUMNS))
-        .join(halted.distinct(), "container", "left_anti")
+    )
+    decisions = (
+        of_containers(decisions, halted, "left_anti")
         .join(
             by_ordinal.select("container", "ordinal", "new_part_name"),
             ["container", "ordinal"],
@@ -221,6 +230,8 @@ def run_second_pass(
         )
     )
     decisions = written(decisions, f"{run}/decisions")
+    remove_folder(f"{run}/decided")
+    remove_folder(f"{run}/jpeg")
     results = out.with_package_sizes(
         containers,
         out.outcomes(decisions),
@@ -237,7 +248,7 @@ def run_second_pass(
         .join(counts.drop("problem"), "container", "left")
     )
     results = written(results.join(facts, "container", "left"), f"{run}/outcomes")
-    published_parts = readable(written(explode_parts(published), f"{run}/published_parts"))
+    published_parts = readable(written(explode_parts(published, tasks), f"{run}/published_parts"))
     return PassResult(results, out.detail_lines(decisions), violations, published_parts)
 
 

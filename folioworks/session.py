@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,16 +25,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/folioworks-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+# Parquet looks at its buffers only every 100 rows unless told otherwise; rows
+# that carry a part's bytes are too large for that.
+_LARGE_ROWS = {
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "16",
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "16",
+}
+
+
+def written(df: DataFrame, path: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once and go on from the stored rows.
 
     Cuts the lineage and fixes the result of steps that have side effects or
     run Python, so that a lost executor never repeats them half-way.
     """
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if large_rows:
+        writer = writer.options(**_LARGE_ROWS)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Bytes of packages one task should have to read.
+TASK_BYTES = 256 * 1024 * 1024
+
+
+def tasks_for(containers: DataFrame) -> int:
+    """Tasks for reading packages of this total size, at least ``width``."""
+    total = containers.agg(F.sum("length").alias("n")).first().n or 0
+    return max(width(containers.sparkSession), total // TASK_BYTES)
+
+
 def width(spark: SparkSession) -> int:
     """Number of tasks for steps whose input rows are small but work is not.
 

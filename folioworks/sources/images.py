@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from .files import opened, place
-from .packages import by_package_slice, open_zip, read_member
+from .packages import Share, by_package_slice, open_zip, read_member
 
 _STAGED = "container string, ordinal int, image_key string"
 
 
-def stage_images(parts: DataFrame, folder: str, members_per_task: int = 64) -> DataFrame:
+def stage_images(parts: DataFrame, folder: str, share: Share = Share()) -> DataFrame:
     """Write each part to a file of its own, for the image source to read.
 
     Returns ``container, ordinal, image_key``.  Files are named by a digest of
@@ -39,7 +39,7 @@ def stage_images(parts: DataFrame, folder: str, members_per_task: int = 64) -> D
         "ordinal",
         F.concat(digest, F.lit("-"), F.col("ordinal").cast("string")).alias("image_key"),
     )
-    return by_package_slice(rows, members_per_task).mapInPandas(stage, _STAGED)
+    return by_package_slice(rows, share).mapInPandas(stage, _STAGED)
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from .files import opened
-from .packages import DAMAGED, by_package_slice, open_zip
+from .packages import DAMAGED, Share, by_package_slice, open_zip
 
 # ``from_xml`` matches names as written; element prefixes are free to choose, so
 # they are dropped before parsing.
@@ -107,7 +107,7 @@ def malformed(xml_with_content: DataFrame) -> DataFrame:
 
 
 def structure_counts(
-    parts: DataFrame, main_part: str = fv.MAIN_PART, members_per_task: int = 64
+    parts: DataFrame, share: Share = Share(), main_part: str = fv.MAIN_PART
 ) -> DataFrame:
     """Body paragraphs, body tables and inline images of each main part.
 
@@ -130,7 +130,7 @@ def structure_counts(
 
     wanted = parts.filter(F.col("part_name") == main_part)
     rows = wanted.select("container", "path", "ordinal")
-    return by_package_slice(rows, members_per_task).mapInPandas(count, _COUNTS)
+    return by_package_slice(rows, share).mapInPandas(count, _COUNTS)
 
 
 _COUNTS = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
@@ -69,6 +70,18 @@ def open_zip(path: str) -> zipfile.ZipFile:
     return zipfile.ZipFile(open_seekable(path))
 
 
+@dataclass(frozen=True)
+class Share:
+    """How the members of packages are dealt out to tasks.
+
+    ``members``: length of the runs a package is cut into; ``tasks``: their
+    number, the session's shuffle width by default.
+    """
+
+    members: int = 64
+    tasks: int | None = None
+
+
 class Batches:
     """Collects rows into frames of bounded size."""
 
@@ -101,7 +114,7 @@ def _directory(path: str) -> list[zipfile.ZipInfo]:
             return z.infolist()
 
 
-def explode_parts(containers: DataFrame) -> DataFrame:
+def explode_parts(containers: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per member, in archive order, from the archives' directories.
 
     Only the directory at the end of each file is fetched, whatever the size
@@ -132,7 +145,7 @@ def explode_parts(containers: DataFrame) -> DataFrame:
             yield batch.take()
 
     listed = containers.select("container", "path")
-    return listed.repartition(width(listed.sparkSession), "path").mapInPandas(
+    return listed.repartition(tasks or width(listed.sparkSession), "path").mapInPandas(
         scan, PART_SCHEMA
     )
 
@@ -145,20 +158,21 @@ def unreadable(scanned: DataFrame) -> DataFrame:
     return scanned.filter(F.col("error").isNotNull()).select("container", "path", "error")
 
 
-def by_package_slice(parts: DataFrame, members_per_task: int) -> DataFrame:
+def by_package_slice(parts: DataFrame, share: Share) -> DataFrame:
     """Place parts so that neighbours share a task and no package fills one.
 
     A slice is a run of members of one package; a task opens the package once
     per slice and reads forward.
     """
-    piece = F.floor(F.col("ordinal") / members_per_task)
-    return parts.repartition(width(parts.sparkSession), F.col("path"), piece).sortWithinPartitions(
+    piece = F.floor(F.col("ordinal") / share.members)
+    tasks = share.tasks or width(parts.sparkSession)
+    return parts.repartition(tasks, F.col("path"), piece).sortWithinPartitions(
         "path", "ordinal"
     )
 
 
 def read_parts(
-    parts: DataFrame, members_per_task: int = 64, first_bytes: int | None = None
+    parts: DataFrame, share: Share = Share(), first_bytes: int | None = None
 ) -> DataFrame:
     """Add ``content`` to part rows; ``first_bytes`` reads no further than that.
 
@@ -182,7 +196,7 @@ def read_parts(
             if batch.rows:
                 yield batch.take()
 
-    return by_package_slice(parts, members_per_task).mapInPandas(read, schema)
+    return by_package_slice(parts, share).mapInPandas(read, schema)
 
 
 def read_member(
@@ -197,7 +211,7 @@ def read_member(
         return None, str(problem) or repr(problem)
 
 
-def check_parts(parts: DataFrame, members_per_task: int = 64) -> DataFrame:
+def check_parts(parts: DataFrame, share: Share = Share()) -> DataFrame:
     """Recompute every member's checksum: ``crc_ok`` per part.
 
     The bytes are inflated in blocks and dropped in the task that reads them,
@@ -217,7 +231,7 @@ def check_parts(parts: DataFrame, members_per_task: int = 64) -> DataFrame:
                 ).drop(columns=["path", "file_size", "crc"])
 
     wanted = parts.select("container", "path", "ordinal", "part_name", "file_size", "crc")
-    return by_package_slice(wanted, members_per_task).mapInPandas(
+    return by_package_slice(wanted, share).mapInPandas(
         test, "container string, ordinal int, part_name string, crc_ok boolean"
     )
 

@@ -69,7 +69,7 @@ def test_parts_follow_the_directory(spark, folder):
 def test_contents_and_checksums(spark, folder):
     parts = pk.readable(pk.explode_parts(pk.list_containers(spark, folder)))
     one = parts.filter("container = 'plain.docx'")
-    stored = {r.part_name: bytes(r.content) for r in pk.read_parts(one, members_per_task=1).collect()}
+    stored = {r.part_name: bytes(r.content) for r in pk.read_parts(one, pk.Share(members=1)).collect()}
     assert stored == BASE
     heads = pk.read_parts(one, first_bytes=4).collect()
     assert {bytes(r.content) for r in heads} == {v[:4] for v in BASE.values()}

@@ -310,11 +310,11 @@ def test_a_spoilt_rewrite_falls_back(spark, tmp_path, monkeypatch):
     write_package(source / "a.docx", MIXED)
     honest = pub.write_packages
 
-    def spoil(containers, replacements, folder):
+    def spoil(containers, replacements, folder, tasks):
         extra = containers.select(
             "container", F.lit(2).alias("ordinal"), F.lit(fv.MAIN_PART).alias("new_part_name"),
             F.lit(bytearray(main_part(5))).alias("new_content"))
-        return honest(containers, replacements.unionByName(extra), folder)
+        return honest(containers, replacements.unionByName(extra), folder, tasks)
 
     monkeypatch.setattr("folioworks.plans.first_pass.write_packages", spoil)
     result = run_first_pass(spark, str(source), str(tmp_path / "out"), halve, SMALL)
