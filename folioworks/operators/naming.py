@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stem
-from ..session import width
 
 # A stem with every trailing "_conv<number>" removed.  Two parts can only
 # compete for a name when these roots are equal: each new name is a stem, or a
@@ -68,7 +67,7 @@ def assign_names(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         .unionByName(named.join(contested, keys, "left_semi"))
     )
     walked = (
-        rows.repartition(width(rows.sparkSession), *keys)
+        rows.repartition(*keys)
         .sortWithinPartitions(*keys, "ordinal")
         .mapInPandas(_walk, _RENAMES)
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import poll_stamp, rescaled
-from .skew import spread_join
 
 POLL = ("device_id", "poll_id", "polled_at")
 # Columns of the wide table that no reading may take.
@@ -107,10 +106,11 @@ def derive_headers(readings: DataFrame) -> DataFrame:
 def with_header(polls: DataFrame, headers: DataFrame) -> DataFrame:
     """Attach ``codes``, the header of each row's device (empty if unknown).
 
-    One device may send most of the polls, so its rows are spread by poll.
+    One device may send most of the polls.  Headers that fit are broadcast by
+    their measured size; otherwise adaptive execution splits that device's rows,
+    which nothing downstream needs together.
     """
-    known = headers.select("device_id", "codes")
-    joined = spread_join(polls, known, ["device_id"], "left", ["poll_id"])
+    joined = polls.join(headers.select("device_id", "codes"), "device_id", "left")
     empty = F.lit([]).cast("array<string>")
     return joined.withColumn("codes", F.coalesce("codes", empty))
 

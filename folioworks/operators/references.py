@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import is_internal, resolve_target, rewrite_target
-from .skew import spread_join
 
 
 def rewrite_references(
@@ -17,6 +16,8 @@ def rewrite_references(
 
     References that cannot be rewritten get keys of their own, which no part
     has (names hold no NUL), so that they spread over all tasks like the rest.
+    A part that very many references share is split by adaptive execution: no
+    later step relies on how this join's result is distributed.
     """
     eligible = F.col("rel_type").eqNullSafe(F.lit(image_type)) & is_internal("target")
     keyed = rels.withColumn(
@@ -26,9 +27,8 @@ def rewrite_references(
         ),
     )
     known = renames.select("container", "part_name", "new_part_name")
-    keys = ["container", "part_name"]
     return (
-        spread_join(keyed, known, keys, "left", ["rels_path", "pos"])
+        keyed.join(known, ["container", "part_name"], "left")
         .withColumn("changed", F.col("new_part_name").isNotNull())
         .withColumn(
             "new_target",

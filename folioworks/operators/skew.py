@@ -36,7 +36,9 @@ def spread_join(
     Rows of a hot key are spread by ``spread_by`` over as many groups as the
     key's share asks for, and the few matching right rows are repeated once per
     group: all groups together add at most ``2 * ways`` copies of a key's rows.
-    Other keys join as they are.
+    Other keys join as they are.  Finding the hot keys reads ``left`` once more,
+    so use it where ``left`` is stored, and where adaptive execution cannot
+    split the key because a later grouping builds on the join's distribution.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """

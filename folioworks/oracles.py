@@ -468,6 +468,9 @@ ORACLES: dict[str, str] = {
         marked AS (SELECT r.*, h.code IS NOT NULL AS known
           FROM readings r LEFT JOIN header_codes h USING (device_id, code))
         {_wide('marked', 'known')}""",
+    "empty_polls": """SELECT page_id,
+        CAST(len(regexp_extract_all(html, 'href="(/[A-Z][^"]*)"', 1)) AS INTEGER) AS readings
+        FROM pages""",
     "status_intake": """WITH e AS (
           SELECT CAST(user_id AS VARCHAR) AS device_id, event_type = 'error' AS failed,
                  CAST(format('{:.1f}', CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) / 10)

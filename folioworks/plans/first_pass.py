@@ -37,6 +37,7 @@ class PassResult:
     details: DataFrame
     violations: DataFrame
     published_parts: DataFrame
+    share: Share  # how to deal out ``published_parts`` for reading
 
     def summary(self) -> DataFrame:
         return out.corpus_summary(self.outcomes)
@@ -130,7 +131,7 @@ def run_first_pass(
     complete = staged.filter(F.col("problem").isNull())
     rescanned = written(explode_parts(complete, tasks), f"{run}/rescanned")
     after = readable(rescanned)
-    before = of_containers(parts, complete)
+    before = written(of_containers(parts, complete), f"{run}/before")
 
     counts, structure = structure_violations(complete, before, after, share)
     counts = written(counts, f"{run}/counts")
@@ -172,4 +173,4 @@ def run_first_pass(
     facts = rec.media_counts(parts).join(counts.drop("problem"), "container", "left")
     results = written(results.join(facts, "container", "left"), f"{run}/outcomes")
     published_parts = readable(written(explode_parts(published, tasks), f"{run}/published_parts"))
-    return PassResult(results, out.detail_lines(decisions), violations, published_parts)
+    return PassResult(results, out.detail_lines(decisions), violations, published_parts, share)

@@ -124,10 +124,11 @@ def run_second_pass(
     named = assign_names(extended, parts)
     by_ordinal = written(named, f"{run}/renames")
     # References know parts by name; a name entered twice means its last entry.
-    renames = by_ordinal.groupBy("container", "part_name").agg(
+    last_entries = by_ordinal.groupBy("container", "part_name").agg(
         F.max_by("new_part_name", "ordinal").alias("new_part_name"),
         F.max("ordinal").alias("ordinal"),
     )
+    renames = written(last_entries, f"{run}/renames_by_name")
     touched = renames.select("container").distinct()
     broken_rels = bad_xml.filter(F.col("part_name") != fv.CONTENT_TYPES_PART).join(
         touched, "container", "left_semi"
@@ -158,8 +159,8 @@ def run_second_pass(
     after = readable(rescanned)
     after_xml = rels_parts(after).unionByName(content_types_parts(after))
     after_xml = written(read_parts(after_xml, share), f"{run}/after_xml")
-    before = of_containers(parts, complete)
-    moved = of_containers(renames, complete)
+    before = written(of_containers(parts, complete), f"{run}/before")
+    moved = written(of_containers(renames, complete), f"{run}/moved")
     counts, structure = structure_violations(complete, before, after, share)
     counts = written(counts, f"{run}/counts")
     new_images = after.join(
@@ -249,7 +250,7 @@ def run_second_pass(
     )
     results = written(results.join(facts, "container", "left"), f"{run}/outcomes")
     published_parts = readable(written(explode_parts(published, tasks), f"{run}/published_parts"))
-    return PassResult(results, out.detail_lines(decisions), violations, published_parts)
+    return PassResult(results, out.detail_lines(decisions), violations, published_parts, share)
 
 
 def _images(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:

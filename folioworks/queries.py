@@ -42,7 +42,7 @@ from .plans.first_pass import PassResult, run_first_pass
 from .plans.report import LINE_ORDER, render_report
 from .plans.second_pass import run_second_pass
 from .plans.telemetry import take_in
-from .session import scratch_dir, written
+from .session import scratch_dir, tasks_for, written
 from .sources import images as im
 from .sources import package_xml as px
 from .sources import packages as pk
@@ -475,6 +475,17 @@ def locked_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locked.select("device_id", fv.STAMP_COLUMN, *values)
 
 
+@query
+def empty_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as polls and their links to capitalised paths as readings."""
+    links = F.regexp_extract_all("html", F.lit('href="(/[A-Z][^"]*)"'), 1)
+    polls = st.table(spark, sf_dir, "pages").select("page_id", links.alias("result"))
+    some, none = rd.non_empty(polls)
+    return some.select("page_id", F.size("result").alias("readings")).unionByName(
+        none.select("page_id", F.lit(0).alias("readings"))
+    )
+
+
 @query
 def status_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed responses read back: readings, errors and their numbers per device."""
@@ -511,34 +522,41 @@ def streamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Packages written from the documents.
 
-def _document_parts_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = st.document_packages(spark, sf_dir)
-    return pk.readable(pk.explode_parts(pk.list_containers(spark, folder)))
+def _parts_on_disk(spark: SparkSession, folder: str) -> tuple[DataFrame, pk.Share]:
+    """The parts of all packages in a folder, and how to deal them out."""
+    containers = pk.list_containers(spark, folder)
+    share = pk.Share(tasks=tasks_for(containers))
+    return pk.readable(pk.explode_parts(containers, share.tasks)), share
+
+
+def _document_parts_on_disk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pk.Share]:
+    return _parts_on_disk(spark, st.document_packages(spark, sf_dir))
 
 
 def _stored_files(spark: SparkSession, sf_dir: str, keep) -> DataFrame:
-    return pk.read_parts(keep(_document_parts_on_disk(spark, sf_dir)))
+    parts, share = _document_parts_on_disk(spark, sf_dir)
+    return pk.read_parts(keep(parts), share)
 
 
 @query
 def package_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of every package, as its directory tells."""
-    return _document_parts_on_disk(spark, sf_dir).select(
-        "container", "ordinal", "part_name", "is_dir"
-    )
+    parts, _ = _document_parts_on_disk(spark, sf_dir)
+    return parts.select("container", "ordinal", "part_name", "is_dir")
 
 
 @query
 def package_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media parts read back, their checksum and their digest."""
-    parts = _document_parts_on_disk(spark, sf_dir).filter(is_media("part_name"))
-    digested = pk.read_parts(parts).withColumn("digest", F.md5("content"))
+    parts, share = _document_parts_on_disk(spark, sf_dir)
+    media = pk.read_parts(parts.filter(is_media("part_name")), share)
+    digested = media.withColumn("digest", F.md5("content"))
     return pk.verify_crc(digested).select("container", "part_name", "file_size", "digest", "crc_ok")
 
 
 @query
 def package_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tested = pk.check_parts(_document_parts_on_disk(spark, sf_dir))
+    tested = pk.check_parts(*_document_parts_on_disk(spark, sf_dir))
     return tested.groupBy("container").agg(
         F.count("*").alias("parts"), F.bool_and("crc_ok").alias("crc_ok")
     )
@@ -560,7 +578,7 @@ def package_content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def package_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.structure_counts(_document_parts_on_disk(spark, sf_dir)).drop("problem")
+    return px.structure_counts(*_document_parts_on_disk(spark, sf_dir)).drop("problem")
 
 
 @query
@@ -568,17 +586,18 @@ def package_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of the documents without a GIF part called after its number."""
     folder = st.document_packages(spark, sf_dir)
     containers = pk.list_containers(spark, folder).select("container")
-    parts = _document_parts_on_disk(spark, sf_dir).filter(ext("part_name") == ".gif")
+    parts, _ = _document_parts_on_disk(spark, sf_dir)
+    pictures = parts.filter(ext("part_name") == ".gif")
     return missing_required(
-        containers, parts.withColumn("part_name", F.lit("gif")), "gif"
+        containers, pictures.withColumn("part_name", F.lit("gif")), "gif"
     )
 
 
 @query
 def format_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real format of the media parts and whether their names tell it."""
-    parts = _document_parts_on_disk(spark, sf_dir).filter(is_media("part_name"))
-    heads = pk.read_parts(parts, first_bytes=32)
+    parts, share = _document_parts_on_disk(spark, sf_dir)
+    heads = pk.read_parts(parts.filter(is_media("part_name")), share, first_bytes=32)
     return heads.select(
         "container", "part_name",
         F.coalesce(sniff_format("content"), F.lit("?")).alias("format"),
@@ -589,8 +608,9 @@ def format_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def recoded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space collapsed inside the candidate parts of every package."""
-    classified = classify_parts(_document_parts_on_disk(spark, sf_dir), st.SMALL)
-    recoded = recode(classified.filter("disposition = 'candidate'"), st.collapse_spaces)
+    parts, share = _document_parts_on_disk(spark, sf_dir)
+    wanted = classify_parts(parts, st.SMALL).filter("disposition = 'candidate'")
+    recoded = recode(wanted, st.collapse_spaces, share)
     return decide(recoded, "recompress", st.SMALL).select(
         "container", "part_name", "old_size", "new_size", "accepted", "reason"
     )
@@ -627,8 +647,9 @@ def first_pass_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_pass_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the published packages contain."""
-    parts = _first_pass(spark, sf_dir).published_parts.filter(is_media("part_name"))
-    return pk.read_parts(parts).select(
+    done = _first_pass(spark, sf_dir)
+    parts = done.published_parts.filter(is_media("part_name"))
+    return pk.read_parts(parts, done.share).select(
         "container", "part_name", F.octet_length("content").alias("size"),
         F.md5("content").alias("digest"),
     )
@@ -644,11 +665,10 @@ def first_pass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def image_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of the embeddings decoded: size, transparency, colours."""
-    folder = st.vector_packages(spark, sf_dir)
-    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, folder)))
+    parts, share = _parts_on_disk(spark, st.vector_packages(spark, sf_dir))
     pictures = parts.filter(is_media("part_name"))
     staged = scratch_dir(spark)
-    keys = written(im.stage_images(pictures, f"{staged}/files"), f"{staged}/keys")
+    keys = written(im.stage_images(pictures, f"{staged}/files", share), f"{staged}/keys")
     flags = im.pixel_flags(im.read_images(spark, f"{staged}/files"), st.SMALL.min_colors)
     return (
         keys.join(flags, "image_key")

@@ -53,13 +53,14 @@ TASK_BYTES = 256 * 1024 * 1024
 
 
 def tasks_for(containers: DataFrame) -> int:
-    """Tasks for reading packages of this total size, at least ``width``."""
+    """Tasks for reading packages of this total size, at least one per core."""
     total = containers.agg(F.sum("length").alias("n")).first().n or 0
-    return max(width(containers.sparkSession), total // TASK_BYTES)
+    return max(containers.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
 
 def width(spark: SparkSession) -> int:
-    """Number of tasks for steps whose input rows are small but work is not.
+    """Number of tasks for steps whose input rows are small but work is not,
+    where the amount of work is not known.
 
     Given explicitly to ``repartition``, because adaptive execution would merge
     such partitions by their byte size.

@@ -21,7 +21,7 @@ from . import fixed_values as fv
 from .functions import resolve_target, stem
 from .operators.classify import accept, classify_parts
 from .plans.publish import write_packages
-from .session import scratch_dir, written
+from .session import scratch_dir, width, written
 from .settings import Settings
 
 # Document texts are smaller than images; so are the limits on them.
@@ -335,7 +335,9 @@ def _write_packages(media: DataFrame, listed: DataFrame, folder: str) -> None:
     )
     rows = media.unionByName(xml.select("container", F.inline(entries)))
     heads = xml.select("container", F.lit(None).cast("string").alias("path"))
-    written(write_packages(heads, rows, folder), scratch_dir(rows.sparkSession))
+    spark = rows.sparkSession
+    tasks = min(width(spark), spark.sparkContext.defaultParallelism)
+    written(write_packages(heads, rows, folder, tasks), scratch_dir(spark))
 
 
 def png_bytes(pixels: np.ndarray, level: int = 0) -> bytes:
