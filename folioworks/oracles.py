@@ -358,7 +358,7 @@ ORACLES: dict[str, str] = {
                  coalesce(a.ordinal, b.ordinal) AS ordinal
           FROM b FULL JOIN a ON b.container = a.container AND b.part_name = a.part_name)
         SELECT * FROM d WHERE status IS NOT NULL""",
-    "manifest_violations": f"WITH {VIOLATIONS} SELECT * FROM violations",
+    "manifest_violations": f"WITH {VIOLATIONS} SELECT * EXCLUDE (subject) FROM violations",
     "first_violation": f"""WITH {VIOLATIONS}
         SELECT container, min(rule_no) AS rule_no, arg_min(message, rule_no) AS message,
                count(*) AS findings FROM violations GROUP BY container""",
@@ -476,11 +476,10 @@ ORACLES: dict[str, str] = {
                  CAST(format('{:.1f}', CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) / 10)
                       AS DECIMAL(18,1)) AS k FROM events)
         SELECT device_id, nullif(2 * count(*) FILTER (NOT failed), 0) AS readings,
-               CAST(sum(k) FILTER (NOT failed) AS DECIMAL(28,1)) AS k_total,
+               CAST(sum(k) FILTER (NOT failed) AS DOUBLE) AS k_total,
                nullif(count(*) FILTER (failed), 0) AS errors,
                max('poll (code=1106): denied' || chr(10) || 'Dica: ask again') FILTER (failed)
-                 AS message,
-               CAST(NULL AS BIGINT) AS empty
+                 AS message
         FROM e GROUP BY device_id""",
     "streamed_rows": """WITH e AS (
           SELECT CAST(user_id AS VARCHAR) AS device_id, CAST(event_id AS VARCHAR) AS poll_id, ts,
@@ -532,7 +531,7 @@ ORACLES: dict[str, str] = {
     "first_pass_outcomes": f"""WITH {PACKED}
         SELECT container, 'new' AS version, count(*) FILTER (accepted) AS processed,
                count(*) FILTER (NOT accepted) AS skipped,
-               count(*) FILTER (accepted) AS published_count, CAST(NULL AS VARCHAR) AS failure,
+               count(*) FILTER (accepted) AS published_count, true AS proven,
                count(*) AS media_count,
                CAST(count(*) FILTER (lang <> 'fr') AS INTEGER) AS paragraphs,
                CAST(count(*) FILTER (lang = 'fr') AS INTEGER) AS tables,
@@ -557,7 +556,7 @@ ORACLES: dict[str, str] = {
         SELECT container, CASE WHEN bool_or(converted) THEN 'new' ELSE 'unchanged' END AS version,
                count(*) FILTER (converted) AS processed,
                count(*) FILTER (NOT converted) AS skipped,
-               count(*) FILTER (converted) AS published_count, CAST(NULL AS VARCHAR) AS failure,
+               count(*) FILTER (converted) AS published_count, true AS proven,
                count(*) AS media_count, count(*) + 3 AS members
         FROM photos GROUP BY container""",
     "second_pass_published": f"""WITH {VECTORS}

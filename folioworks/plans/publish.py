@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..session import width
-from ..sources.files import copy_file, locate, open_seekable, place
+from ..sources.files import copy_file, locate, move, open_seekable, place
 from ..sources.packages import DAMAGED
 
 _HEAD = -1  # ordinal of the row that opens a package
@@ -154,8 +154,11 @@ def _place_version(original: str, staged: str | None, version: str, target: str)
     fs, source = locate(staged)
     _, name = locate(target)
     if fs.get_file_info(source).type == pafs.FileType.File:
-        fs.move(source, name)
-    return fs.get_file_info(name).size
+        move(fs, source, name)
+    placed = fs.get_file_info(name)
+    if placed.type != pafs.FileType.File:
+        raise FileNotFoundError(f"neither {staged} nor {target} exists")
+    return placed.size
 
 
 def remove_folder(folder: str) -> None:

@@ -255,7 +255,7 @@ def manifest_diff_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.manifest_violations(
         st.document_parts(spark, sf_dir), st.altered_documents(spark, sf_dir)
-    )
+    ).drop("subject")
 
 
 @query
@@ -496,13 +496,12 @@ def status_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("readings"),
         F.sum(
             F.when(F.col("code") == "k", st.as_double("value")).cast("decimal(18,1)")
-        ).alias("k_total"),
+        ).cast("double").alias("k_total"),
     )
     bad = intake.errors.groupBy("device_id").agg(
         F.count("*").alias("errors"), F.max("message").alias("message")
     )
-    empty = intake.empty.groupBy("device_id").agg(F.count("*").alias("empty"))
-    return good.join(bad, "device_id", "full_outer").join(empty, "device_id", "full_outer")
+    return good.join(bad, "device_id", "full_outer")
 
 
 @query
@@ -639,7 +638,8 @@ def _second_pass(spark: SparkSession, sf_dir: str) -> PassResult:
 def first_pass_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole first pass over the document packages."""
     return _first_pass(spark, sf_dir).outcomes.select(
-        "container", "version", "processed", "skipped", "published_count", "failure",
+        "container", "version", "processed", "skipped", "published_count",
+        F.col("failure").isNull().alias("proven"),
         "media_count", "paragraphs", "tables", "inline_images",
     )
 
@@ -684,8 +684,8 @@ def image_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def second_pass_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole second pass over the picture packages."""
     return _second_pass(spark, sf_dir).outcomes.select(
-        "container", "version", "processed", "skipped", "published_count", "failure",
-        "media_count", "members",
+        "container", "version", "processed", "skipped", "published_count",
+        F.col("failure").isNull().alias("proven"), "media_count", "members",
     )
 
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from typing import IO
+from urllib.parse import quote
 
 from pyarrow import fs as pafs
 
@@ -20,7 +21,10 @@ def locate(path: str) -> tuple[pafs.FileSystem, str]:
         path = "/" + path[len("file:"):].lstrip("/")
     if path.startswith("/"):
         return pafs.LocalFileSystem(), path
-    return pafs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    # Spark gives paths as they are; a URI needs blanks and the like escaped.
+    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
 
 
 def open_seekable(path: str) -> IO[bytes]:
@@ -42,7 +46,7 @@ def place(path: str, fill: Callable[[IO[bytes]], None]) -> int:
     try:
         with fs.open_output_stream(temporary) as out:
             fill(out)
-        fs.move(temporary, name)
+        move(fs, temporary, name)
     except BaseException:
         if fs.get_file_info(temporary).type == pafs.FileType.File:
             fs.delete_file(temporary)
@@ -50,6 +54,18 @@ def place(path: str, fill: Callable[[IO[bytes]], None]) -> int:
     return fs.get_file_info(name).size
 
 
+def move(fs: pafs.FileSystem, source: str, target: str) -> None:
+    """Rename over whatever is there, also where a rename would refuse to."""
+    try:
+        fs.move(source, target)
+    except OSError:
+        both = [info.type == pafs.FileType.File for info in fs.get_file_info([source, target])]
+        if not all(both):
+            raise
+        fs.delete_file(target)
+        fs.move(source, target)
+
+
 def copy_file(source: str, target: str) -> int:
     def fill(out: IO[bytes]) -> None:
         with open_seekable(source) as src:

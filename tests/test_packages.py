@@ -164,3 +164,47 @@ def test_structure_counts(spark, tmp_path):
     got = {r.container: r for r in px.structure_counts(parts).collect()}
     assert (got["a.docx"].paragraphs, got["a.docx"].tables, got["a.docx"].inline_images) == (3, 2, 3)
     assert got["b.docx"].paragraphs is None and got["b.docx"].problem
+
+
+def test_one_package_is_shared_by_several_tasks(spark, tmp_path):
+    """A package with most of the parts must not end up in one task."""
+    members = {f"word/media/{i}.png": bytes([i % 251]) * 20 for i in range(400)}
+    write_package(tmp_path / "hot.docx", members)
+    write_package(tmp_path / "cold.docx", BASE)
+    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
+    read = pk.read_parts(parts, pk.Share(members=16, tasks=4)).filter("container = 'hot.docx'")
+    by_task = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(by_task) == 4 and sum(r["count"] for r in by_task) == 400
+    assert {r.part_name: bytes(r.content) for r in read.collect()} == members
+
+
+def test_parts_of_a_hot_container_are_spread(spark):
+    from folioworks.operators.skew import of_containers
+
+    parts = spark.range(3000).select(
+        F.when(F.col("id") < 2000, "hot").otherwise(F.col("id").cast("string")).alias("container"),
+        F.col("id").alias("ordinal"),
+    )
+    wanted = spark.createDataFrame([("hot",), ("2500",)], "container string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        kept = of_containers(parts, wanted)
+        assert kept.count() == 2001
+        assert of_containers(parts, wanted, "left_anti").count() == 999
+        tasks = kept.filter("container = 'hot'").select(F.spark_partition_id()).distinct().count()
+        assert tasks > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize(
+    "path, name",
+    [("file:/data/a b.docx", "/data/a b.docx"), ("file:///data/x", "/data/x"), ("/data/x", "/data/x")],
+)
+def test_local_paths_in_all_spellings(path, name):
+    from folioworks.sources.files import locate
+
+    assert locate(path)[1] == name
