@@ -15,6 +15,7 @@ from ..operators.recode import DECISION_COLUMNS, Codec, check_formats, decide, r
 from ..operators.skew import of_containers
 from ..session import scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
+from ..sources.files import remove_folder
 from ..sources.package_xml import structure_counts
 from ..sources.packages import (
     Share,
@@ -24,7 +25,7 @@ from ..sources.packages import (
     readable,
     unreadable,
 )
-from .publish import publish, remove_folder, write_packages
+from .publish import publish, write_packages
 
 EXCEPTION = "exceção durante o processamento:\n"
 

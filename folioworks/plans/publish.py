@@ -159,9 +159,3 @@ def _place_version(original: str, staged: str | None, version: str, target: str)
     if placed.type != pafs.FileType.File:
         raise FileNotFoundError(f"neither {staged} nor {target} exists")
     return placed.size
-
-
-def remove_folder(folder: str) -> None:
-    fs, name = locate(folder)
-    if fs.get_file_info(name).type == pafs.FileType.Directory:
-        fs.delete_dir(name)

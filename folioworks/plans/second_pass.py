@@ -19,7 +19,8 @@ from ..operators.references import jpeg_extension, missing_defaults, rewrite_ref
 from ..operators.skew import of_containers, spread_join
 from ..session import scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
-from ..sources.images import image_profile, pixel_flags, read_images, stage_images
+from ..sources.files import remove_folder
+from ..sources.images import image_profile, inspect_images, pixel_flags
 from ..sources.package_xml import (
     content_types,
     content_types_parts,
@@ -37,7 +38,7 @@ from ..sources.packages import (
     unreadable,
 )
 from .first_pass import PassResult, structure_violations, undecided, unprocessable
-from .publish import publish, remove_folder, write_packages
+from .publish import publish, write_packages
 
 _UNDECODABLE = "cannot identify image file"
 
@@ -69,7 +70,7 @@ def run_second_pass(
     scanned = written(explode_parts(containers, tasks), f"{run}/scanned")
     parts = readable(scanned)
     xml = rels_parts(parts).unionByName(content_types_parts(parts))
-    xml = written(read_parts(xml, share), f"{run}/xml")
+    xml = written(read_parts(xml, share), f"{run}/xml", large_rows=True)
     rels = relationships(rels_parts(xml))
     types = content_types(content_types_parts(xml))
     whole = containers.join(unreadable(scanned), "container", "left_anti")
@@ -98,24 +99,22 @@ def run_second_pass(
     )
     checked = written(check_formats(wanted, "convert", share), f"{run}/checked")
     png = checked.filter(F.col("format_reason").isNull())
-    staged_png = written(stage_images(png, f"{run}/png", share), f"{run}/png_keys")
-    flags = pixel_flags(_images(spark, f"{run}/png", staged_png), settings.min_colors)
+    flags = inspect_images(
+        spark, png, f"{run}/png", lambda images: pixel_flags(images, settings.min_colors), share
+    )
     why = (
         F.when(~F.col("decodable"), F.format_string(fv.KEPT_ERROR_PNG, F.lit(_UNDECODABLE)))
         .when(F.col("has_alpha"), F.lit(fv.KEPT_ALPHA))
         .when(~F.col("photographic"), F.lit(fv.KEPT_FEW_COLORS))
     )
     judged_png = png.join(
-        staged_png.join(flags, "image_key").select(
-            "container", "ordinal", why.alias("pixel_reason")
-        ),
+        flags.select("container", "ordinal", why.alias("pixel_reason")),
         ["container", "ordinal"],
     )
     judged_png = written(judged_png, f"{run}/judged_png")
     photos = judged_png.filter(F.col("pixel_reason").isNull())
     recoded = recode(photos, codec, share)
     decided = written(decide(recoded, "convert", settings), f"{run}/decided", large_rows=True)
-    remove_folder(f"{run}/png")
 
     # New names, and everything that must follow them.
     extensions = jpeg_extension(types, workable)
@@ -158,7 +157,7 @@ def run_second_pass(
     rescanned = written(explode_parts(complete, tasks), f"{run}/rescanned")
     after = readable(rescanned)
     after_xml = rels_parts(after).unionByName(content_types_parts(after))
-    after_xml = written(read_parts(after_xml, share), f"{run}/after_xml")
+    after_xml = written(read_parts(after_xml, share), f"{run}/after_xml", large_rows=True)
     before = written(of_containers(parts, complete), f"{run}/before")
     moved = written(of_containers(renames, complete), f"{run}/moved")
     counts, structure = structure_violations(complete, before, after, share)
@@ -168,10 +167,10 @@ def run_second_pass(
         ["container", "part_name"],
         "left_semi",
     )
-    keys = written(stage_images(new_images, f"{run}/jpeg", share), f"{run}/jpeg_keys")
-    undecodable = keys.join(
-        _profile(spark, f"{run}/jpeg", keys).filter(~F.col("decodable")), "image_key"
-    ).join(after.select("container", "ordinal", "part_name"), ["container", "ordinal"])
+    reopened = inspect_images(spark, new_images, f"{run}/jpeg", image_profile, share)
+    undecodable = reopened.filter(~F.col("decodable")).join(
+        after.select("container", "ordinal", "part_name"), ["container", "ordinal"]
+    )
     violations = written(
         rec.all_violations(
             stopped,
@@ -232,7 +231,6 @@ def run_second_pass(
     )
     decisions = written(decisions, f"{run}/decisions")
     remove_folder(f"{run}/decided")
-    remove_folder(f"{run}/jpeg")
     results = out.with_package_sizes(
         containers,
         out.outcomes(decisions),
@@ -253,21 +251,6 @@ def run_second_pass(
     return PassResult(results, out.detail_lines(decisions), violations, published_parts, share)
 
 
-def _images(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """The staged images; none were staged where no part needed it."""
-    if keys.isEmpty():
-        schema = "image_key string, image struct<origin string, height int, width int, " \
-                 "nChannels int, mode int, data binary>"
-        return spark.createDataFrame([], schema)
-    return read_images(spark, folder)
-
-
-def _profile(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    if keys.isEmpty():
-        return spark.createDataFrame([], "image_key string, decodable boolean")
-    return image_profile(spark, folder).select("image_key", "decodable")
-
-
 def edited_xml(
     xml: DataFrame,
     rels: DataFrame,

@@ -42,7 +42,7 @@ from .plans.first_pass import PassResult, run_first_pass
 from .plans.report import LINE_ORDER, render_report
 from .plans.second_pass import run_second_pass
 from .plans.telemetry import take_in
-from .session import scratch_dir, tasks_for, written
+from .session import scratch_dir, tasks_for
 from .sources import images as im
 from .sources import package_xml as px
 from .sources import packages as pk
@@ -667,16 +667,14 @@ def image_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of the embeddings decoded: size, transparency, colours."""
     parts, share = _parts_on_disk(spark, st.vector_packages(spark, sf_dir))
     pictures = parts.filter(is_media("part_name"))
-    staged = scratch_dir(spark)
-    keys = written(im.stage_images(pictures, f"{staged}/files", share), f"{staged}/keys")
-    flags = im.pixel_flags(im.read_images(spark, f"{staged}/files"), st.SMALL.min_colors)
-    return (
-        keys.join(flags, "image_key")
-        .join(pictures.select("container", "ordinal", "part_name"), ["container", "ordinal"])
-        .select(
-            "part_name", "width", "height", "channels", "decodable", "has_alpha",
-            "sample_colors", "photographic",
-        )
+    flags = im.inspect_images(
+        spark, pictures, scratch_dir(spark),
+        lambda images: im.pixel_flags(images, st.SMALL.min_colors), share,
+    )
+    names = pictures.select("container", "ordinal", "part_name")
+    return flags.join(names, ["container", "ordinal"]).select(
+        "part_name", "width", "height", "channels", "decodable", "has_alpha",
+        "sample_colors", "photographic",
     )
 
 

@@ -74,6 +74,12 @@ def copy_file(source: str, target: str) -> int:
     return place(target, fill)
 
 
+def remove_folder(folder: str) -> None:
+    fs, name = locate(folder)
+    if fs.get_file_info(name).type == pafs.FileType.Directory:
+        fs.delete_dir(name)
+
+
 @contextmanager
 def opened(paths_to_open=open_seekable):
     """Keep the last opened file of a run of rows that share it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,25 +11,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
-from .files import opened, place
+from ..session import written
+from .files import opened, place, remove_folder
 from .packages import Share, by_package_slice, open_zip, read_member
 
-_STAGED = "container string, ordinal int, image_key string"
+_STAGED = "container string, ordinal int, image_key string, wave int"
 
+# The image source lists its files on the driver; this many at a time.
+WAVE = 500_000
 
-def stage_images(parts: DataFrame, folder: str, share: Share = Share()) -> DataFrame:
+
+def inspect_images(
+    spark: SparkSession,
+    parts: DataFrame,
+    folder: str,
+    inspect: Callable[[DataFrame], DataFrame],
+    share: Share = Share(),
+    wave_size: int = WAVE,
+) -> DataFrame:
+    """Decode image parts and add what ``inspect`` finds out about each.
+
+    ``inspect`` maps rows of ``image_key, image`` to rows with ``image_key``.
+    The parts are staged as files below ``folder`` and decoded in waves, so the
+    driver never holds more than ``wave_size`` file names; the result is stored.
+    """
+    waves = -(-parts.count() // wave_size)
+    if waves == 0:
+        found = inspect(spark.createDataFrame([], _IMAGES))
+        return found.withColumns(
+            {"container": F.lit("").cast("string"), "ordinal": F.lit(0)}
+        ).drop("image_key")
+    keys = written(stage_images(parts, f"{folder}/files", share, waves), f"{folder}/keys")
+    for wave in range(waves):
+        files = f"{folder}/files/{wave}"
+        written(inspect(read_images(spark, files)), f"{folder}/found/{wave}")
+        remove_folder(files)
+    found = spark.read.parquet(*[f"{folder}/found/{wave}" for wave in range(waves)])
+    return keys.join(found, "image_key").drop("image_key", "wave")
+
+
+_IMAGES = (
+    "image_key string, image struct<origin string, height int, width int, nChannels int, "
+    "mode int, data binary>"
+)
+
+
+def stage_images(
+    parts: DataFrame, folder: str, share: Share = Share(), waves: int = 1
+) -> DataFrame:
     """Write each part to a file of its own, for the image source to read.
 
-    Returns ``container, ordinal, image_key``.  Files are named by a digest of
-    the container and the ordinal, so a repeated task writes the same ones.
+    Returns ``container, ordinal, image_key, wave``.  Files are named by a digest
+    of the container and the ordinal, so a repeated task writes the same ones;
+    each wave has its own folder.
     """
 
     def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with opened(open_zip) as package:
             for frame in frames:
-                for path, ordinal, key in zip(frame["path"], frame["ordinal"], frame["image_key"]):
+                columns = ("path", "ordinal", "image_key", "wave")
+                for path, ordinal, key, wave in zip(*(frame[c] for c in columns)):
                     content, _ = read_member(package, path, ordinal)
-                    place(f"{folder}/{key[:2]}/{key}", lambda out: out.write(content or b""))
+                    place(
+                        f"{folder}/{wave}/{key[:2]}/{key}", lambda out: out.write(content or b"")
+                    )
                 yield frame.drop(columns=["path"])
 
     digest = F.sha1(F.encode("container", "UTF-8"))
@@ -39,6 +84,7 @@ def stage_images(parts: DataFrame, folder: str, share: Share = Share()) -> DataF
         "ordinal",
         F.concat(digest, F.lit("-"), F.col("ordinal").cast("string")).alias("image_key"),
     )
+    rows = rows.withColumn("wave", F.pmod(F.xxhash64("image_key"), waves).cast("int"))
     return by_package_slice(rows, share).mapInPandas(stage, _STAGED)
 
 
@@ -55,9 +101,9 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def image_profile(spark: SparkSession, folder: str) -> DataFrame:
+def image_profile(images: DataFrame) -> DataFrame:
     """``image_key, width, height, channels, decodable``."""
-    return read_images(spark, folder).select(
+    return images.select(
         "image_key",
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),

@@ -62,6 +62,8 @@ def list_containers(spark: SparkSession, folder: str, suffix: str = ".docx") ->
         .option("pathGlobFilter", container_glob(suffix))
         .load(folder)
         .select("path", "modificationTime", "length")
+        # The scan plans a task per large file although it opens none of them.
+        .coalesce(width(spark))
     )
     return named_containers(files, suffix)
 

@@ -16,10 +16,10 @@ from folioworks.plans import publish as pub
 from folioworks.plans.first_pass import run_first_pass
 from folioworks.plans.report import LINE_ORDER, render_report, write_report
 from folioworks.plans.second_pass import redeclare, retarget, run_second_pass
-from folioworks.session import scratch_dir, written
+from folioworks.session import scratch_dir
 from folioworks.settings import Settings
 from folioworks.sources import packages as pk
-from folioworks.sources.images import image_profile, pixel_flags, read_images, sampled_colors, stage_images
+from folioworks.sources.images import image_profile, inspect_images, pixel_flags, sampled_colors
 from folioworks.standins import png_bytes, repack_png
 from folioworks.streaming import run_corpus
 
@@ -354,10 +354,10 @@ def test_pictures(spark, tmp_path):
     write_package(tmp_path / "p.docx", {
         **{f"word/media/{k}.png": v[0] for k, v in PICTURES.items()}, "word/media/junk.png": b"junk"})
     parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
-    folder = scratch_dir(spark)
-    keys = written(stage_images(parts, f"{folder}/files"), f"{folder}/keys")
-    named = keys.join(parts.select("container", "ordinal", "part_name"), ["container", "ordinal"])
-    flags = named.join(pixel_flags(read_images(spark, f"{folder}/files")), "image_key")
+    named = parts.select("container", "ordinal", "part_name")
+    flags = inspect_images(spark, parts, scratch_dir(spark), pixel_flags, wave_size=4).join(
+        named, ["container", "ordinal"]
+    )
     got = {r.part_name.split("/")[-1][:-4]: r for r in flags.collect()}
     assert not got["junk"].decodable and not got["junk"].photographic
     for name, (_, alpha, colors) in PICTURES.items():
@@ -367,8 +367,11 @@ def test_pictures(spark, tmp_path):
     wide = noise(3, 1024)[[0, 2]]  # rows under the centres of two sampled lines
     sample = wide[:, 1::2]
     assert got["wide"].sample_colors == len(np.unique(sample.reshape(-1, 3), axis=0))
-    sizes = {r.image_key: (r.width, r.height) for r in image_profile(spark, f"{folder}/files").collect()}
-    assert (1024, 3) in sizes.values() and (-1, -1) in sizes.values()
+    profile = inspect_images(spark, parts, scratch_dir(spark), image_profile).collect()
+    sizes = {(r.width, r.height) for r in profile}
+    assert len(profile) == 9 and (1024, 3) in sizes and (-1, -1) in sizes
+    none = inspect_images(spark, parts.limit(0), scratch_dir(spark), image_profile)
+    assert none.count() == 0 and set(none.columns) == set(profile[0].asDict())
 
 
 def test_sampling_keeps_small_images_whole():
