@@ -56,10 +56,11 @@ def with_package_sizes(containers: DataFrame, counts: DataFrame, published: Data
 
 
 def detail_lines(decisions: DataFrame) -> DataFrame:
-    """One text line per processed or skipped part.
+    """One text line per processed or skipped part, which decisions consist of.
 
     Rows with ``container`` and ``ordinal`` rather than one array per
-    container: a package may hold any number of parts.
+    container: a package may hold any number of parts.  No filter here: it
+    would be pushed down and evaluate the decision's expressions twice.
     """
     done = F.coalesce(F.col("accepted"), F.lit(False))
     renamed = "new_part_name" in decisions.columns
@@ -69,7 +70,7 @@ def detail_lines(decisions: DataFrame) -> DataFrame:
     else:
         text = F.format_string(fv.LINE_DETAIL_DONE, "part_name", *sizes)
     kept = F.format_string(fv.LINE_DETAIL, "part_name", "reason")
-    return decisions.filter(done | F.col("reason").isNotNull()).select(
+    return decisions.select(
         "container", F.col("ordinal").cast("long").alias("ordinal"),
         F.when(done, text).otherwise(kept).alias("line"),
     )
