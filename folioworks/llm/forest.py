@@ -33,6 +33,8 @@ class Forest:
     # told apart by ``step`` further hashes of their order.
     region_rows: int = 4096
     step: int = 2
+    # Pairs for each row beyond which a region is dense.
+    sparse: int = 2
     # Standard errors by which a signature's estimate may fall short of the
     # threshold before a pair is no candidate.
     slack: float = 4.0
@@ -122,8 +124,8 @@ def _estimated(pairs: DataFrame, distinct: DataFrame, forest: Forest) -> DataFra
     )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
+def _members(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFrame:
+    """(id, members): the full shingle sets of the wanted ids, as sorted 64-bit hashes."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,23 +136,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, fo
                     pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
                 ], ["id", "members"])
 
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(
+        wanted, "id", "left_semi").mapInArrow(shingled, "id long, members binary")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Is 100 * intersection >= percent * union of two sorted sets?"""
+    both = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= percent * (both - common)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y)
-                if 100 * min(len(x), len(y)) < forest.percent * max(len(x), len(y)):
-                    kept.append(False)
-                    continue
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                kept.append(100 * common >= forest.percent * (both - common))
+            kept = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), forest.percent)
+                    for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(
-        wanted, "id", "left_semi").mapInArrow(shingled, "id long, members binary")
+    sets = _members(docs, wanted, id_col, text_col, forest)
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
@@ -193,52 +203,107 @@ def _regions(rows: DataFrame, forest: Forest) -> DataFrame:
     return out
 
 
+def _pairs_in(labels: np.ndarray, signature: np.ndarray, order: int, depth: int, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a region: the later rows of another label that its signature
+    doesn't rule out, less those that share an earlier order's prefix and so
+    meet in a region of that order."""
+    for i in range(len(labels) - 1):
+        rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        if not len(rest):
+            continue
+        same = signature[rest] == signature[i]
+        near = same.sum(axis=1) >= forest.least_equal
+        rest, same = rest[near], same[near]
+        if depth == forest.depth and order and len(rest):
+            earlier = same[:, : order * forest.depth].reshape(len(rest), order, forest.depth).all(axis=2).any(axis=1)
+            rest = rest[~earlier]
+        if len(rest):
+            yield i, rest
+
+
+def _by_region(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple]:
+    """(region, ids, labels, signatures, order, depth, slice of the table) of rows sorted by region."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> Iterator[tuple]:
+        region = table.column("region").to_numpy()
+        at = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
+        ids, labels, order, depth = (table.column(c).to_numpy() for c in ("id", "label", "order", "depth"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, forest.hashes)
+        for i, j in zip(at[:-1], at[1:]):
+            yield int(region[i]), ids[i:j], labels[i:j], signature[i:j], int(order[i]), int(depth[i]), table.slice(i, j - i)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column("region")[-1].as_py()
+        if held[0].column("region")[0].as_py() == last:
+            continue  # one region so far, and it may go on
+        table = pa.Table.from_batches(held)
+        whole = int(np.flatnonzero(table.column("region").to_numpy() != last)[-1]) + 1
+        yield from cut(table.slice(0, whole))
+        held = table.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield from cut(pa.Table.from_batches(held))
+
+
 def _open_pairs(regions: DataFrame, forest: Forest) -> DataFrame:
-    """Candidate pairs of different labels within each region, each from one region only."""
-
-    def pairs_in(ids: np.ndarray, labels: np.ndarray, signature: np.ndarray, order: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        for i in range(len(ids) - 1):
-            rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
-            if not len(rest):
-                continue
-            same = signature[rest] == signature[i]
-            rest, same = rest[near := same.sum(axis=1) >= forest.least_equal], same[near]
-            if depth == forest.depth and order and len(rest):
-                # Emitted from the first order whose prefix the two share.
-                earlier = same[:, : order * forest.depth].reshape(len(rest), order, forest.depth).all(axis=2).any(axis=1)
-                rest = rest[~earlier]
-            left.append(np.minimum(ids[rest], ids[i]))
-            right.append(np.maximum(ids[rest], ids[i]))
-        none = np.zeros(0, dtype=np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
+    """(region, a, b): candidate pairs of different labels, each from one region only.
+
+    A region with many more pairs than rows is named without them (a and b
+    null): it is dense and its sets are compared where they meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            region = table.column("region").to_numpy()
-            cut = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
-            ids, labels, order, depth = (table.column(c).to_numpy() for c in ("id", "label", "order", "depth"))
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, forest.hashes)
-            found = [pairs_in(ids[i:j], labels[i:j], signature[i:j], int(order[i]), int(depth[i]))
-                     for i, j in zip(cut[:-1], cut[1:]) if j > i]
-            if found:
+        for region, ids, labels, signature, order, depth, _ in _by_region(batches, forest):
+            left, right, dense = [], [], False
+            for i, rest in _pairs_in(labels, signature, order, depth, forest):
+                left.append(np.full(len(rest), ids[i]))
+                right.append(ids[rest])
+                if dense := sum(map(len, left)) > forest.sparse * len(ids):
+                    break
+            if dense:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+                    [pa.array([region]), pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["region", "a", "b"])
+            elif left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), region)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
+                    ["region", "a", "b"])
+
+    return regions.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, a long, b long")
 
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            region = table.column("region").to_numpy()
-            whole = int(np.searchsorted(region, region[-1], side="left")) if len(region) else 0
-            if whole:  # the last region may go on in the next batch
-                yield from flush(table.slice(0, whole))
-                held = table.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
 
-    return regions.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+def _dense_links(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): links that join the labels of each dense region, found on the full
+    sets within the task; of links that join the same labels only the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, labels, signature, order, depth, table in _by_region(batches, forest):
+            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
+            _, label = np.unique(labels, return_inverse=True)
+            root = list(range(len(ids)))
+
+            def top(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            links = []
+            for i, rest in _pairs_in(labels, signature, order, depth, forest):
+                for j in rest.tolist():
+                    x, y = top(int(label[i])), top(int(label[j]))
+                    if x != y and _linked(members[i], members[j], forest.percent):
+                        root[max(x, y)] = min(x, y)
+                        links.append(sorted((int(ids[i]), int(ids[j]))))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return (
+        regions.join(sets, "id").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    )
 
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +319,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     3. Where a region still holds several components, all pairs between them
        are compared by signature inside the task (in regions deepened until
        they have at most ``region_rows`` rows), and what the estimate can't
-       rule out is confirmed on the full sets.
+       rule out is confirmed on the full sets: pair by pair where they are few,
+       else inside the task of the region.
 
     Null and empty texts have an empty set and are linked with nothing; repeated
     rows of one id count once with their smallest digest; null ids are left out.
@@ -293,9 +359,13 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     mixed = rows.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     rows = rows.join(mixed.select("region"), "region", "left_semi").join(distinct.select("id", "signature"), "id")
     rows = rows.select("region", "id", "label", "signature", "order", F.lit(forest.depth).alias("depth"))
-    second = _open_pairs(_regions(rows, forest), forest).join(first, ["a", "b"], "left_anti")
-    second = stored(second, f"{base}/second")
-    links = links.union(_confirmed(second, docs, id_col, text_col, forest))
+    regions = _regions(rows, forest)
+    second = stored(_open_pairs(regions, forest), f"{base}/second")
+    pairs = second.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    links = links.union(_confirmed(pairs, docs, id_col, text_col, forest))
+    dense = regions.join(second.filter("a is null").select("region"), "region", "left_semi")
+    sets = _members(docs, dense.select("id").distinct(), id_col, text_col, forest)
+    links = links.union(_dense_links(dense, sets, forest))
     labels = components(stored(links, f"{base}/links"))
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
