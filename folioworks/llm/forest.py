@@ -168,9 +168,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, fo
     )
 
 
-def _regions(rows: DataFrame, forest: Forest) -> DataFrame:
-    """Adaptive depth: rows (region, id, label, signature, prefix order, depth) in
-    regions of at most ``region_rows`` rows, or of one label, or of full depth."""
+def _regions(rows: DataFrame, stats: DataFrame, forest: Forest) -> DataFrame:
+    """Adaptive depth: ``rows`` of open regions go on in regions of at most
+    ``region_rows`` rows, or of full depth; ``stats`` are the regions' sizes."""
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,20 +189,28 @@ def _regions(rows: DataFrame, forest: Forest) -> DataFrame:
     base, done = scratch_dir(rows.sparkSession), []
     for depth in range(forest.depth, forest.hashes, forest.step):
         rows = stored(rows, f"{base}/depth-{depth}")
-        stats = rows.groupBy("region").agg(
-            F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        stats = stored(stats.filter("n > 1 and low <> high"), f"{base}/stats-{depth}")
-        done.append(rows.join(stats.filter(F.col("n") <= forest.region_rows).select("region"), "region", "left_semi"))
         dense = stats.filter(F.col("n") > forest.region_rows)
         if dense.isEmpty():
+            done.append(rows)
             break
-        rows = rows.join(dense.select("region"), "region", "left_semi").mapInArrow(deeper, rows.schema)
+        done.append(rows.join(dense.select("region"), "region", "left_anti"))
+        rows = stored(rows.join(dense.select("region"), "region", "left_semi").mapInArrow(deeper, rows.schema),
+                      f"{base}/deeper-{depth}")
+        stats = stored(_open_regions(rows), f"{base}/stats-{depth}")
+        rows = rows.join(stats.select("region"), "region", "left_semi")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
     return out
 
 
+def _open_regions(rows: DataFrame) -> DataFrame:
+    """(region, n): the regions that hold several labels, and their rows."""
+    return rows.groupBy("region").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low <> high").select("region", "n")
+
+
 def _pairs_in(labels: np.ndarray, signature: np.ndarray, order: int, depth: int, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a region: the later rows of another label that its signature
     doesn't rule out, less those that share an earlier order's prefix and so
@@ -356,10 +364,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
         filed.select("region", "id", "order").join(labels.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("label", F.coalesce("component", "id"))
     )
-    mixed = rows.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rows = rows.join(mixed.select("region"), "region", "left_semi").join(distinct.select("id", "signature"), "id")
+    stats = stored(_open_regions(rows), f"{base}/open")
+    rows = rows.join(stats.select("region"), "region", "left_semi").join(distinct.select("id", "signature"), "id")
     rows = rows.select("region", "id", "label", "signature", "order", F.lit(forest.depth).alias("depth"))
-    regions = _regions(rows, forest)
+    regions = _regions(rows, stats, forest)
     second = stored(_open_pairs(regions, forest), f"{base}/second")
     pairs = second.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = links.union(_confirmed(pairs, docs, id_col, text_col, forest))
