@@ -145,6 +145,7 @@ def search(vectors: DataFrame, is_query: Column, how: Tables = Tables(), id_col:
     query row goes to its ``probes`` nearest axes.  Each block of a bucket
     ranks its rows for the queries that visit it and sends on
     ``how.neighbours`` a query, so candidate pairs never leave their task.
+    A query that finds fewer looks into all buckets in a second turn.
 
     Null ids and vectors, zero vectors and those with null or non-finite
     components take no part; nor do vectors of another length than the most
@@ -177,7 +178,7 @@ def search(vectors: DataFrame, is_query: Column, how: Tables = Tables(), id_col:
     counts = marked.select("v").mapInArrow(homes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     blocks = {r.bucket: -(-r.n // how.block_rows) for r in counts}
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, points, asked = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             raw = [v.tobytes() for v in points]
@@ -201,6 +202,17 @@ def search(vectors: DataFrame, is_query: Column, how: Tables = Tables(), id_col:
         columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
         return pa.table(columns, ["query_id", "vec_id", "score"])
 
-    spread = marked.mapInArrow(dealt, "bucket long, block long, query boolean, id long, v binary")
-    found = spread.groupBy("bucket", "block").applyInArrow(ranked, "query_id long, vec_id long, score double")
+    def visited(points: DataFrame, probes: int) -> DataFrame:
+        spread = points.mapInArrow(
+            lambda batches: dealt(batches, probes), "bucket long, block long, query boolean, id long, v binary")
+        return spread.groupBy("bucket", "block").applyInArrow(ranked, "query_id long, vec_id long, score double")
+
+    found = stored(visited(marked, probes), f"{base}/found")
+    # Queries short of neighbours look into every bucket.
+    served = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= how.neighbours)
+    short = marked.filter("asked").join(served, F.col("id") == F.col("query_id"), "left_anti").select("id").distinct()
+    short = stored(short.withColumn("short", F.lit(True)), f"{base}/short")
+    if not short.isEmpty():
+        rest = marked.drop("asked").join(short, "id", "left").select("id", "v", F.coalesce("short", F.lit(False)).alias("asked"))
+        found = found.union(visited(rest, 2 * dims))
     return _top(found, how.neighbours).withColumn("probes", F.lit(probes))

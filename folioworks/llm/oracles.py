@@ -1,3 +1,73 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others learn a model, tokenise, shuffle by a hash DuckDB lacks or are
+approximate; they are tested against brute force, round trips or held-out rows.
+"""
+
+_CHAT = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+    SELECT *, replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>') AS safe_text,
+           replace(replace(replace(replace(role, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>'), ':', '\:') AS safe_role
+    FROM said
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+           coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS trained,
+           string_agg('### ' || role || ': ' || text || '</turn>' || chr(10), '' ORDER BY turn, role, text) AS plain,
+           string_agg('### ' || safe_role || ': ' || safe_text || '</turn>' || chr(10), '' ORDER BY turn, role, text) AS safe
+    FROM marked GROUP BY conv_id
+), parsed AS (
+    SELECT *, array_to_string(list_transform(string_split(plain, '</turn>' || chr(10))[:-2], lambda c:
+        regexp_replace(regexp_extract(c, '(?s)^### ((?:[^:\\]|\\.)*): (.*)$', 1), '(?s)\\(.)', '\1', 'g') || chr(10) ||
+        regexp_replace(regexp_extract(c, '(?s)^### ((?:[^:\\]|\\.)*): (.*)$', 2), '(?s)\\(.)', '\1', 'g') || chr(10)), '') AS back
+    FROM whole
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(trained) AS loss_chars, sha256(trained) AS loss_sha256,
+       CASE WHEN back = turns THEN length(plain) ELSE length(safe) END AS formatted_chars,
+       CASE WHEN back = turns THEN 0 ELSE 1 END AS escape_level, true AS identical
+FROM parsed
+"""
+
+_ARC = """
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    FROM pages WHERE page_id IS NOT NULL
+), digests AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4),
+        lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                         1 + ((('0x' || substr(hex, 5 * g::INT + 1, 5))::INT >> (15 - 5 * k::INT)) & 31), 1)), '')), '') AS payload_digest
+    FROM hashed
+), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to, true AS intact
+FROM firsts
+"""
+
+_NEAR = r"""
+WITH RECURSIVE said AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), members AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    FROM said
+), sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM members x JOIN members y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reached(a, b) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": _CHAT, "op3_arc_to_warc": _ARC, "op10_near_duplicates": _NEAR}

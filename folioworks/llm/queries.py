@@ -28,7 +28,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through legacy archives to WARC, read back."""
-    return arc.archived(read(spark, sf_dir, "pages"))
+    return arc.archived(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
