@@ -9,21 +9,24 @@ from .. import fixed_values as fv
 from .columns import ColumnOrName, col
 
 # First bytes (hexadecimal) of image formats.
-MAGIC = {
-    "PNG": "89504E470D0A1A0A",
-    "JPEG": "FFD8FF",
-    "GIF": "47494638",
-    "BMP": "424D",
-    "TIFF": "49492A00",
-}
+# In WEBP four bytes of length stand between the two marks.
+MAGIC = (
+    ("PNG", "89504E470D0A1A0A"),
+    ("JPEG", "FFD8FF"),
+    ("GIF", "47494638"),
+    ("BMP", "424D"),
+    ("TIFF", "49492A00"),
+    ("TIFF", "4D4D002A"),
+    ("WEBP", "52494646________57454250"),
+)
 
 
 def sniff_format(content: ColumnOrName) -> Column:
     """Format name of image bytes, null when unknown."""
-    head = F.hex(F.substring(col(content), 1, 8))
+    head = F.hex(F.substring(col(content), 1, 12))
     found = F.lit(None).cast("string")
-    for name, magic in MAGIC.items():
-        found = F.when(head.startswith(magic), F.lit(name)).otherwise(found)
+    for name, magic in MAGIC:
+        found = F.when(head.like(f"{magic}%"), F.lit(name)).otherwise(found)
     return found
 
 

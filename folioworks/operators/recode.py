@@ -18,6 +18,8 @@ from .classify import accept
 
 Codec = Callable[[bytes, str], bytes]
 
+EMPTY_RESULT = "the codec gave no bytes"
+
 DECISION_COLUMNS = (
     "container", "ordinal", "part_name", "reason", "old_size", "new_size", "accepted",
 )
@@ -46,6 +48,8 @@ def recode(parts: DataFrame, codec: Codec, share: Share = Share()) -> DataFrame:
                     if problem is None:
                         try:
                             new = codec(old, name)
+                            if not new:
+                                new, error = None, EMPTY_RESULT
                         except Exception as raised:  # any codec trouble: keep the part
                             error = str(raised) or repr(raised)
                     old_size = None if old is None else len(old)

@@ -78,7 +78,7 @@ def run_second_pass(
     stopped = written(
         rec.all_violations(
             unprocessable(unreadable(scanned), "error"),
-            unprocessable(xml, "problem"),
+            unprocessable(content_types_parts(xml), "problem"),
             unprocessable(
                 missing_required(whole, parts).withColumn(
                     "problem", F.lit(fv.MISSING_CONTENT_TYPES)
@@ -103,16 +103,17 @@ def run_second_pass(
         spark, png, f"{run}/png", lambda images: pixel_flags(images, settings.min_colors), share
     )
     why = (
-        F.when(~F.col("decodable"), F.format_string(fv.KEPT_ERROR_PNG, F.lit(_UNDECODABLE)))
+        F.when(F.col("problem").isNotNull(), None)
+        .when(~F.coalesce("decodable", F.lit(False)), F.format_string(fv.KEPT_ERROR_PNG, F.lit(_UNDECODABLE)))
         .when(F.col("has_alpha"), F.lit(fv.KEPT_ALPHA))
         .when(~F.col("photographic"), F.lit(fv.KEPT_FEW_COLORS))
     )
     judged_png = png.join(
-        flags.select("container", "ordinal", why.alias("pixel_reason")),
+        flags.select("container", "ordinal", "problem", why.alias("pixel_reason")),
         ["container", "ordinal"],
     )
     judged_png = written(judged_png, f"{run}/judged_png")
-    photos = judged_png.filter(F.col("pixel_reason").isNull())
+    photos = judged_png.filter(F.col("pixel_reason").isNull() & F.col("problem").isNull())
     recoded = recode(photos, codec, share)
     decided = written(decide(recoded, "convert", settings), f"{run}/decided", large_rows=True)
 
@@ -132,8 +133,14 @@ def run_second_pass(
     broken_rels = bad_xml.filter(F.col("part_name") != fv.CONTENT_TYPES_PART).join(
         touched, "container", "left_semi"
     )
-    stopped_late = unprocessable(broken_rels, "part_name").unionByName(
-        unprocessable(decided, "problem")
+    # References matter only where something was renamed; a picture that can't
+    # be read stops its package in any case.
+    unread_rels = rels_parts(xml).join(touched, "container", "left_semi")
+    stopped_late = (
+        unprocessable(broken_rels, "part_name")
+        .unionByName(unprocessable(unread_rels, "problem"))
+        .unionByName(unprocessable(judged_png, "problem"))
+        .unionByName(unprocessable(decided, "problem"))
     )
     to_write = whole.join(touched, "container", "left_semi").join(
         stopped_late.select("container").distinct(), "container", "left_anti"
@@ -168,7 +175,7 @@ def run_second_pass(
         "left_semi",
     )
     reopened = inspect_images(spark, new_images, f"{run}/jpeg", image_profile, share)
-    undecodable = reopened.filter(~F.col("decodable")).join(
+    undecodable = reopened.filter(~F.coalesce("decodable", F.lit(False))).join(
         after.select("container", "ordinal", "part_name"), ["container", "ordinal"]
     )
     violations = written(

@@ -27,10 +27,55 @@ def locate(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
 
 
+class ReadFailed(Exception):
+    """The file system failed, as opposed to what stands in a file."""
+
+
+class _Source:
+    """A file whose own errors are told apart from those of a decoder on top of it."""
+
+    def __init__(self, path: str):
+        def opened() -> IO[bytes]:
+            fs, name = locate(path)
+            return fs.open_input_file(name)
+
+        self._file = self._try(opened)
+
+    @staticmethod
+    def _try(call, *args):
+        try:
+            return call(*args)
+        except OSError as problem:
+            raise ReadFailed(str(problem)) from problem
+
+    def read(self, size: int = -1) -> bytes:
+        return self._try(self._file.read, None if size is None or size < 0 else size)
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        return self._try(self._file.seek, offset, whence)
+
+    def tell(self) -> int:
+        return self._try(self._file.tell)
+
+    def size(self) -> int:
+        return self._try(self._file.size)
+
+    def seekable(self) -> bool:
+        return True
+
+    def close(self) -> None:
+        self._file.close()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def open_seekable(path: str) -> IO[bytes]:
-    """A file of which only the parts read are fetched."""
-    fs, name = locate(path)
-    return fs.open_input_file(name)
+    """A file of which only the parts read are fetched; its failures are ``ReadFailed``."""
+    return _Source(path)
 
 
 def place(path: str, fill: Callable[[IO[bytes]], None]) -> int:

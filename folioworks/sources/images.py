@@ -15,7 +15,7 @@ from ..session import written
 from .files import opened, place, remove_folder
 from .packages import Share, by_package_slice, open_zip, read_member
 
-_STAGED = "container string, ordinal int, image_key string, wave int"
+_STAGED = "container string, ordinal int, image_key string, wave int, problem string"
 
 # The image source lists its files on the driver; this many at a time.
 WAVE = 500_000
@@ -34,12 +34,19 @@ def inspect_images(
     ``inspect`` maps rows of ``image_key, image`` to rows with ``image_key``.
     The parts are staged as files below ``folder`` and decoded in waves, so the
     driver never holds more than ``wave_size`` file names; the result is stored.
+    Every part has one row: ``problem`` says why its bytes could not be read, and
+    what ``inspect`` adds is null for a part that gave no image (an empty one,
+    which the image source passes over).
     """
     waves = -(-parts.count() // wave_size)
     if waves == 0:
         found = inspect(spark.createDataFrame([], _IMAGES))
         return found.withColumns(
-            {"container": F.lit("").cast("string"), "ordinal": F.lit(0)}
+            {
+                "container": F.lit("").cast("string"),
+                "ordinal": F.lit(0),
+                "problem": F.lit(None).cast("string"),
+            }
         ).drop("image_key")
     keys = written(stage_images(parts, f"{folder}/files", share, waves), f"{folder}/keys")
     for wave in range(waves):
@@ -47,7 +54,7 @@ def inspect_images(
         written(inspect(read_images(spark, files)), f"{folder}/found/{wave}")
         remove_folder(files)
     found = spark.read.parquet(*[f"{folder}/found/{wave}" for wave in range(waves)])
-    return keys.join(found, "image_key").drop("image_key", "wave")
+    return keys.join(found, "image_key", "left").drop("image_key", "wave")
 
 
 _IMAGES = (
@@ -61,7 +68,7 @@ def stage_images(
 ) -> DataFrame:
     """Write each part to a file of its own, for the image source to read.
 
-    Returns ``container, ordinal, image_key, wave``.  Files are named by a digest
+    Returns ``container, ordinal, image_key, wave, problem``.  Files are named by a digest
     of the container and the ordinal, so a repeated task writes the same ones;
     each wave has its own folder.
     """
@@ -70,12 +77,14 @@ def stage_images(
         with opened(open_zip) as package:
             for frame in frames:
                 columns = ("path", "ordinal", "image_key", "wave")
+                problems = []
                 for path, ordinal, key, wave in zip(*(frame[c] for c in columns)):
-                    content, _ = read_member(package, path, ordinal)
+                    content, problem = read_member(package, path, ordinal)
+                    problems.append(problem)
                     place(
                         f"{folder}/{wave}/{key[:2]}/{key}", lambda out: out.write(content or b"")
                     )
-                yield frame.drop(columns=["path"])
+                yield frame.drop(columns=["path"]).assign(problem=problems)
 
     digest = F.sha1(F.encode("container", "UTF-8"))
     rows = parts.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import lzma
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,9 +29,13 @@ _PART_COLUMNS = [field.split()[0] for field in PART_SCHEMA.split(", ")]
 
 _SMALLEST_ZIP = 22  # bytes of an empty archive
 
-# What a damaged member raises.  Failing reads are not among these: Spark
-# repeats the task instead of blaming the package.
-DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
+# What a damaged member raises; a bzip2 decoder raises plain OSErrors.  Failing
+# reads are not among these (see ReadFailed): Spark repeats the task instead of
+# blaming the package.
+DAMAGED = (
+    zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, NotImplementedError, OSError,
+    RuntimeError, ValueError,
+)
 
 # Rows and bytes a task gathers before it hands them over.
 _BATCH_ROWS = 4096

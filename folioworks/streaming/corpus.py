@@ -8,6 +8,7 @@ from ..operators.recode import Codec
 from ..plans.first_pass import run_first_pass
 from ..settings import DEFAULTS, Settings
 from ..sources.packages import container_glob, named_containers
+from .telemetry import batch_folder, run_key
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -25,7 +26,7 @@ def run_corpus(
     """Reduce the packages that have appeared since the last run.
 
     Only file names and sizes enter the stream; the outcomes of each batch go
-    to ``results`` under its ``batch_id``.  Publishing renames files into
+    to ``results`` under its ``run`` (see ``run_key``) and ``batch_id``.  Publishing renames files into
     place, so a repeated batch replaces its own output.
     """
     reader = (
@@ -41,7 +42,8 @@ def run_corpus(
         done = run_first_pass(
             spark, source, target, codec, settings, named_containers(batch, settings.suffix)
         )
-        done.outcomes.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+        run = run_key(checkpoint, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        done.outcomes.write.mode("overwrite").parquet(batch_folder(results, run, batch_id))
 
     query = (
         files.writeStream.foreachBatch(process)

@@ -123,3 +123,16 @@ def test_too_many_columns_are_refused(spark):
             column_codes(headers)
     finally:
         spark.conf.set("spark.sql.pivotMaxValues", old)
+
+
+def test_a_new_checkpoint_adds_to_the_tables(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    write_status(source, "one", FIRST)
+    run_telemetry(spark, source, target, str(tmp_path / "check1"))
+    later = str(tmp_path / "in2")
+    write_status(later, "two", SECOND[:-1])
+    tables = run_telemetry(spark, later, target, str(tmp_path / "check2"))
+    assert values(tables.rows(spark), CODES) == EXPECTED
+    drift = spark.read.parquet(tables.path("drift")).collect()
+    assert {r.poll_id: r.new_codes for r in drift} == DRIFT
+    assert tables.headers(spark).count() == 2
