@@ -34,7 +34,7 @@ class Forest:
     region_rows: int = 4096
     step: int = 2
     # Pairs for each row beyond which a region is dense.
-    sparse: int = 2
+    sparse: int = 8
     # Standard errors by which a signature's estimate may fall short of the
     # threshold before a pair is no candidate.
     slack: float = 4.0
