@@ -28,13 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies."""
-    kept = forest.near_duplicates(docs).filter("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = forest.near_duplicates(docs).filter("not kept").select(F.col("id").alias("doc_id"))
+    copies = stored(copies, f"{scratch_dir(spark)}/copies")  # its size is known to the join
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
     found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = stored(found, f"{scratch_dir(spark)}/found")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

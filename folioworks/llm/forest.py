@@ -372,7 +372,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     pairs = second.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = links.union(_confirmed(pairs, docs, id_col, text_col, forest))
     dense = regions.join(second.filter("a is null").select("region"), "region", "left_semi")
-    sets = _members(docs, dense.select("id").distinct(), id_col, text_col, forest)
+    # Stored, so that its size is known: a short list is sent to the texts
+    # instead of shuffling them.
+    crowded = stored(dense.select("id").distinct(), f"{base}/crowded")
+    sets = _members(docs, crowded, id_col, text_col, forest)
     links = links.union(_dense_links(dense, sets, forest))
     labels = components(stored(links, f"{base}/links"))
 
