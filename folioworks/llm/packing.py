@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,15 +37,24 @@ class Bins:
     group_rows: int = 50_000
     end_id: int = 1
     # Words whose ids a worker remembers before it starts anew.
-    remembered: int = 400_000
+    remembered: int = 800_000
+
+
+#: Letters that need no look at their neighbours: ASCII and the Latin blocks behind it, lowered.
+LATIN = "a-zÀ-ÖØ-öø-ɏ"
+#: The tokenizer's own split, for texts of ASCII characters and those letters.
+WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+", re.ASCII)
+#: Any other character, or what could start a special token.
+OTHER = re.compile(rf"[^\x00-\x7f{LATIN}]|<\|")
 
 
 class Encoder:
     """Token ids of a text, word by word.
 
-    The tokenizer never joins characters across blanks or line breaks, so the
-    ids of a text are those of its blank-separated parts in a row; each
-    distinct part is encoded once.
+    The tokenizer never joins characters across words, so the ids of a text are
+    those of its words in a row; each distinct word is encoded once.  A text in
+    which :data:`OTHER` finds something is cut at blanks only, and each part is
+    left to the tokenizer whole: it composes, lowers and splits by itself.
     """
 
     def __init__(self, path: str, remembered: int):
@@ -53,18 +64,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered, self.known = remembered, {}
 
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        text = text or ""
+        lowered = text.lower()
+        if OTHER.search(lowered):
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return WORD.findall(lowered)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids."""
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        parts = [self.parts(t) for t in texts]
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        new = {w for p in parts for w in p if w not in known}
-        new = list(new)
+        new = list({w for p in parts for w in p if w not in known})
         for k in range(0, len(new), 20_000):
             block = new[k : k + 20_000]
             for word, got in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
+                ids = got.ids
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
