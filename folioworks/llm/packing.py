@@ -36,8 +36,8 @@ class Bins:
     rule: str = "product"  # or "residual"
     group_rows: int = 50_000
     end_id: int = 1
-    # Words whose ids a worker remembers before it starts anew.
-    remembered: int = 800_000
+    # Words (and as many parts of other texts) whose ids a worker remembers before it starts anew.
+    remembered: int = 600_000
 
 
 #: Letters that need no look at their neighbours: ASCII and the Latin blocks behind it, lowered.
@@ -46,6 +46,7 @@ LATIN = "a-zÀ-ÖØ-öø-ɏ"
 WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+", re.ASCII)
 #: Any other character, or what could start a special token.
 OTHER = re.compile(rf"[^\x00-\x7f{LATIN}]|<\|")
+BLANK = re.compile("[ \t\r\n]")
 
 
 class Encoder:
@@ -59,32 +60,42 @@ class Encoder:
 
     def __init__(self, path: str, remembered: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.known = remembered, {}
-
-    @staticmethod
-    def parts(text: str | None) -> list[str]:
-        text = text or ""
-        lowered = text.lower()
-        if OTHER.search(lowered):
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return WORD.findall(lowered)
+        words = Tokenizer.from_file(path)
+        # Lowered and split already.
+        words.normalizer = normalizers.Sequence([])
+        words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.parts = Memory(words, remembered), Memory(Tokenizer.from_file(path), remembered)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids."""
-        parts = [self.parts(t) for t in texts]
+        texts = [t or "" for t in texts]
+        lowered = [t.lower() for t in texts]
+        hard = [OTHER.search(t) is not None for t in lowered]
+        by_word = self.words.ids([WORD.findall(t) for t, h in zip(lowered, hard) if not h])
+        by_part = self.parts.ids([BLANK.split(t) for t, h in zip(texts, hard) if h])
+        return [next(by_part if h else by_word) for h in hard]
+
+
+class Memory:
+    """Ids of strings, each encoded once; beyond ``remembered`` strings it starts anew."""
+
+    def __init__(self, tokenizer, remembered: int):
+        self.tokenizer, self.remembered, self.known = tokenizer, remembered, {}
+
+    def ids(self, rows: list[list[str]]) -> Iterator[bytes]:
+        """The ids of each row's strings, one after another."""
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        new = list({w for p in parts for w in p if w not in known})
+        new = list({w for row in rows for w in row if w not in known})
         for k in range(0, len(new), 20_000):
             block = new[k : k + 20_000]
             for word, got in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
                 ids = got.ids
                 known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return (b"".join(map(known.__getitem__, row)) for row in rows)
 
 
 def tokenizer_path() -> str:
