@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,3 +93,20 @@ def test_shards_hold_the_mixture(documents):
     assert [r.doc_id for r in sorted(out, key=lambda r: r.position) if r.doc_id != 2000] == plain
     assert sharding.interleaved(df.limit(0), 40).count() == 0
     assert sorted(r.shard for r in sharding.interleaved(df.limit(3), 40).collect()) == sorted({((p + 1) * 40 - 1) // 3 for p in range(3)})
+
+
+@needs_vocabulary
+def test_ids_by_word_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    encoder = packing.Encoder(packing.tokenizer_path(), 50)
+    draw = random.Random(5)
+    pool = [chr(c) for c in range(1, 0x250)] + list(" \n\t'stremld.,!0129abcABC") * 12
+    latin = [c for c in pool if c.isascii() or c >= "À"]
+    texts = ["".join(draw.choices(latin if k % 2 else pool, k=draw.randint(0, 40))) for k in range(2000)]
+    texts += ["", "it's DON'T we'LL", "x<|endoftext|> y", "\u212a\u212b \u1e9e \u0130 \u0391\u03a3 \u03a3", "e\u0301 \u0301", "\x1c\x85 a"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    got = [ids for k in range(0, len(texts), 100) for ids in encoder.encode(texts[k : k + 100])]
+    assert got == want
+    assert encoder.encode([None]) == [b""]
