@@ -211,35 +211,30 @@ def _open_regions(rows: DataFrame) -> DataFrame:
     ).filter("low <> high").select("region", "n")
 
 
-def _pairs_in(labels: np.ndarray, signature: np.ndarray, order: int, depth: int, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
+def _pairs_in(labels: np.ndarray, signature: np.ndarray, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a region: the later rows of another label that its signature
-    doesn't rule out, less those that share an earlier order's prefix and so
-    meet in a region of that order."""
+    doesn't rule out.  A pair that shares an earlier order's prefix too counts
+    here as well, since that order's region may have been deepened past it."""
     for i in range(len(labels) - 1):
         rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
         if not len(rest):
             continue
-        same = signature[rest] == signature[i]
-        near = same.sum(axis=1) >= forest.least_equal
-        rest, same = rest[near], same[near]
-        if depth == forest.depth and order and len(rest):
-            earlier = same[:, : order * forest.depth].reshape(len(rest), order, forest.depth).all(axis=2).any(axis=1)
-            rest = rest[~earlier]
+        rest = rest[(signature[rest] == signature[i]).sum(axis=1) >= forest.least_equal]
         if len(rest):
             yield i, rest
 
 
 def _by_region(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple]:
-    """(region, ids, labels, signatures, order, depth, slice of the table) of rows sorted by region."""
+    """(region, ids, labels, signatures, slice of the table) of rows sorted by region."""
     held: list[pa.RecordBatch] = []
 
     def cut(table: pa.Table) -> Iterator[tuple]:
         region = table.column("region").to_numpy()
         at = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
-        ids, labels, order, depth = (table.column(c).to_numpy() for c in ("id", "label", "order", "depth"))
+        ids, labels = (table.column(c).to_numpy() for c in ("id", "label"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, forest.hashes)
         for i, j in zip(at[:-1], at[1:]):
-            yield int(region[i]), ids[i:j], labels[i:j], signature[i:j], int(order[i]), int(depth[i]), table.slice(i, j - i)
+            yield int(region[i]), ids[i:j], labels[i:j], signature[i:j], table.slice(i, j - i)
 
     for batch in batches:
         if not batch.num_rows:
@@ -257,16 +252,16 @@ def _by_region(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tu
 
 
 def _open_pairs(regions: DataFrame, forest: Forest) -> DataFrame:
-    """(region, a, b): candidate pairs of different labels, each from one region only.
+    """(region, a, b): candidate pairs of different labels; a pair may come from several regions.
 
     A region with many more pairs than rows is named without them (a and b
     null): it is dense and its sets are compared where they meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region, ids, labels, signature, order, depth, _ in _by_region(batches, forest):
+        for region, ids, labels, signature, _ in _by_region(batches, forest):
             left, right, dense = [], [], False
-            for i, rest in _pairs_in(labels, signature, order, depth, forest):
+            for i, rest in _pairs_in(labels, signature, forest):
                 left.append(np.full(len(rest), ids[i]))
                 right.append(ids[rest])
                 if dense := sum(map(len, left)) > forest.sparse * len(ids):
@@ -288,7 +283,7 @@ def _dense_links(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFra
     sets within the task; of links that join the same labels only the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, labels, signature, order, depth, table in _by_region(batches, forest):
+        for _, ids, labels, signature, table in _by_region(batches, forest):
             members = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
             _, label = np.unique(labels, return_inverse=True)
             root = list(range(len(ids)))
@@ -300,7 +295,7 @@ def _dense_links(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFra
                 return k
 
             links = []
-            for i, rest in _pairs_in(labels, signature, order, depth, forest):
+            for i, rest in _pairs_in(labels, signature, forest):
                 for j in rest.tolist():
                     x, y = top(int(label[i])), top(int(label[j]))
                     if x != y and _linked(members[i], members[j], forest.percent):

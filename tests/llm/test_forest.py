@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.forest import Forest, near_duplicates
+from folioworks.llm.forest import Forest, _open_pairs, _open_regions, _prefixes, _regions, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,3 +87,23 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1400)}
+
+
+def crowd_with_a_pair(spark, forest, orders, crowd):
+    """Signatures of a crowd in order 0's region and of the pair (0, 1) in the regions of ``orders``."""
+    rng = np.random.default_rng(5)
+    signature = rng.integers(0, 65536, (crowd + 2, forest.hashes), dtype=np.uint16)
+    signature[:, : forest.depth] = signature[0, : forest.depth]
+    signature[1] = signature[0]
+    parted = [t for t in range(1, forest.orders) if t not in orders]
+    signature[1, [t * forest.depth for t in parted]] ^= 1
+    rows = [(int(key), n, n, signature[n].tobytes(), t, forest.depth) for t in orders
+            for n, key in enumerate(_prefixes(signature, forest, t, forest.depth).view(np.int64))]
+    rows = spark.createDataFrame(rows, "region long, id long, label long, signature binary, order int, depth int")
+    return rows, _open_regions(rows)
+
+
+def test_pair_of_a_crowded_region_is_compared_in_a_later_order(spark):
+    forest = Forest(region_rows=20, sparse=1000)
+    regions = _regions(*crowd_with_a_pair(spark, forest, (0, 2), 60), forest)
+    assert {(r.a, r.b) for r in _open_pairs(regions, forest).collect()} == {(0, 1)}
