@@ -18,7 +18,7 @@ from .tables import scratch_dir, stored
 
 @dataclass(frozen=True)
 class Forest:
-    """``orders`` signature orders, each starting at its own ``depth`` hashes.
+    """``orders`` signature orders, each keyed by its own ``depth`` hashes.
 
     A pair at similarity s shares the first ``depth`` hashes of an order with
     probability s**depth; all orders miss it with (1 - s**depth)**orders, 3e-7
@@ -29,10 +29,9 @@ class Forest:
     percent: int = 80
     orders: int = 32
     depth: int = 6
-    # Rows of one region that are compared with each other; denser regions are
-    # told apart by ``step`` further hashes of their order.
+    # Rows of one region that are compared with each other in one piece; larger
+    # regions are dealt over cells of two blocks of about so many rows.
     region_rows: int = 4096
-    step: int = 2
     # Pairs for each row beyond which a region is dense.
     sparse: int = 8
     # Standard errors by which a signature's estimate may fall short of the
@@ -169,39 +168,47 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, fo
 
 
 def _regions(rows: DataFrame, stats: DataFrame, forest: Forest) -> DataFrame:
-    """Adaptive depth: ``rows`` of open regions go on in regions of at most
-    ``region_rows`` rows, or of full depth; ``stats`` are the regions' sizes."""
+    """``rows`` of open regions, with ``side``, in regions or cells of bounded size;
+    ``stats`` are the regions' sizes.
+
+    A region of more than ``region_rows`` rows is dealt over cells.  The rows of
+    its most common label need no comparison among themselves: their blocks of
+    about ``region_rows`` rows each meet every block of the others, and those
+    meet each other.  So each pair of labels meets in exactly one cell.  In a
+    cell of two blocks, sides 1 and 2 are compared; side 0 is one block.
+    """
+    columns = ["region", "id", "label", "signature", "order", "side"]
+    rows = stored(rows, f"{scratch_dir(rows.sparkSession)}/rows").withColumn("side", F.lit(0))
+    dense = stats.filter(F.col("n") > forest.region_rows).select("region")
+    if dense.isEmpty():
+        return rows.select(columns)
+    crowd = rows.join(dense, "region", "left_semi")
+
+    def blocks(n):
+        return F.ceil(n / forest.region_rows).cast("int")
+
+    sizes = (
+        crowd.groupBy("region", "label").agg(F.count("*").alias("n"))
+        .groupBy("region").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+        .select("region", F.col("most.label").alias("common"), blocks(F.col("most.n")).alias("ours"),
+                blocks(F.col("n") - F.col("most.n")).alias("others"))
+    )
+    sizes = stored(sizes, f"{scratch_dir(rows.sparkSession)}/sizes")
 
-    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            order = batch.column("order").to_numpy()
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, forest.hashes)
-            region = batch.column("region").to_numpy().copy()
-            depth = int(batch.column("depth")[0].as_py()) + forest.step if batch.num_rows else 0
-            for t in np.unique(order):
-                here = order == t
-                region[here] = _prefixes(signature[here], forest, int(t), depth).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(region), batch.column("id"), batch.column("label"), batch.column("signature"),
-                batch.column("order"), pa.array(np.full(batch.num_rows, depth), pa.int32()),
-            ], ["region", "id", "label", "signature", "order", "depth"])
-
-    base, done = scratch_dir(rows.sparkSession), []
-    for depth in range(forest.depth, forest.hashes, forest.step):
-        rows = stored(rows, f"{base}/depth-{depth}")
-        dense = stats.filter(F.col("n") > forest.region_rows)
-        if dense.isEmpty():
-            done.append(rows)
-            break
-        done.append(rows.join(dense.select("region"), "region", "left_anti"))
-        rows = stored(rows.join(dense.select("region"), "region", "left_semi").mapInArrow(deeper, rows.schema),
-                      f"{base}/deeper-{depth}")
-        stats = stored(_open_regions(rows), f"{base}/stats-{depth}")
-        rows = rows.join(stats.select("region"), "region", "left_semi")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+    def cell(kind, x, y, side):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+
+    block, common = F.col("block"), F.col("label") == F.col("common")
+    placed = crowd.join(sizes, "region").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.when(common, F.col("ours")).otherwise(F.col("others"))).cast("int"))
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    cells = F.when(common, F.transform(every, lambda k: cell(0, block, k, F.lit(1)))).otherwise(F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("ours") - 1), lambda k: cell(0, k, block, F.lit(2))),
+        F.transform(every, lambda k: cell(
+            1, F.least(k, block), F.greatest(k, block), F.when(k == block, 0).when(block < k, 1).otherwise(2)))))
+    placed = placed.withColumn("cell", F.explode(cells)).withColumn("side", F.col("cell.side")).withColumn(
+        "region", F.xxhash64("region", "cell.kind", "cell.x", "cell.y"))
+    return rows.join(dense, "region", "left_anti").select(columns).union(placed.select(columns))
 
 
 def _open_regions(rows: DataFrame) -> DataFrame:
@@ -211,30 +218,39 @@ def _open_regions(rows: DataFrame) -> DataFrame:
     ).filter("low <> high").select("region", "n")
 
 
-def _pairs_in(labels: np.ndarray, signature: np.ndarray, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a region: the later rows of another label that its signature
-    doesn't rule out.  A pair that shares an earlier order's prefix too counts
-    here as well, since that order's region may have been deepened past it."""
+def _pairs_in(labels: np.ndarray, signature: np.ndarray, side: np.ndarray, order: int, forest: Forest) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a region: the later rows of another label, and of the other
+    side if it has two, that its signature doesn't rule out, less those that
+    share an earlier order's prefix and so were compared in that order: whole
+    regions are, however large (see ``_regions``)."""
     for i in range(len(labels) - 1):
-        rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        other = labels[i + 1 :] != labels[i]
+        if side[i]:
+            other &= side[i + 1 :] != side[i]
+        rest = np.flatnonzero(other) + i + 1
         if not len(rest):
             continue
-        rest = rest[(signature[rest] == signature[i]).sum(axis=1) >= forest.least_equal]
+        same = signature[rest] == signature[i]
+        near = same.sum(axis=1) >= forest.least_equal
+        rest, same = rest[near], same[near]
+        if order and len(rest):
+            earlier = same[:, : order * forest.depth].reshape(len(rest), order, forest.depth).all(axis=2).any(axis=1)
+            rest = rest[~earlier]
         if len(rest):
             yield i, rest
 
 
 def _by_region(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple]:
-    """(region, ids, labels, signatures, slice of the table) of rows sorted by region."""
+    """(region, ids, labels, signatures, sides, order, slice of the table) of rows sorted by region."""
     held: list[pa.RecordBatch] = []
 
     def cut(table: pa.Table) -> Iterator[tuple]:
         region = table.column("region").to_numpy()
         at = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
-        ids, labels = (table.column(c).to_numpy() for c in ("id", "label"))
+        ids, labels, side, order = (table.column(c).to_numpy() for c in ("id", "label", "side", "order"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, forest.hashes)
         for i, j in zip(at[:-1], at[1:]):
-            yield int(region[i]), ids[i:j], labels[i:j], signature[i:j], table.slice(i, j - i)
+            yield int(region[i]), ids[i:j], labels[i:j], signature[i:j], side[i:j], int(order[i]), table.slice(i, j - i)
 
     for batch in batches:
         if not batch.num_rows:
@@ -252,16 +268,16 @@ def _by_region(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tu
 
 
 def _open_pairs(regions: DataFrame, forest: Forest) -> DataFrame:
-    """(region, a, b): candidate pairs of different labels; a pair may come from several regions.
+    """(region, a, b): candidate pairs of different labels, each from one region only.
 
     A region with many more pairs than rows is named without them (a and b
     null): it is dense and its sets are compared where they meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region, ids, labels, signature, _ in _by_region(batches, forest):
+        for region, ids, labels, signature, side, order, _ in _by_region(batches, forest):
             left, right, dense = [], [], False
-            for i, rest in _pairs_in(labels, signature, forest):
+            for i, rest in _pairs_in(labels, signature, side, order, forest):
                 left.append(np.full(len(rest), ids[i]))
                 right.append(ids[rest])
                 if dense := sum(map(len, left)) > forest.sparse * len(ids):
@@ -283,7 +299,7 @@ def _dense_links(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFra
     sets within the task; of links that join the same labels only the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, labels, signature, table in _by_region(batches, forest):
+        for _, ids, labels, signature, side, order, table in _by_region(batches, forest):
             members = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
             _, label = np.unique(labels, return_inverse=True)
             root = list(range(len(ids)))
@@ -295,7 +311,7 @@ def _dense_links(regions: DataFrame, sets: DataFrame, forest: Forest) -> DataFra
                 return k
 
             links = []
-            for i, rest in _pairs_in(labels, signature, forest):
+            for i, rest in _pairs_in(labels, signature, side, order, forest):
                 for j in rest.tolist():
                     x, y = top(int(label[i])), top(int(label[j]))
                     if x != y and _linked(members[i], members[j], forest.percent):
@@ -320,10 +336,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
        in all orders), which joins a large group of copies at the cost of one
        comparison a member, and never by all its pairs.
     3. Where a region still holds several components, all pairs between them
-       are compared by signature inside the task (in regions deepened until
-       they have at most ``region_rows`` rows), and what the estimate can't
-       rule out is confirmed on the full sets: pair by pair where they are few,
-       else inside the task of the region.
+       are compared by signature inside the task (regions of more than
+       ``region_rows`` rows block by block, in many tasks), and what the
+       estimate can't rule out is confirmed on the full sets: pair by pair
+       where they are few, else inside the task of the region.
 
     Null and empty texts have an empty set and are linked with nothing; repeated
     rows of one id count once with their smallest digest; null ids are left out.
@@ -361,7 +377,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     )
     stats = stored(_open_regions(rows), f"{base}/open")
     rows = rows.join(stats.select("region"), "region", "left_semi").join(distinct.select("id", "signature"), "id")
-    rows = rows.select("region", "id", "label", "signature", "order", F.lit(forest.depth).alias("depth"))
+    rows = rows.select("region", "id", "label", "signature", "order")
     regions = _regions(rows, stats, forest)
     second = stored(_open_pairs(regions, forest), f"{base}/second")
     pairs = second.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")

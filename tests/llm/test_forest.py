@@ -97,9 +97,9 @@ def crowd_with_a_pair(spark, forest, orders, crowd):
     signature[1] = signature[0]
     parted = [t for t in range(1, forest.orders) if t not in orders]
     signature[1, [t * forest.depth for t in parted]] ^= 1
-    rows = [(int(key), n, n, signature[n].tobytes(), t, forest.depth) for t in orders
+    rows = [(int(key), n, n, signature[n].tobytes(), t) for t in orders
             for n, key in enumerate(_prefixes(signature, forest, t, forest.depth).view(np.int64))]
-    rows = spark.createDataFrame(rows, "region long, id long, label long, signature binary, order int, depth int")
+    rows = spark.createDataFrame(rows, "region long, id long, label long, signature binary, order int")
     return rows, _open_regions(rows)
 
 
@@ -107,3 +107,29 @@ def test_pair_of_a_crowded_region_is_compared_in_a_later_order(spark):
     forest = Forest(region_rows=20, sparse=1000)
     regions = _regions(*crowd_with_a_pair(spark, forest, (0, 2), 60), forest)
     assert {(r.a, r.b) for r in _open_pairs(regions, forest).collect()} == {(0, 1)}
+
+
+@pytest.mark.parametrize("linked", [0, 45])
+def test_pair_of_a_crowded_region_is_compared_there(spark, linked):
+    forest = Forest(region_rows=20, sparse=1000)
+    rows, _ = crowd_with_a_pair(spark, forest, (0,), 60)
+    rows = rows.withColumn("label", F.when(F.col("id") <= linked, 0).otherwise(F.col("id"))) if linked else rows
+    rows = rows.withColumn("label", F.when(F.col("id") == 1, 1).otherwise(F.col("label")))
+    regions = _regions(rows, _open_regions(rows), forest)
+    assert [(r.a, r.b) for r in _open_pairs(regions, forest).collect()] == [(0, 1)]
+    # Every pair of two labels meets once, and no cell has more than two blocks.
+    cells = regions.select("region", "id", "label", "side").toPandas()
+    met = cells.merge(cells, on="region")
+    met = met[(met.id_x < met.id_y) & (met.label_x != met.label_y) & ((met.side_x == 0) | (met.side_x != met.side_y))]
+    label = dict(zip(cells["id"], cells["label"]))
+    assert sorted(zip(met.id_x, met.id_y)) == [(a, b) for a in range(62) for b in range(a + 1, 62) if label[a] != label[b]]
+    assert cells.groupby("region").size().max() < 62
+
+
+def test_crowded_regions_lose_no_link(documents):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(2):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        rows += [(len(rows) + k, edited(rng, base, rng.randrange(0, 9))) for k in range(30)]
+    assert found(documents(rows), Forest(shingle=3, percent=85, region_rows=8)) == classes(rows, 3, 85)
