@@ -71,6 +71,27 @@ def test_model_sums_to_one(documents):
         assert 0.9 < p <= 1.0 + 1e-6  # what is missing is kept for characters never seen
 
 
+def test_a_small_limit_of_entries_changes_no_score(spark, documents):
+    rows = [(k, "der hund und die katze " * 9 + "aber" * k, "de") for k in range(9)] + [(k, "le chat et le chien " + "ou" * k, "fr") for k in range(20, 29)]
+    docs, odd = documents(rows), documents([*rows, *ODD, (1, "katze chat zzz")]).withColumn("best", F.lit("x"))
+    sent, tabled = (langid.fit(docs, langid.Training(entries=n)) for n in (2_000_000, 20))
+    key = ["doc_id", "text"]
+    a, b = (langid.identified(odd, m).toPandas().sort_values(key).reset_index(drop=True) for m in (sent, tabled))
+    assert isinstance(tabled, langid.TableModel) and list(a.columns) == list(b.columns)
+    for c in ("doc_id", "lang_pred", "lang_rejected", "best"):
+        assert (a[c] == b[c]).all()
+    assert np.allclose(a["lang_bits"], b["lang_bits"], atol=1e-4) and np.allclose(a["lang_score"], b["lang_score"], atol=1e-3)
+    # Nothing is pruned: each context of the table sums to one over the letters and those never seen.
+    letters = [r.code for r in tabled.scores[1].collect()]
+    for context in ("", "u", "un", "und", "zzz"):
+        packed = 0
+        for c in context:
+            packed = (packed << 16) | ord(c)
+        codes = spark.createDataFrame([((packed << 16) | x,) for x in letters], "code long")
+        p = np.exp2(np.array([r.p for r in tabled.scores_of(codes).collect()])).sum(axis=0)
+        assert ((0.9 < p) & (p <= 1 + 1e-6)).all()
+
+
 def test_pieces_of_a_long_text_make_no_difference(documents, monkeypatch):
     model = langid.fit(documents([(k, "le chat et le chien sont la", "fr") for k in range(8)]))
     text = ["le chien est la et " * 200, "chat"]
