@@ -1,4 +1,8 @@
-"""Near-duplicate classes by an LSH forest over MinHash signatures."""
+"""Near-duplicate classes by banded MinHash signatures.
+
+Not an LSH forest proper: each order is one band of equal ``depth``, no
+signature is sorted and no common prefix length is taken.
+"""
 
 from __future__ import annotations
 
