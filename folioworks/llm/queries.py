@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, chat, crf, crosspolytope, decontaminate, forest, langid, licences, packing, sharding
-from .tables import held_out, read
+from . import (
+    arc,
+    chat,
+    crf,
+    crosspolytope,
+    decontaminate,
+    forest,
+    langid,
+    ledger,
+    licences,
+    packing,
+    repair,
+    sharding,
+    treap,
+)
+from .tables import held_out, read, scratch_dir, stored
 
 KEEP = 0.7
 
@@ -77,6 +93,28 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(read(spark, sf_dir, "documents"), how).withColumnRenamed("id", "doc_id")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = read(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id").cast("long"))
+    done = repair.summarised(repair.repaired(repair.damaged(rows))).withColumnRenamed("conv_id", "repaired_id")
+    every = rows.select("conv_id").distinct()
+    none = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.join(done, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left").drop("repaired_id").fillna(
+        {**none, "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    return treap.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and the current policy's verdict of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    entries = stored(ledger.ledger(docs), f"{scratch_dir(spark)}/ledger")
+    return entries.withColumns({"base_failed": ledger.failed(ledger.BASE), "kept": ~ledger.failed(ledger.CURRENT)})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_chat_format, op3_arc_to_warc, op4_cross_polytope, op5_licence_scan, op6_shard, op7_quality,
-    op8_language, op9_pack, op10_near_duplicates)}
+    op8_language, op9_pack, op10_near_duplicates, op11_repair, op12_ranked_search, op13_quality_rules)}
