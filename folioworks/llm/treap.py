@@ -33,7 +33,7 @@ from .tables import scratch_dir, stored
 class Ranking:
     top: int = 50
     # Postings in one treap; a single document may exceed it.
-    block_postings: int = 3_000_000
+    block_postings: int = 2_000_000
     # Most documents in one treap, so that a cell's code and value fit 64 bits.
     block_documents: int = 1 << 18
     # UTF-8 bytes of items searched together; more are searched in turns.  So many
@@ -119,17 +119,17 @@ class Treap:
         self.shift = self.depth - max(n_rows - 1, 1).bit_length()
         cells = (_spread(row << self.shift) << 1 | _spread(doc)) << 20 | value
         cells.sort()
-        code, top = cells >> 20, cells & 0xFFFFF
-        self.most: list[np.ndarray] = [np.append(top, 0)]
+        code, top = cells >> 20, (cells & 0xFFFFF).astype(np.int32)
+        self.most: list[np.ndarray] = [np.append(top, np.int32(0))]
         self.bits: list[np.ndarray] = []
         self.first: list[np.ndarray] = []
         for _ in range(self.depth):
             parent = code >> 2
             start = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
             self.bits.append(np.append(np.bitwise_or.reduceat((1 << (code & 3)).astype(np.uint8), start), 0).astype(np.uint8))
-            self.first.append(np.append(start, 0))
+            self.first.append(np.append(start, 0).astype(np.int32))
             top = np.maximum.reduceat(top, start)
-            self.most.append(np.append(top, 0))
+            self.most.append(np.append(top, np.int32(0)))
             code = parent[start]
         for levels in (self.most, self.bits, self.first):
             levels.reverse()
