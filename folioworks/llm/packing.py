@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +100,17 @@ class Memory:
         return (b"".join(map(known.__getitem__, row)) for row in rows)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, remembered: int) -> Encoder:
+    """The worker's encoder: what it remembers serves all tasks that the worker gets."""
+    return Encoder(path, remembered)
+
+
 def tokenizer_path() -> str:
     """The public vocabulary on this machine, the default of :func:`pieces`."""
-    return f"/opt/tokenizers/{WORD_BPE}"
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_BPE)
 
 
 def pieces(docs: DataFrame, path: str | None = None, bins: Bins = Bins()) -> DataFrame:
@@ -113,7 +123,7 @@ def pieces(docs: DataFrame, path: str | None = None, bins: Bins = Bins()) -> Dat
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path, bins.remembered), np.array([bins.end_id], dtype="<u4").tobytes()
+        encoder, end = encoder_of(path, bins.remembered), np.array([bins.end_id], dtype="<u4").tobytes()
         width = 4 * bins.tokens
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -125,10 +135,10 @@ def pieces(docs: DataFrame, path: str | None = None, bins: Bins = Bins()) -> Dat
                         own = ids[k : k + width]
                         rows.append((doc_id, k // width, k // 4, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names)
+                    [pa.array([r[k] for r in rows], pa.int32() if k == 1 else pa.int64()) for k in range(5)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, piece long, start long, length long, ids_crc32 long")
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, bins: Bins) -> tuple[np.ndarray, np.ndarray]:
@@ -139,38 +149,57 @@ def best_fit(lengths: np.ndarray, bins: Bins) -> tuple[np.ndarray, np.ndarray]:
     along the piece, see below) or the smallest weighted residual norm.  With
     "product" the fullest bin is preferred, so the sign of the dot product is
     taken on what would be left.  Ties go to the older bin.
+
+    Bins are filed by the tokens they have left.  They are looked at from the
+    fullest that fits on, until the tokens alone cost as much as the best found:
+    the other terms are never negative, so none is missed.  With the default
+    capacities of documents and cost, which only tokens can exhaust, this is best
+    fit by tokens whose ties the other two terms settle.
     """
-    need = np.stack([lengths / bins.tokens, np.full(len(lengths), 1 / bins.documents),
-                     (lengths / bins.tokens) ** 2 / bins.cost], axis=1)
-    weight = np.array(bins.weights)
+    room, share = bins.tokens, [1 / bins.tokens, 1 / bins.documents, 1 / (bins.cost * bins.tokens**2)]
+    w = bins.weights
+    product = bins.rule == "product"
     out, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    left = np.empty((1024, 3))
-    used = np.zeros(1024, np.int64)
-    live = np.empty(0, np.int64)  # bins that can still take a piece
-    opened = 0
+    filed: dict[int, list[int]] = {}  # tokens left -> bins, older first
+    levels: list[int] = []  # the tokens left that some bin has
+    documents: list[int] = []
+    squares: list[int] = []
     smallest = int(lengths.min()) if len(lengths) else 0
-    for i in np.argsort(-lengths, kind="stable"):
-        best = -1
-        if len(live):
-            after = left[live] - need[i]
-            fits = np.flatnonzero((after > -1e-9).all(axis=1))
-            if len(fits):
-                rest = after[fits]
-                # Least product of piece and what is left: the tightest bin in
-                # the directions in which this piece is large.
-                cost = rest @ (weight * need[i]) if bins.rule == "product" else ((rest * weight) ** 2).sum(axis=1)
-                best = int(live[fits[cost.argmin()]])
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[i])
+        square = size * size
+        need = (size * share[0], share[1], square * share[2])
+        best, cost, level = -1, float("inf"), 0
+        for at in range(bisect.bisect_left(levels, size), len(levels)):
+            left = levels[at]
+            rest = (left - size) * share[0]
+            tokens = w[0] * need[0] * rest if product else (w[0] * rest) ** 2
+            if tokens > cost:
+                break
+            for number in filed[left]:
+                free = 1 - (documents[number] + 1) * share[1], 1 - (squares[number] + square) * share[2]
+                if min(free) > -1e-9:
+                    now = (tokens + w[1] * need[1] * free[0] + w[2] * need[2] * free[1] if product
+                           else tokens + (w[1] * free[0]) ** 2 + (w[2] * free[1]) ** 2)
+                    if now < cost or (now == cost and number < best):
+                        best, cost, level = number, now, left
         if best < 0:
-            if opened == len(left):
-                left, used = np.concatenate([left, np.empty_like(left)]), np.concatenate([used, np.zeros_like(used)])
-            best, opened = opened, opened + 1
-            left[best] = 1.0
-            live = np.append(live, best)
-        out[i], offset[i] = best, used[best]
-        left[best] -= need[i]
-        used[best] += lengths[i]
-        if bins.tokens - used[best] < smallest:
-            live = live[live != best]
+            best, level = len(documents), room
+            documents.append(0)
+            squares.append(0)
+        else:
+            filed[level].remove(best)
+            if not filed[level]:
+                del filed[level], levels[bisect.bisect_left(levels, level)]
+        out[i], offset[i] = best, room - level
+        documents[best] += 1
+        squares[best] += square
+        level -= size
+        if level >= smallest:  # others can take no piece any more
+            if level not in filed:
+                filed[level] = []
+                bisect.insort(levels, level)
+            bisect.insort(filed[level], best)
     return out, offset
 
 
@@ -192,7 +221,8 @@ def packed(cut: DataFrame, bins: Bins = Bins()) -> DataFrame:
         number = own * groups + key[0].as_py()
         return pa.table([*(table.column(c) for c in own_names), pa.array(number), pa.array(offset)], names)
 
-    return dealt.groupBy("group").applyInArrow(run, extended(cut, "sequence_id long, offset long"))
+    # By number of groups: small rows, much work; adaptive execution would merge them.
+    return dealt.repartition(groups, "group").groupBy("group").applyInArrow(run, extended(cut, "sequence_id long, offset long"))
 
 
 def pack(docs: DataFrame, path: str | None = None, bins: Bins = Bins()) -> DataFrame:

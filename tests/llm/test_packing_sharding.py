@@ -57,6 +57,45 @@ def test_every_capacity_holds(rule):
         assert sorted(offset[here]) == np.cumsum([0, *own[here][np.argsort(offset[here])]])[:-1].tolist()
 
 
+@pytest.mark.parametrize("rule", ["product", "residual"])
+@pytest.mark.parametrize("bins", [{}, {"documents": 5, "cost": 0.7}, {"tokens": 60, "documents": 4, "weights": (0.1, 1.0, 1.0)}])
+def test_best_fit_equals_looking_at_every_bin(rule, bins):
+    bins = packing.Bins(rule=rule, **bins)
+    lengths = np.random.default_rng(6).integers(1, int(bins.tokens * bins.cost**0.5), 700)
+    held: list[list[int]] = []
+    want = {}
+    share = 1 / bins.tokens, 1 / bins.documents, 1 / (bins.cost * bins.tokens**2)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[i])
+        need = size * share[0], share[1], size * size * share[2]
+        best = None
+        for number, own in enumerate(held):
+            full = [*own, size]
+            if sum(full) > bins.tokens or len(full) > bins.documents or 1 - sum(x * x for x in full) * share[2] <= -1e-9:
+                continue
+            free = ((bins.tokens - sum(full)) * share[0], 1 - len(full) * share[1], 1 - sum(x * x for x in full) * share[2])
+            w = bins.weights
+            cost = (w[0] * need[0] * free[0] + w[1] * need[1] * free[1] + w[2] * need[2] * free[2] if rule == "product"
+                    else (w[0] * free[0]) ** 2 + (w[1] * free[1]) ** 2 + (w[2] * free[2]) ** 2)
+            best = min(best or (cost, number), (cost, number))
+        number = best[1] if best else len(held)
+        if best is None:
+            held.append([])
+        want[i] = number, sum(held[number])
+        held[number].append(size)
+    number, offset = packing.best_fit(lengths, bins)
+    assert [(int(a), int(b)) for a, b in zip(number, offset)] == [want[i] for i in range(len(lengths))]
+
+
+@needs_vocabulary
+def test_query_has_the_contracts_types(spark, sf_dir):
+    from folioworks.llm import queries
+
+    assert queries.op9_pack(spark, sf_dir).dtypes == [
+        ("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"),
+        ("sequence_id", "bigint"), ("offset", "bigint")]
+
+
 def test_best_fit_leaves_little_room():
     lengths = np.random.default_rng(5).integers(1, 2000, 5000)
     number, _ = packing.best_fit(lengths, packing.Bins())
