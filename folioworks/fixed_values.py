@@ -18,6 +18,7 @@ COPY_BLOCK = 4 * 1024 * 1024
 MEDIA_PREFIX = "word/media/"
 CONTENT_TYPES_PART = "[Content_Types].xml"
 MAIN_PART = "word/document.xml"
+ROOT_RELS = "_rels/.rels"
 RELS_SUFFIX = ".rels"
 JPEG_EXTENSIONS = (".jpg", ".jpeg", ".jpe", ".jfif")
 PNG_EXTENSIONS = (".png",)
@@ -29,6 +30,9 @@ NS_RELATIONSHIPS = "http://schemas.openxmlformats.org/package/2006/relationships
 IMAGE_REL_TYPE = (
     "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
 )
+DOCUMENT_REL_TYPE = (
+    "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
+)
 
 # Codes whose readings arrive multiplied by ten.
 TENTHS_CODES = (

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import astuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import ext
-from ..functions.formats import format_mismatch, not_png
+from ..functions.formats import MAGIC, format_mismatch, not_png
 from ..settings import DEFAULTS, Settings
 from ..sources.files import opened
+from ..sources.images import PICTURE, Decoder, Picture, picture
 from ..sources.packages import Batches, Share, by_package_slice, open_zip, read_member, read_parts
+from ..sources.slices import SLICE, SliceWriter, as_struct, slice_writer
 from .classify import accept
 
 Codec = Callable[[bytes, str], bytes]
@@ -25,41 +28,47 @@ DECISION_COLUMNS = (
 )
 _RECODED = (
     "container string, path string, ordinal int, part_name string, old_size long, "
-    "new_size long, new_content binary, codec_error string, problem string"
+    f"new_size long, new_slice {SLICE}, codec_error string, problem string"
 )
-_RECODED_COLUMNS = [field.split()[0] for field in _RECODED.split(", ")]
-
-
-def recode(parts: DataFrame, codec: Codec, share: Share = Share()) -> DataFrame:
+_RECODED_COLUMNS = [
+    "container", "path", "ordinal", "part_name", "old_size", "new_size", "new_slice",
+    "codec_error", "problem",
+]
+_HEAD_BYTES = 32
+
+
+def _recoded(
+    content: bytes, name: str, codec: Codec, slices: SliceWriter
+) -> tuple[int | None, dict | None, str | None]:
+    """New size, where a smaller result was stored, and what the codec raised."""
+    try:
+        new = codec(content, name)
+        if not new:
+            return None, None, EMPTY_RESULT
+    except Exception as raised:  # any codec trouble: keep the part
+        return None, None, str(raised) or repr(raised)
+    smaller = len(new) < len(content)  # no rule takes a larger one
+    return len(new), as_struct(slices.add(new)) if smaller else None, None
+
+
+def recode(parts: DataFrame, codec: Codec, folder: str, share: Share = Share()) -> DataFrame:
     """Apply ``codec(content, part_name)`` to each part.
 
-    Parts are read, recoded and dropped one by one where they are; only a
-    smaller replacement travels on, since no rule takes a larger one.  What
+    Parts are read, recoded and dropped one by one where they are.  A smaller
+    replacement goes to a slice file below ``folder``; its place travels on.  What
     the codec raises is a reason to keep that part, not a failure of the job.
+    Store the result before using it twice.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch = Batches(_RECODED_COLUMNS)
-        with opened(open_zip) as package:
+        with opened(open_zip) as package, slice_writer(folder) as slices:
             for frame in frames:
                 for container, path, ordinal, name in frame.itertuples(index=False, name=None):
                     old, problem = read_member(package, path, ordinal)
-                    new, error = None, None
-                    if problem is None:
-                        try:
-                            new = codec(old, name)
-                            if not new:
-                                new, error = None, EMPTY_RESULT
-                        except Exception as raised:  # any codec trouble: keep the part
-                            error = str(raised) or repr(raised)
-                    old_size = None if old is None else len(old)
-                    new_size = None if new is None else len(new)
-                    if new is not None and new_size >= old_size:
-                        new = None
-                    row = (
-                        container, path, ordinal, name, old_size, new_size, new, error, problem,
-                    )
-                    if batch.add(row, len(new or b"")):
+                    size = None if old is None else len(old)
+                    done = (None, None, None) if problem else _recoded(old, name, codec, slices)
+                    if batch.add((container, path, ordinal, name, size, *done, problem)):
                         yield batch.take()
         if batch.rows:
             yield batch.take()
@@ -68,6 +77,60 @@ def recode(parts: DataFrame, codec: Codec, share: Share = Share()) -> DataFrame:
     return by_package_slice(rows, share).mapInPandas(run, _RECODED)
 
 
+def convert(
+    parts: DataFrame,
+    decode: Decoder,
+    codec: Codec,
+    folder: str,
+    share: Share = Share(),
+    min_colors: int = fv.MIN_COLORS,
+) -> DataFrame:
+    """Judge each PNG part by its pixels and recode the opaque photographic ones.
+
+    A part is opened once: its first bytes say whether it is a PNG, the decoder
+    gives its pixels (see ``sources.images``), and only what they qualify meets the
+    codec.  The columns are those of :func:`recode`, ``file_size``, ``head`` (first
+    bytes) and those of ``PICTURE``.  Store the result before using it twice.
+    """
+    columns = [*_RECODED_COLUMNS, "head", *(c.split()[0] for c in PICTURE.split(", "))]
+    png = bytes.fromhex(dict(MAGIC)["PNG"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = Batches(columns)
+        with opened(open_zip) as package, slice_writer(folder) as slices:
+            for frame in frames:
+                for container, path, ordinal, name in frame.itertuples(index=False, name=None):
+                    old, problem = read_member(package, path, ordinal)
+                    seen, done = Picture(), (None, None, None)
+                    if problem is None and old.startswith(png):
+                        seen = picture(old, decode, min_colors)
+                        if seen.photographic and not seen.has_alpha:
+                            done = _recoded(old, name, codec, slices)
+                    size, head = (None, None) if old is None else (len(old), old[:_HEAD_BYTES])
+                    if batch.add(
+                        (container, path, ordinal, name, size, *done, problem, head, *astuple(seen))
+                    ):
+                        yield batch.take()
+        if batch.rows:
+            yield batch.take()
+
+    rows = parts.select("container", "path", "ordinal", "part_name")
+    return by_package_slice(rows, share).mapInPandas(
+        run, f"{_RECODED}, head binary, {PICTURE}"
+    ).withColumn("file_size", F.col("old_size"))
+
+
+def pixel_reason() -> Column:
+    """Why a part from :func:`convert` stays a PNG, null where only the codec decides."""
+    error = F.format_string(fv.KEPT_ERROR_PNG, F.col("decode_error"))
+    pixels = (
+        F.when(~F.col("decodable"), error)
+        .when(F.col("has_alpha"), F.lit(fv.KEPT_ALPHA))
+        .when(~F.col("photographic"), F.lit(fv.KEPT_FEW_COLORS))
+    )
+    return F.when(F.col("problem").isNull(), F.coalesce(not_png("head"), pixels))
+
+
 def decide(recoded: DataFrame, mode: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Accept or refuse each recoded part, with the reason for a refusal."""
     pattern = fv.KEPT_ERROR if mode == "recompress" else fv.KEPT_ERROR_PNG

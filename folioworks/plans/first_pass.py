@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import outcomes as out
 from ..operators import reconcile as rec
-from ..operators.classify import classify_parts, missing_required
+from ..operators.classify import classify_parts
 from ..operators.recode import DECISION_COLUMNS, Codec, check_formats, decide, recode
 from ..operators.skew import of_containers
-from ..session import scratch_dir, tasks_for, written
+from ..session import registered, scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
 from ..sources.files import remove_folder
 from ..sources.package_xml import structure_counts
@@ -39,6 +39,11 @@ class PassResult:
     violations: DataFrame
     published_parts: DataFrame
     share: Share  # how to deal out ``published_parts`` for reading
+    scratch: str  # where these tables lie
+
+    def discard(self) -> None:
+        """Remove the tables; nothing of this result can be read afterwards."""
+        remove_folder(self.scratch)
 
     def summary(self) -> DataFrame:
         return out.corpus_summary(self.outcomes)
@@ -66,15 +71,13 @@ def structure_violations(
     """The counts of the originals, and what differs or cannot be counted."""
     before_counts, after_counts = structure_counts(parts, share), structure_counts(after, share)
     uncountable = before_counts.unionByName(after_counts).filter(F.col("problem").isNotNull())
-    no_main = missing_required(containers, parts, fv.MAIN_PART)
+    empty = containers.join(before_counts.select("container"), "container", "left_anti")
     found = rec.all_violations(
         rec.count_violations(before_counts, after_counts),
         rec.violation(
             uncountable, rec.RULE_COUNTS, F.concat(F.lit(EXCEPTION), "problem"), F.lit(-1)
         ),
-        rec.violation(
-            no_main, rec.RULE_COUNTS, F.lit(EXCEPTION + "no part " + fv.MAIN_PART), F.lit(-1)
-        ),
+        rec.violation(empty, rec.RULE_COUNTS, F.lit(EXCEPTION + "no parts"), F.lit(-1)),
     )
     return before_counts, found
 
@@ -103,7 +106,7 @@ def run_first_pass(
     that run Python or touch files are written once; the rest stays lazy.
     """
     run = scratch_dir(spark)
-    staging = f"{target.rstrip('/')}/_staging-{run.rpartition('-')[2]}"
+    staging = registered(f"{target.rstrip('/')}/_staging-{run.rpartition('-')[2]}")
     if containers is None:
         containers = list_containers(spark, source, settings.suffix)
     containers = written(containers, f"{run}/containers")
@@ -119,14 +122,13 @@ def run_first_pass(
         ),
         f"{run}/checked",
     )
-    recoded = recode(checked.filter(F.col("format_reason").isNull()), codec, share)
-    decided = written(
-        decide(recoded, "recompress", settings), f"{run}/decided", large_rows=True
-    )
+    wanted = checked.filter(F.col("format_reason").isNull())
+    recoded = recode(wanted, codec, f"{run}/slices", share)
+    decided = written(decide(recoded, "recompress", settings), f"{run}/decided")
 
     whole = containers.join(unreadable(scanned), "container", "left_anti")
     replacements = decided.filter("accepted").select(
-        "container", "ordinal", F.col("part_name").alias("new_part_name"), "new_content"
+        "container", "ordinal", F.col("part_name").alias("new_part_name"), "new_slice"
     )
     staged = written(write_packages(whole, replacements, staging, tasks), f"{run}/staged")
     complete = staged.filter(F.col("problem").isNull())
@@ -163,7 +165,7 @@ def run_first_pass(
         .unionByName(decided.select(*DECISION_COLUMNS))
     )
     decisions = written(of_containers(decisions, stopped, "left_anti"), f"{run}/decisions")
-    remove_folder(f"{run}/decided")
+    remove_folder(f"{run}/slices")
     results = out.with_package_sizes(
         containers,
         out.outcomes(decisions),
@@ -171,7 +173,7 @@ def run_first_pass(
             published.select("container", F.col("length").alias("size_after")), "container"
         ),
     )
-    facts = rec.media_counts(parts).join(counts.drop("problem"), "container", "left")
+    facts = rec.media_counts(parts).join(counts.drop("problem", "main_part"), "container", "left")
     results = written(results.join(facts, "container", "left"), f"{run}/outcomes")
     published_parts = readable(written(explode_parts(published, tasks), f"{run}/published_parts"))
-    return PassResult(results, out.detail_lines(decisions), violations, published_parts, share)
+    return PassResult(results, out.detail_lines(decisions), violations, published_parts, share, run)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..session import width
-from ..sources.files import copy_file, locate, move, open_seekable, place
+from ..sources.files import copy_file, locate, move, open_seekable, opened, place
 from ..sources.packages import DAMAGED
+from ..sources.slices import SLICE, read_slice
 
 _HEAD = -1  # ordinal of the row that opens a package
 _WRITTEN = "container string, path string, length long, problem string"
@@ -27,33 +28,35 @@ def write_packages(
     """Write each package again with its replaced parts.
 
     ``containers``: ``container, path``; ``replacements``: ``container,
-    ordinal, new_part_name, new_content``.  A name and its content may come in
-    separate rows of one ordinal, which spares a join of the contents.
+    ordinal, new_part_name, new_slice``, where the slice says in which file the new
+    bytes lie (see ``sources.slices``): no contents pass through the shuffle.  A
+    name and its slice may come in separate rows of one ordinal.
 
     A package is one file and so has one writer, but that writer streams:
-    members are copied in blocks, in archive order, and the replacements arrive
-    sorted and one at a time, so memory does not grow with the package.  Where
+    members are copied in blocks, in archive order, and the replacements are
+    fetched one at a time, so memory does not grow with the package.  Where
     ``path`` is null the package consists of its replacements alone.
     Replacements of containers that are not listed are passed over.
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = chain.from_iterable(f.itertuples(index=False, name=None) for f in frames)
-        for container, group in groupby(rows, key=lambda row: row[0]):
-            _, source, ordinal, _, _ = next(group)
-            if ordinal != _HEAD:
-                continue  # replacements of a package that is not to be written
-            target = f"{folder}/{container}"
-            length, problem = None, None
-            try:
-                length = place(target, lambda out: _fill(out, source, _merged(group)))
-            except DAMAGED as damage:
-                problem = str(damage) or repr(damage)
-            yield pd.DataFrame(
-                [(container, target, length, problem)],
-                columns=["container", "path", "length", "problem"],
-                dtype=object,
-            )
+        with opened() as file:
+            for container, group in groupby(rows, key=lambda row: row[0]):
+                _, source, ordinal, _, _ = next(group)
+                if ordinal != _HEAD:
+                    continue  # replacements of a package that is not to be written
+                target = f"{folder}/{container}"
+                length, problem = None, None
+                try:
+                    length = place(target, lambda out: _fill(out, source, _merged(group, file)))
+                except DAMAGED as damage:
+                    problem = str(damage) or repr(damage)
+                yield pd.DataFrame(
+                    [(container, target, length, problem)],
+                    columns=["container", "path", "length", "problem"],
+                    dtype=object,
+                )
 
     none = F.lit(None)
     heads = containers.select(
@@ -61,14 +64,14 @@ def write_packages(
         "path",
         F.lit(_HEAD).alias("ordinal"),
         none.cast("string").alias("new_part_name"),
-        none.cast("binary").alias("new_content"),
+        none.cast(SLICE).alias("new_slice"),
     )
     bodies = replacements.select(
         "container",
         none.cast("string").alias("path"),
         F.col("ordinal").cast("int").alias("ordinal"),
         "new_part_name",
-        "new_content",
+        "new_slice",
     )
     return (
         heads.unionByName(bodies)
@@ -87,14 +90,14 @@ def _like(member: zipfile.ZipInfo, name: str) -> zipfile.ZipInfo:
     return info
 
 
-def _merged(rows: Iterator[tuple]) -> Iterator[tuple[int, str | None, bytes]]:
+def _merged(rows: Iterator[tuple], file) -> Iterator[tuple[int, str | None, bytes]]:
     """One (ordinal, name, content) from the rows that share an ordinal."""
     for ordinal, same in groupby(rows, key=lambda row: row[2]):
-        name, content = None, None
+        name, where = None, None
         for row in same:
             name = name if row[3] is None else row[3]
-            content = content if row[4] is None else row[4]
-        yield ordinal, name, content
+            where = where if row[4] is None else row[4]
+        yield ordinal, name, read_slice(file, where)
 
 
 def _fill(out, source: str | None, replacements: Iterator[tuple]) -> None:

@@ -14,51 +14,56 @@ from ..operators import outcomes as out
 from ..operators import reconcile as rec
 from ..operators.classify import candidates, missing_required, only_large
 from ..operators.naming import assign_names
-from ..operators.recode import DECISION_COLUMNS, Codec, check_formats, decide, recode
+from ..operators.recode import DECISION_COLUMNS, Codec, convert, decide, pixel_reason
 from ..operators.references import jpeg_extension, missing_defaults, rewrite_references
 from ..operators.skew import of_containers, spread_join
-from ..session import scratch_dir, tasks_for, written
+from ..session import registered, scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
-from ..sources.files import remove_folder
-from ..sources.images import image_profile, inspect_images, pixel_flags
+from ..sources.files import opened, remove_folder
+from ..sources.images import Decoder, inspect_images
 from ..sources.package_xml import (
     content_types,
     content_types_parts,
+    damaged,
+    is_rels,
     malformed,
+    read_xml,
     relationships,
     rels_parts,
 )
 from ..sources.packages import (
+    Batches,
     Share,
+    by_package_slice,
     check_parts,
     explode_parts,
     list_containers,
-    read_parts,
+    open_zip,
     readable,
     unreadable,
 )
+from ..sources.slices import SLICE, as_struct, slice_writer
 from .first_pass import PassResult, structure_violations, undecided, unprocessable
 from .publish import publish, write_packages
 
-_UNDECODABLE = "cannot identify image file"
-
-
 def run_second_pass(
     spark: SparkSession,
     source: str,
     target: str,
     codec: Codec,
+    decode: Decoder,
     settings: Settings = DEFAULTS,
     large_only: bool = False,
     containers: DataFrame | None = None,
 ) -> PassResult:
     """Convert the packages of ``source`` into ``target``.
 
-    ``codec(content, part_name)`` turns PNG bytes into JPEG bytes.  With
+    ``codec(content, part_name)`` turns PNG bytes into JPEG bytes, and
+    ``decode(content)`` gives the pixels of either (see ``sources.images``).  With
     ``large_only`` packages up to ``settings.alert_bytes`` are left out.
     """
     run = scratch_dir(spark)
-    staging = f"{target.rstrip('/')}/_staging-{run.rpartition('-')[2]}"
+    staging = registered(f"{target.rstrip('/')}/_staging-{run.rpartition('-')[2]}")
     if containers is None:
         containers = list_containers(spark, source, settings.suffix)
     if large_only:
@@ -70,15 +75,16 @@ def run_second_pass(
     scanned = written(explode_parts(containers, tasks), f"{run}/scanned")
     parts = readable(scanned)
     xml = rels_parts(parts).unionByName(content_types_parts(parts))
-    xml = written(read_parts(xml, share), f"{run}/xml", large_rows=True)
-    rels = relationships(rels_parts(xml))
-    types = content_types(content_types_parts(xml))
+    xml = written(read_xml(xml, share), f"{run}/xml")
+    rels = relationships(xml)
+    types = content_types(xml)
     whole = containers.join(unreadable(scanned), "container", "left_anti")
     bad_xml = malformed(xml)
+    unread_xml = damaged(xml)
     stopped = written(
         rec.all_violations(
             unprocessable(unreadable(scanned), "error"),
-            unprocessable(content_types_parts(xml), "problem"),
+            unprocessable(content_types_parts(unread_xml), "problem"),
             unprocessable(
                 missing_required(whole, parts).withColumn(
                     "problem", F.lit(fv.MISSING_CONTENT_TYPES)
@@ -97,25 +103,11 @@ def run_second_pass(
     wanted = of_containers(
         candidates(parts, fv.PNG_EXTENSIONS, settings.min_part_bytes), workable
     )
-    checked = written(check_formats(wanted, "convert", share), f"{run}/checked")
-    png = checked.filter(F.col("format_reason").isNull())
-    flags = inspect_images(
-        spark, png, f"{run}/png", lambda images: pixel_flags(images, settings.min_colors), share
-    )
-    why = (
-        F.when(F.col("problem").isNotNull(), None)
-        .when(~F.coalesce("decodable", F.lit(False)), F.format_string(fv.KEPT_ERROR_PNG, F.lit(_UNDECODABLE)))
-        .when(F.col("has_alpha"), F.lit(fv.KEPT_ALPHA))
-        .when(~F.col("photographic"), F.lit(fv.KEPT_FEW_COLORS))
-    )
-    judged_png = png.join(
-        flags.select("container", "ordinal", "problem", why.alias("pixel_reason")),
-        ["container", "ordinal"],
-    )
-    judged_png = written(judged_png, f"{run}/judged_png")
-    photos = judged_png.filter(F.col("pixel_reason").isNull() & F.col("problem").isNull())
-    recoded = recode(photos, codec, share)
-    decided = written(decide(recoded, "convert", settings), f"{run}/decided", large_rows=True)
+    slices = f"{run}/slices"
+    seen = convert(wanted, decode, codec, slices, share, settings.min_colors)
+    seen = written(seen.withColumn("kept_reason", pixel_reason()), f"{run}/seen")
+    recoded = seen.filter(F.col("kept_reason").isNull() & F.col("problem").isNull())
+    decided = written(decide(recoded, "convert", settings), f"{run}/decided")
 
     # New names, and everything that must follow them.
     extensions = jpeg_extension(types, workable)
@@ -135,28 +127,26 @@ def run_second_pass(
     )
     # References matter only where something was renamed; a picture that can't
     # be read stops its package in any case.
-    unread_rels = rels_parts(xml).join(touched, "container", "left_semi")
+    unread_rels = unread_xml.filter(is_rels()).join(touched, "container", "left_semi")
     stopped_late = (
         unprocessable(broken_rels, "part_name")
         .unionByName(unprocessable(unread_rels, "problem"))
-        .unionByName(unprocessable(judged_png, "problem"))
-        .unionByName(unprocessable(decided, "problem"))
+        .unionByName(unprocessable(seen, "problem"))
     )
     to_write = whole.join(touched, "container", "left_semi").join(
         stopped_late.select("container").distinct(), "container", "left_anti"
     )
     images = decided.filter("accepted").select(
-        "container", "ordinal", F.lit(None).cast("string").alias("new_part_name"), "new_content"
+        "container", "ordinal", F.lit(None).cast("string").alias("new_part_name"), "new_slice"
     )
     new_names = by_ordinal.select(
         "container",
         F.col("ordinal").cast("int").alias("ordinal"),
         "new_part_name",
-        F.lit(None).cast("binary").alias("new_content"),
-    )
-    replacements = images.unionByName(new_names).unionByName(
-        edited_xml(xml, rels, types, renames, extensions)
+        F.lit(None).cast(SLICE).alias("new_slice"),
     )
+    edited = edited_xml(xml, rels, types, renames, extensions, slices, share)
+    replacements = images.unionByName(new_names).unionByName(written(edited, f"{run}/edited"))
     staged = written(write_packages(to_write, replacements, staging, tasks), f"{run}/staged")
 
     # Proof.
@@ -164,7 +154,7 @@ def run_second_pass(
     rescanned = written(explode_parts(complete, tasks), f"{run}/rescanned")
     after = readable(rescanned)
     after_xml = rels_parts(after).unionByName(content_types_parts(after))
-    after_xml = written(read_parts(after_xml, share), f"{run}/after_xml", large_rows=True)
+    after_xml = written(read_xml(after_xml, share), f"{run}/after_xml")
     before = written(of_containers(parts, complete), f"{run}/before")
     moved = written(of_containers(renames, complete), f"{run}/moved")
     counts, structure = structure_violations(complete, before, after, share)
@@ -174,7 +164,7 @@ def run_second_pass(
         ["container", "part_name"],
         "left_semi",
     )
-    reopened = inspect_images(spark, new_images, f"{run}/jpeg", image_profile, share)
+    reopened = written(inspect_images(new_images, decode, share), f"{run}/reopened")
     undecodable = reopened.filter(~F.coalesce("decodable", F.lit(False))).join(
         after.select("container", "ordinal", "part_name"), ["container", "ordinal"]
     )
@@ -198,14 +188,14 @@ def run_second_pass(
                 of_containers(rels.withColumnRenamed("pos", "ordinal"), complete).withColumnRenamed(
                     "ordinal", "pos"
                 ),
-                relationships(rels_parts(after_xml)),
+                relationships(after_xml),
                 moved,
             ),
             rec.diff_content_types(
                 of_containers(types.withColumnRenamed("pos", "ordinal"), complete).withColumnRenamed(
                     "ordinal", "pos"
                 ),
-                content_types(content_types_parts(after_xml)),
+                content_types(after_xml),
                 moved,
             ),
             structure,
@@ -221,13 +211,9 @@ def run_second_pass(
     remove_folder(staging)
 
     halted = violations.filter(F.col("rule_no") == rec.RULE_READABLE).select("container")
-    decisions = (
-        undecided(checked.filter(F.col("format_reason").isNotNull()), "format_reason")
-        .unionByName(
-            undecided(judged_png.filter(F.col("pixel_reason").isNotNull()), "pixel_reason")
-        )
-        .unionByName(decided.select(*DECISION_COLUMNS))
-    )
+    decisions = undecided(
+        seen.filter(F.col("kept_reason").isNotNull()), "kept_reason"
+    ).unionByName(decided.select(*DECISION_COLUMNS))
     decisions = (
         of_containers(decisions, halted, "left_anti")
         .join(
@@ -237,7 +223,7 @@ def run_second_pass(
         )
     )
     decisions = written(decisions, f"{run}/decisions")
-    remove_folder(f"{run}/decided")
+    remove_folder(slices)
     results = out.with_package_sizes(
         containers,
         out.outcomes(decisions),
@@ -251,11 +237,11 @@ def run_second_pass(
     facts = (
         rec.media_counts(parts)
         .join(members, "container", "left")
-        .join(counts.drop("problem"), "container", "left")
+        .join(counts.drop("problem", "main_part"), "container", "left")
     )
     results = written(results.join(facts, "container", "left"), f"{run}/outcomes")
     published_parts = readable(written(explode_parts(published, tasks), f"{run}/published_parts"))
-    return PassResult(results, out.detail_lines(decisions), violations, published_parts, share)
+    return PassResult(results, out.detail_lines(decisions), violations, published_parts, share, run)
 
 
 def edited_xml(
@@ -264,11 +250,13 @@ def edited_xml(
     types: DataFrame,
     renames: DataFrame,
     extensions: DataFrame,
+    folder: str,
+    share: Share = Share(),
 ) -> DataFrame:
-    """New bytes of the XML parts that mention renamed parts.
+    """New bytes of the XML parts that mention renamed parts, in slices below ``folder``.
 
-    The edits of one XML part are gathered beside its text; the part itself
-    bounds their number.
+    The edits of one XML part are gathered beside its place; the part itself
+    bounds their number.  Its text is read again where it is edited.
     """
     changed = rewrite_references(rels, renames).filter("changed")
     targets = changed.groupBy("container", F.col("rels_path").alias("part_name")).agg(
@@ -297,30 +285,32 @@ def edited_xml(
         .withColumn("part_name", F.lit(fv.CONTENT_TYPES_PART))
     )
     keys = ["container", "part_name"]
-    source = xml.select(*keys, "ordinal", "content")
-    columns = ["container", "ordinal", "new_part_name", "new_content"]
-    schema = "container string, ordinal int, new_part_name string, new_content binary"
-
-    def edit_rels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (r.container, r.ordinal, r.part_name, retarget(r.content, r.targets))
-                for r in frame.itertuples(index=False)
-            ]
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+    edits = targets.join(declarations, keys, "full_outer")
+    source = xml.filter(F.col("element") == "part").select(*keys, "path", "ordinal")
+    wanted = source.join(edits, keys).select(
+        "container", "path", "ordinal", "part_name", "targets", "add", "remove"
+    )
+    columns = ["container", "ordinal", "new_part_name", "new_slice"]
 
-    def edit_types(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (r.container, r.ordinal, r.part_name, redeclare(r.content, r.add, r.remove))
-                for r in frame.itertuples(index=False)
-            ]
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+    def edit_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = Batches(columns)
+        with opened(open_zip) as package, slice_writer(folder) as slices:
+            for frame in frames:
+                for row in frame.itertuples(index=False):
+                    z = package(row.path)
+                    content = z.read(z.infolist()[row.ordinal])
+                    if row.part_name == fv.CONTENT_TYPES_PART:
+                        content = redeclare(content, row.add, row.remove)
+                    else:
+                        content = retarget(content, row.targets)
+                    place = as_struct(slices.add(content))
+                    if batch.add((row.container, row.ordinal, row.part_name, place)):
+                        yield batch.take()
+        if batch.rows:
+            yield batch.take()
 
-    return (
-        source.join(targets, keys)
-        .mapInPandas(edit_rels, schema)
-        .unionByName(source.join(declarations, keys).mapInPandas(edit_types, schema))
+    return by_package_slice(wanted, share).mapInPandas(
+        edit_all, f"container string, ordinal int, new_part_name string, new_slice {SLICE}"
     )
 
 

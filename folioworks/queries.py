@@ -532,9 +532,9 @@ def _document_parts_on_disk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     return _parts_on_disk(spark, st.document_packages(spark, sf_dir))
 
 
-def _stored_files(spark: SparkSession, sf_dir: str, keep) -> DataFrame:
+def _xml_rows(spark: SparkSession, sf_dir: str, keep) -> DataFrame:
     parts, share = _document_parts_on_disk(spark, sf_dir)
-    return pk.read_parts(keep(parts), share)
+    return px.read_xml(keep(parts), share)
 
 
 @query
@@ -563,7 +563,7 @@ def package_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def package_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rels = px.relationships(_stored_files(spark, sf_dir, px.rels_parts))
+    rels = px.relationships(_xml_rows(spark, sf_dir, px.rels_parts))
     return rels.select(
         "container", "rel_id", "target", resolve_target("rels_path", "target").alias("resolved")
     )
@@ -571,13 +571,13 @@ def package_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def package_content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = px.content_types(_stored_files(spark, sf_dir, px.content_types_parts))
+    types = px.content_types(_xml_rows(spark, sf_dir, px.content_types_parts))
     return types.select("container", "kind", "key", "content_type")
 
 
 @query
 def package_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.structure_counts(*_document_parts_on_disk(spark, sf_dir)).drop("problem")
+    return px.structure_counts(*_document_parts_on_disk(spark, sf_dir)).drop("problem", "main_part")
 
 
 @query
@@ -609,7 +609,7 @@ def recoded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space collapsed inside the candidate parts of every package."""
     parts, share = _document_parts_on_disk(spark, sf_dir)
     wanted = classify_parts(parts, st.SMALL).filter("disposition = 'candidate'")
-    recoded = recode(wanted, st.collapse_spaces, share)
+    recoded = recode(wanted, st.collapse_spaces, f"{scratch_dir(spark)}/slices", share)
     return decide(recoded, "recompress", st.SMALL).select(
         "container", "part_name", "old_size", "new_size", "accepted", "reason"
     )
@@ -630,7 +630,9 @@ def _second_pass(spark: SparkSession, sf_dir: str) -> PassResult:
     key = (spark.sparkContext.applicationId, 2, sf_dir)
     if key not in _passes:
         source, target = st.vector_packages(spark, sf_dir), scratch_dir(spark)
-        _passes[key] = run_second_pass(spark, source, target, st.repack_png, st.SMALL)
+        _passes[key] = run_second_pass(
+            spark, source, target, st.repack_png, st.unpack_png, st.SMALL
+        )
     return _passes[key]
 
 
@@ -667,10 +669,7 @@ def image_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of the embeddings decoded: size, transparency, colours."""
     parts, share = _parts_on_disk(spark, st.vector_packages(spark, sf_dir))
     pictures = parts.filter(is_media("part_name"))
-    flags = im.inspect_images(
-        spark, pictures, scratch_dir(spark),
-        lambda images: im.pixel_flags(images, st.SMALL.min_colors), share,
-    )
+    flags = im.inspect_images(pictures, st.unpack_png, share, st.SMALL.min_colors)
     names = pictures.select("container", "ordinal", "part_name")
     return flags.join(names, ["container", "ordinal"]).select(
         "part_name", "width", "height", "channels", "decodable", "has_alpha",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,35 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/folioworks-{uuid.uuid4().hex}"
+    return registered(f"{base.rstrip('/')}/folioworks-{uuid.uuid4().hex}")
+
+
+# Folders of the runs under way, by the scope that will remove them.
+_scopes: list[list[str]] = []
+
+
+def registered(folder: str) -> str:
+    """Have the innermost scope remove ``folder`` when it ends."""
+    if _scopes:
+        _scopes[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Remove what is stored in the block's scratch folders when it ends, failed or not.
+
+    What the block leaves behind must have been written elsewhere by then: every
+    table read from a scratch folder is gone.
+    """
+    from .sources.files import remove_folder
+
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for folder in _scopes.pop():
+            remove_folder(folder)
 
 
 # Parquet looks at its buffers only every 100 rows unless told otherwise; rows

@@ -1,186 +1,153 @@
-"""Decoding image parts with Spark's image source, and what their pixels say."""
+"""Decoding image parts with a caller's decoder, and what their pixels say.
+
+The decoder is a slot like the codec: ``decode(content)`` gives the samples of an
+image as an array of 8-bit values, (height, width) or (height, width, channels)
+with one channel for gray, two for gray and alpha, three for colours and four for
+colours and alpha, and raises for bytes no image comes from.  It runs in the task
+that has just read the member; no picture is stored as a file of its own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fv
-from ..session import written
-from .files import opened, place, remove_folder
-from .packages import Share, by_package_slice, open_zip, read_member
+from ..functions.formats import sniff_format
+from .files import opened
+from .packages import Batches, Share, by_package_slice, open_zip, read_member
 
-_STAGED = "container string, ordinal int, image_key string, wave int, problem string"
+Decoder = Callable[[bytes], np.ndarray]
 
-# The image source lists its files on the driver; this many at a time.
-WAVE = 500_000
+PICTURE = (
+    "width int, height int, channels int, decodable boolean, has_alpha boolean, "
+    "sample_colors int, photographic boolean, decode_error string"
+)
 
 
-def inspect_images(
-    spark: SparkSession,
-    parts: DataFrame,
-    folder: str,
-    inspect: Callable[[DataFrame], DataFrame],
-    share: Share = Share(),
-    wave_size: int = WAVE,
-) -> DataFrame:
-    """Decode image parts and add what ``inspect`` finds out about each.
-
-    ``inspect`` maps rows of ``image_key, image`` to rows with ``image_key``.
-    The parts are staged as files below ``folder`` and decoded in waves, so the
-    driver never holds more than ``wave_size`` file names; the result is stored.
-    Every part has one row: ``problem`` says why its bytes could not be read, and
-    what ``inspect`` adds is null for a part that gave no image (an empty one,
-    which the image source passes over).
+@dataclass(frozen=True)
+class Picture:
+    """What the pixels of one image say; the fields of ``PICTURE``.
+
+    ``has_alpha``: some pixel is not fully opaque.  ``photographic``: more than
+    ``min_colors`` distinct colours in a nearest-neighbour sample of at most 512
+    pixels on the long side, transparency left out.
     """
-    waves = -(-parts.count() // wave_size)
-    if waves == 0:
-        found = inspect(spark.createDataFrame([], _IMAGES))
-        return found.withColumns(
-            {
-                "container": F.lit("").cast("string"),
-                "ordinal": F.lit(0),
-                "problem": F.lit(None).cast("string"),
-            }
-        ).drop("image_key")
-    keys = written(stage_images(parts, f"{folder}/files", share, waves), f"{folder}/keys")
-    for wave in range(waves):
-        files = f"{folder}/files/{wave}"
-        written(inspect(read_images(spark, files)), f"{folder}/found/{wave}")
-        remove_folder(files)
-    found = spark.read.parquet(*[f"{folder}/found/{wave}" for wave in range(waves)])
-    return keys.join(found, "image_key", "left").drop("image_key", "wave")
-
-
-_IMAGES = (
-    "image_key string, image struct<origin string, height int, width int, nChannels int, "
-    "mode int, data binary>"
-)
 
+    width: int | None = None
+    height: int | None = None
+    channels: int | None = None
+    decodable: bool | None = None
+    has_alpha: bool | None = None
+    sample_colors: int | None = None
+    photographic: bool | None = None
+    error: str | None = None
+
+
+def picture(content: bytes, decode: Decoder, min_colors: int = fv.MIN_COLORS) -> Picture:
+    """Decode one image and judge it; what the decoder raises is its ``error``."""
+    try:
+        pixels = np.asarray(decode(content))
+        if pixels.ndim == 2:
+            pixels = pixels[:, :, None]
+        height, width, channels = pixels.shape
+        if not pixels.size:
+            raise ValueError("an image without pixels")
+        alpha = channels in (2, 4) and bool(pixels[:, :, -1].min() < 255)
+        colors = sampled_colors(pixels)
+    except Exception as raised:  # any decoder trouble: no image
+        return Picture(-1, -1, -1, False, False, 0, False, str(raised) or repr(raised))
+    return Picture(width, height, channels, True, alpha, colors, colors > min_colors)
 
-def stage_images(
-    parts: DataFrame, folder: str, share: Share = Share(), waves: int = 1
+
+def inspect_images(
+    parts: DataFrame,
+    decode: Decoder,
+    share: Share = Share(),
+    min_colors: int = fv.MIN_COLORS,
 ) -> DataFrame:
-    """Write each part to a file of its own, for the image source to read.
+    """``container, ordinal`` of image parts with the columns of ``PICTURE``.
 
-    Returns ``container, ordinal, image_key, wave, problem``.  Files are named by a digest
-    of the container and the ordinal, so a repeated task writes the same ones;
-    each wave has its own folder.
+    Each part is read, decoded and dropped in one task.  Every part has one row:
+    ``problem`` says why its bytes could not be read, ``decodable`` and
+    ``decode_error`` what came of them.
     """
+    columns = ["container", "ordinal", "problem", *(c.split()[0] for c in PICTURE.split(", "))]
 
-    def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = Batches(columns)
         with opened(open_zip) as package:
             for frame in frames:
-                columns = ("path", "ordinal", "image_key", "wave")
-                problems = []
-                for path, ordinal, key, wave in zip(*(frame[c] for c in columns)):
+                for container, path, ordinal in frame.itertuples(index=False, name=None):
                     content, problem = read_member(package, path, ordinal)
-                    problems.append(problem)
-                    place(
-                        f"{folder}/{wave}/{key[:2]}/{key}", lambda out: out.write(content or b"")
-                    )
-                yield frame.drop(columns=["path"]).assign(problem=problems)
-
-    digest = F.sha1(F.encode("container", "UTF-8"))
-    rows = parts.select(
-        "container",
-        "path",
-        "ordinal",
-        F.concat(digest, F.lit("-"), F.col("ordinal").cast("string")).alias("image_key"),
+                    seen = Picture() if problem else picture(content, decode, min_colors)
+                    if batch.add((container, ordinal, problem, *astuple(seen))):
+                        yield batch.take()
+        if batch.rows:
+            yield batch.take()
+
+    rows = parts.select("container", "path", "ordinal")
+    return by_package_slice(rows, share).mapInPandas(
+        run, f"container string, ordinal int, problem string, {PICTURE}"
     )
-    rows = rows.withColumn("wave", F.pmod(F.xxhash64("image_key"), waves).cast("int"))
-    return by_package_slice(rows, share).mapInPandas(stage, _STAGED)
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images below ``folder``; undecodable ones have width -1."""
-    files = (
-        spark.read.format("image")
-        .option("recursiveFileLookup", "true")
-        .option("dropInvalid", "false")
-        .load(folder)
-    )
-    return files.select(
-        F.substring_index("image.origin", "/", -1).alias("image_key"), "image"
-    )
+def head_profile(rows: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``head_format, head_width, head_height, head_channels`` from first bytes.
 
+    The fields of PNG, GIF and BMP headers lie at fixed offsets, so 32 bytes of a
+    member are enough and nothing is decoded.  JPEG and others, whose sizes lie
+    behind segments of any length, have a null size.
+    """
 
-def image_profile(images: DataFrame) -> DataFrame:
-    """``image_key, width, height, channels, decodable``."""
-    return images.select(
-        "image_key",
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("channels"),
-        (F.col("image.width") > 0).alias("decodable"),
-    )
+    def digits(first: int, count: int) -> Column:
+        return F.hex(F.substring(F.col(content), first + 1, count))
 
+    def number(first: int, count: int) -> Column:
+        return F.conv(digits(first, count), 16, 10).try_cast("long")
 
-def pixel_flags(images: DataFrame, min_colors: int = fv.MIN_COLORS) -> DataFrame:
-    """Add ``has_alpha`` and ``photographic`` and drop the pixels.
+    def little(first: int, count: int) -> Column:
+        pairs = (digits(first + k, 1) for k in reversed(range(count)))
+        return F.conv(F.concat(*pairs), 16, 10).try_cast("long")
 
-    ``has_alpha``: some pixel is not fully opaque.  ``photographic``: more than
-    ``min_colors`` distinct colours in a nearest-neighbour sample of at most
-    512 pixels on the long side, transparency left out.
-    """
-    pixels = ["image.width", "image.height", "image.nChannels", "image.data"]
-    return images.select(
-        "image_key",
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("channels"),
-        (F.col("image.width") > 0).alias("decodable"),
-        _has_alpha(*pixels).alias("has_alpha"),
-        _color_count(*pixels).alias("sample_colors"),
-    ).withColumn("photographic", F.col("sample_colors") > min_colors)
-
-
-def _pixels(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-
-
-@F.pandas_udf(T.BooleanType())
-def _has_alpha(
-    width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series
-) -> pd.Series:
-    return pd.Series(
-        [
-            bool(w > 0 and c == 4 and _pixels(w, h, c, d)[:, :, 3].min() < 255)
-            for w, h, c, d in zip(width, height, channels, data)
-        ]
+    kind = sniff_format(content)
+    colour = number(25, 1)
+    channels = (
+        F.when(colour.isin(0, 3), 1).when(colour == 2, 3).when(colour == 4, 2).when(colour == 6, 4)
     )
-
-
-@F.pandas_udf(T.IntegerType())
-def _color_count(
-    width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series
-) -> pd.Series:
-    return pd.Series(
-        [
-            sampled_colors(_pixels(w, h, c, d)) if w > 0 else 0
-            for w, h, c, d in zip(width, height, channels, data)
-        ],
-        dtype="int32",
+    # Where headers keep width and height.
+    return rows.withColumns(
+        {
+            "head_format": kind,
+            "head_width": F.when(kind == "PNG", number(16, 4)).when(kind == "GIF", little(6, 2)).when(
+                kind == "BMP", little(18, 4)
+            ),
+            "head_height": F.when(kind == "PNG", number(20, 4)).when(kind == "GIF", little(8, 2)).when(
+                kind == "BMP", little(22, 4)
+            ),
+            "head_channels": F.when(kind == "PNG", channels),
+        }
     )
 
 
 def sampled_colors(pixels: np.ndarray, side: int = fv.SAMPLE_SIDE) -> int:
-    """Distinct colours of the sample, all of the image when it is small."""
-    height, width = pixels.shape[:2]
+    """Distinct colours of the sample, all of the image when it is small; no alpha."""
+    height, width, channels = pixels.shape
     longest = max(height, width)
     if longest > side:
         factor = side / longest
         rows = _nearest(height, max(1, round(height * factor)))
         columns = _nearest(width, max(1, round(width * factor)))
         pixels = pixels[np.ix_(rows, columns)]
-    flat = pixels[:, :, :3].reshape(-1, min(3, pixels.shape[2])).astype(np.uint32)
+    colours = 1 if channels < 3 else 3
+    flat = pixels[:, :, :colours].reshape(-1, colours).astype(np.uint32)
     packed = flat[:, 0]
-    for channel in range(1, flat.shape[1]):
+    for channel in range(1, colours):
         packed = (packed << 8) | flat[:, channel]
     return len(np.unique(packed))
 

@@ -19,6 +19,7 @@ from ..functions import base_name
 from ..functions.names import is_container
 from ..session import width
 from .files import open_seekable, opened
+from .listing import list_files
 
 PART_SCHEMA = (
     "container string, path string, ordinal int, part_name string, is_dir boolean, "
@@ -42,12 +43,6 @@ _BATCH_ROWS = 4096
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
-def container_glob(suffix: str) -> str:
-    """A file pattern for ``suffix`` in any case."""
-    letters = (f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-    return "*" + "".join(letters)
-
-
 def named_containers(files: DataFrame, suffix: str) -> DataFrame:
     """Add ``container``, the file name, and keep only packages."""
     named = files.withColumn("container", base_name("path"))
@@ -59,18 +54,10 @@ def named_containers(files: DataFrame, suffix: str) -> DataFrame:
 def list_containers(spark: SparkSession, folder: str, suffix: str = ".docx") -> DataFrame:
     """The packages directly in ``folder``, without reading any of them.
 
-    Spark's file sources pass over empty files and over names that start with
-    ``_`` or ``.``, so those are not listed.
+    Every name counts that has the suffix and is no editor's lock file; empty files,
+    too, which are listed as packages that cannot be opened.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", container_glob(suffix))
-        .load(folder)
-        .select("path", "modificationTime", "length")
-        # The scan plans a task per large file although it opens none of them.
-        .coalesce(width(spark))
-    )
-    return named_containers(files, suffix)
+    return named_containers(list_files(spark, folder), suffix)
 
 
 def open_zip(path: str) -> zipfile.ZipFile:

@@ -23,6 +23,7 @@ from .operators.classify import accept, classify_parts
 from .plans.publish import write_packages
 from .session import scratch_dir, width, written
 from .settings import Settings
+from .sources.slices import stored_contents
 
 # Document texts are smaller than images; so are the limits on them.
 SMALL = Settings(min_part_bytes=2000, alert_bytes=100_000, min_colors=500)
@@ -336,14 +337,20 @@ def _write_packages(media: DataFrame, listed: DataFrame, folder: str) -> None:
     rows = media.unionByName(xml.select("container", F.inline(entries)))
     heads = xml.select("container", F.lit(None).cast("string").alias("path"))
     spark = rows.sparkSession
+    scratch = scratch_dir(spark)
+    rows = written(stored_contents(rows, f"{scratch}/slices"), f"{scratch}/rows")
     tasks = min(width(spark), spark.sparkContext.defaultParallelism)
     written(write_packages(heads, rows, folder, tasks), scratch_dir(spark))
 
 
+# PNG colour types by channels.
+_COLOR_OF = {1: 0, 2: 4, 3: 2, 4: 6}
+
+
 def png_bytes(pixels: np.ndarray, level: int = 0) -> bytes:
     """An 8-bit PNG of a (height, width, channels) array, for fixtures."""
     height, width, channels = pixels.shape
-    color = {1: 0, 3: 2, 4: 6}[channels]
+    color = _COLOR_OF[channels]
 
     def chunk(kind: bytes, body: bytes) -> bytes:
         return (
@@ -360,16 +367,37 @@ def png_bytes(pixels: np.ndarray, level: int = 0) -> bytes:
     )
 
 
-def repack_png(content: bytes, _name: str) -> bytes:
-    """Compress a PNG's pixel data better; a codec that needs no image library."""
-    out, at = content[:8], 8
+def _png_chunks(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    if content[:8] != bytes.fromhex(_PNG_MAGIC):
+        raise ValueError("cannot identify image file")
+    at = 8
     while at < len(content):
         (size,) = struct.unpack(">I", content[at:at + 4])
-        kind, body = content[at + 4:at + 8], content[at + 8:at + 8 + size]
+        yield content[at + 4:at + 8], content[at + 8:at + 8 + size]
+        at += 12 + size
+
+
+def unpack_png(content: bytes) -> np.ndarray:
+    """The pixels of what ``png_bytes`` makes; a decoder that needs no image library."""
+    chunks = list(_png_chunks(content))
+    width, height, depth, color, *rest = struct.unpack(">IIBBBBB", chunks[0][1])
+    channels = {c: n for n, c in _COLOR_OF.items()}.get(color)
+    if depth != 8 or channels is None or any(rest):
+        raise ValueError("a kind of PNG that the fixtures do not draw")
+    data = zlib.decompress(b"".join(body for kind, body in chunks if kind == b"IDAT"))
+    lines = np.frombuffer(data, np.uint8).reshape(height, 1 + width * channels)
+    if lines[:, 0].any():
+        raise ValueError("filtered lines")
+    return lines[:, 1:].reshape(height, width, channels)
+
+
+def repack_png(content: bytes, _name: str) -> bytes:
+    """Compress a PNG's pixel data better; a codec that needs no image library."""
+    out = content[:8]
+    for kind, body in _png_chunks(content):
         if kind == b"IDAT":
             body = zlib.compress(zlib.decompress(body), 9)
         out += struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-        at += 12 + size
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from folioworks import fixed_values as fv
 from folioworks.plans.second_pass import run_second_pass
 from folioworks.settings import Settings
-from folioworks.standins import repack_png
+from folioworks.standins import repack_png, unpack_png
 
 from fixtures import IMAGE, main_part, photo, rels, types
 
@@ -55,7 +55,7 @@ def test_damage_fails_its_own_package_only(spark, tmp_path):
     for name, method in (("deflate", 8), ("stored", 0), ("bzip2", 12), ("lzma", 14)):
         package(source / f"{name}.docx", big, method, spoil=True)
     package(source / "rels.docx", b"1", broken_rels=True)
-    result = run_second_pass(spark, str(source), str(target), codec, Settings(min_part_bytes=2000, min_colors=1000))
+    result = run_second_pass(spark, str(source), str(target), codec, unpack_png, Settings(min_part_bytes=2000, min_colors=1000))
     rows = {r.container: r for r in result.outcomes.collect()}
     versions = {k.removesuffix(".docx"): r.version for k, r in rows.items()}
     assert versions == {

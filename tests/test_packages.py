@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import os
 import zipfile
 
 import pytest
@@ -12,6 +14,7 @@ from folioworks.operators.classify import missing_required, only_large
 from folioworks.operators.references import jpeg_extension
 from folioworks.sources import package_xml as px
 from folioworks.sources import packages as pk
+from folioworks.sources.listing import list_files
 
 from fixtures import BASE, IMAGE, main_part, rels, types, write_package
 
@@ -26,21 +29,36 @@ def folder(tmp_path):
     write_package(tmp_path / "notypes.docx", {"word/document.xml": main_part()})
     (tmp_path / "broken.docx").write_bytes(b"not an archive, but longer than one could be")
     (tmp_path / "tiny.docx").write_bytes(b"x")
+    write_package(tmp_path / ".dotted.docx", BASE)
+    (tmp_path / "empty.docx").write_bytes(b"")
+    (tmp_path / "below.docx").mkdir()
     return str(tmp_path)
 
 
 def test_listing_takes_packages_only(spark, folder):
     found = pk.list_containers(spark, folder)
-    names = sorted(r.container for r in found.collect())
-    assert names == ["MIXED2.DOCX", "broken.docx", "notypes.docx", "plain.docx", "tiny.docx"]
+    rows = {r.container: r for r in found.collect()}
+    assert sorted(rows) == [".dotted.docx", "MIXED2.DOCX", "_hidden.docx", "broken.docx", "empty.docx", "notypes.docx",
+                            "plain.docx", "tiny.docx"]
+    for name, r in rows.items():
+        assert (r.path, r.length) == (f"{folder}/{name}", os.path.getsize(f"{folder}/{name}"))
+        assert r.modificationTime.timestamp() == pytest.approx(os.path.getmtime(f"{folder}/{name}"), abs=1e-5)
 
 
-def test_listing_reads_no_content_and_pushes_the_size_filter(spark, folder):
+def test_listing_runs_in_tasks_and_filters_by_size(spark, folder, tmp_path):
     large = only_large(pk.list_containers(spark, folder), 100)
+    names = {r.container for r in large.collect()}
+    assert not {"tiny.docx", "empty.docx"} & names and {"_hidden.docx", ".dotted.docx"} <= names
     plan = large._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(length,100)" in plan
-    assert "content" not in plan.split("ReadSchema")[1]
-    assert "tiny.docx" not in [r.container for r in large.collect()]
+    assert "BatchScan" in plan and "content" not in plan
+    (tmp_path / "two").mkdir()
+    write_package(tmp_path / "two/_x.docx", BASE)
+    both = list_files(spark, folder, f"{tmp_path}/two/")
+    assert both.rdd.getNumPartitions() == 2
+    assert f"{tmp_path}/two/_x.docx" in {r.path for r in both.collect()}
+    assert list_files(spark, f"{tmp_path}/below.docx").count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        list_files(spark, f"{tmp_path}/nowhere").count()
 
 
 def test_size_filter_is_strict(spark):
@@ -51,7 +69,7 @@ def test_size_filter_is_strict(spark):
 def test_parts_follow_the_directory(spark, folder):
     scanned = pk.explode_parts(pk.list_containers(spark, folder))
     bad = {r.container for r in pk.unreadable(scanned).collect()}
-    assert bad == {"broken.docx", "tiny.docx"}
+    assert bad == {"broken.docx", "empty.docx", "tiny.docx"}
     rows = pk.readable(scanned).filter("container = 'MIXED2.DOCX'").orderBy("ordinal").collect()
     with zipfile.ZipFile(f"{folder}/MIXED2.DOCX") as z:
         expected = [
@@ -133,6 +151,38 @@ def test_malformed_xml_is_told(spark, text):
     assert px.malformed(xml_row(spark, fv.CONTENT_TYPES_PART, text)).count() == 1
 
 
+def encodings(text: bytes):
+    plain = text.decode()
+    head = '<?xml version="1.0" encoding="{}"?>'.format
+    return {
+        "utf-8-sig": codecs.BOM_UTF8 + text,
+        "utf-16": (head("UTF-16") + plain).encode("utf-16"),
+        "utf-16-be": codecs.BOM_UTF16_BE + plain.encode("utf-16-be"),
+        "latin-1": (head("ISO-8859-1") + plain).encode("latin-1"),
+        "cp1252": (head("windows-1252") + plain).encode("cp1252"),
+    }
+
+
+def test_encodings_by_mark_or_declaration(spark, tmp_path):
+    """What the parts say is the same in every encoding, at hand or read from packages."""
+    refs = rels(("rId1", IMAGE, "media/fünf.png"), ("rId2", "t", "u&amp;v", "External"))
+    declared = types({"PNG": "image/png"}, {"/word/dökument.xml": "main"})
+    refs = refs.replace(b"</", b'<Relationship xmlns="other" Id="no"/></')  # of another namespace
+    for name, text in encodings(refs).items():
+        got = px.relationships(xml_row(spark, "word/_rels/a.rels", text)).collect()
+        assert [(r.pos, r.rel_id, r.target, r.target_mode) for r in got] == [
+            (0, "rId1", "media/fünf.png", None), (1, "rId2", "u&v", "External")], name
+        other = encodings(declared)[name]
+        write_package(tmp_path / f"{name}.docx", {fv.CONTENT_TYPES_PART: other, "word/_rels/a.rels": text})
+    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
+    xml = px.read_xml(parts)
+    assert px.malformed(xml).count() == 0 and px.damaged(xml).count() == 0
+    found = px.relationships(xml).groupBy("container").agg(F.sort_array(F.collect_list("target")).alias("t")).collect()
+    assert {r.container: r.t for r in found} == {f"{n}.docx": ["media/fünf.png", "u&v"] for n in encodings(refs)}
+    kinds = px.content_types(xml).filter("kind = 'override'").select("key", "content_type").distinct().collect()
+    assert [tuple(r) for r in kinds] == [("/word/dökument.xml", "main")]
+
+
 def test_content_types(spark):
     text = types({"PNG": "image/png"}, {"/word/document.xml": "main"})
     got = px.content_types(xml_row(spark, fv.CONTENT_TYPES_PART, text)).collect()
@@ -166,6 +216,36 @@ def test_structure_counts(spark, tmp_path):
     assert got["b.docx"].paragraphs is None and got["b.docx"].problem
 
 
+def main_refs(target, kind=fv.DOCUMENT_REL_TYPE, mode=None):
+    return rels(("rId1", kind, target, *([mode] if mode else [])), ("rId2", "other", "docProps/core.xml"))
+
+
+def test_main_part_by_the_root_references(spark, tmp_path):
+    body = main_part(4, 3, 2)
+    packages = {
+        "moved": {fv.ROOT_RELS: main_refs("content/story.xml"), "content/story.xml": body, fv.MAIN_PART: main_part()},
+        "absolute": {fv.ROOT_RELS: main_refs("/content/./story.xml"), "content/story.xml": body},
+        "utf16": {fv.ROOT_RELS: main_refs("content/story.xml").decode().encode("utf-16"), "content/story.xml": body},
+        "usual": {fv.MAIN_PART: body},
+        "dangling": {fv.ROOT_RELS: main_refs("gone.xml"), fv.MAIN_PART: body},
+        "none": {fv.ROOT_RELS: main_refs("word/document.xml", "other"), fv.MAIN_PART: body},
+        "outside": {fv.ROOT_RELS: main_refs("https://x/y", mode="External"), fv.MAIN_PART: body},
+        "two": {fv.ROOT_RELS: rels(("a", fv.DOCUMENT_REL_TYPE, "x"), ("b", fv.DOCUMENT_REL_TYPE, "y")), "x": body, "y": body},
+        "broken": {fv.ROOT_RELS: b"<Relationships", fv.MAIN_PART: body},
+        "nothing": {"word/other.xml": body},
+    }
+    for name, members in packages.items():
+        write_package(tmp_path / f"{name}.docx", members)
+    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
+    got = {r.container[:-5]: r for r in px.structure_counts(parts).collect()}
+    assert {k for k, r in got.items() if r.problem is None} == {"moved", "absolute", "utf16", "usual"}
+    for name in ("moved", "absolute", "utf16"):
+        r = got[name]
+        assert (r.main_part, r.paragraphs, r.tables, r.inline_images) == ("content/story.xml", 4, 3, 2)
+    assert got["dangling"].problem == "no part gone.xml" and got["two"].problem.startswith("2 references")
+    assert len(got) == len(packages)
+
+
 def test_one_package_is_shared_by_several_tasks(spark, tmp_path):
     """A package with most of the parts must not end up in one task."""
     members = {f"word/media/{i}.png": bytes([i % 251]) * 20 for i in range(400)}

@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
+from folioworks.operators import recode as rc
 from folioworks.plans import publish as pub
 from folioworks.plans.first_pass import run_first_pass
 from folioworks.plans.report import LINE_ORDER, render_report, write_report
@@ -19,8 +20,9 @@ from folioworks.plans.second_pass import redeclare, retarget, run_second_pass
 from folioworks.session import scratch_dir
 from folioworks.settings import Settings
 from folioworks.sources import packages as pk
-from folioworks.sources.images import image_profile, inspect_images, pixel_flags, sampled_colors
-from folioworks.standins import png_bytes, repack_png
+from folioworks.sources.images import head_profile, inspect_images, sampled_colors
+from folioworks.sources.slices import stored_contents
+from folioworks.standins import png_bytes, repack_png, unpack_png
 from folioworks.streaming import run_corpus
 
 from fixtures import BASE, IMAGE, exact_colors, main_part, noise, photo, rels, types, write_package
@@ -214,7 +216,7 @@ def second(spark, tmp_path_factory):
     write_package(source / "badrels.docx", second_members(**{
         "word/media/photo.png": big, "word/_rels/x.rels": b"<broken"}))
     settings = Settings(min_part_bytes=2000, min_colors=1000)
-    result = run_second_pass(spark, str(source), str(target), repack, settings)
+    result = run_second_pass(spark, str(source), str(target), repack, unpack_png, settings)
     return result, source, target
 
 
@@ -286,10 +288,10 @@ def test_large_only(spark, tmp_path):
     source.mkdir()
     write_package(source / "a.docx", BASE)
     limit = os.path.getsize(source / "a.docx")
-    none = run_second_pass(spark, str(source), str(tmp_path / "o1"), repack,
+    none = run_second_pass(spark, str(source), str(tmp_path / "o1"), repack, unpack_png,
                            Settings(alert_bytes=limit), large_only=True)
     assert none.outcomes.count() == 0 and none.summary().first().files == 0
-    one = run_second_pass(spark, str(source), str(tmp_path / "o2"), repack,
+    one = run_second_pass(spark, str(source), str(tmp_path / "o2"), repack, unpack_png,
                           Settings(alert_bytes=limit - 1), large_only=True)
     assert one.outcomes.count() == 1
 
@@ -314,6 +316,7 @@ def test_a_spoilt_rewrite_falls_back(spark, tmp_path, monkeypatch):
         extra = containers.select(
             "container", F.lit(2).alias("ordinal"), F.lit(fv.MAIN_PART).alias("new_part_name"),
             F.lit(bytearray(main_part(5))).alias("new_content"))
+        extra = stored_contents(extra, str(tmp_path / "slices"))
         return honest(containers, replacements.unionByName(extra), folder, tasks)
 
     monkeypatch.setattr("folioworks.plans.first_pass.write_packages", spoil)
@@ -346,20 +349,22 @@ PICTURES = {
     "mask": (png_bytes(np.dstack([noise(8, 8), np.eye(8, dtype=np.uint8) * 255])), True, 64),
     "half": (png_bytes(np.dstack([noise(8, 8), np.full((8, 8), 128, np.uint8)])), True, 64),
     "gray": (png_bytes(noise(30, 30, 1)), False, len(np.unique(noise(30, 30, 1)))),
+    "grayglass": (png_bytes(np.dstack([noise(30, 30, 1), np.full((30, 30), 9, np.uint8)])), True, len(np.unique(noise(30, 30, 1)))),
     "wide": (png_bytes(noise(3, 1024)), False, None),
 }
 
 
 def test_pictures(spark, tmp_path):
     write_package(tmp_path / "p.docx", {
-        **{f"word/media/{k}.png": v[0] for k, v in PICTURES.items()}, "word/media/junk.png": b"junk"})
+        **{f"word/media/{k}.png": v[0] for k, v in PICTURES.items()}, "word/media/junk.png": b"junk",
+        "word/media/none.png": b""})
     parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
     named = parts.select("container", "ordinal", "part_name")
-    flags = inspect_images(spark, parts, scratch_dir(spark), pixel_flags, wave_size=4).join(
-        named, ["container", "ordinal"]
-    )
+    flags = inspect_images(parts, unpack_png).join(named, ["container", "ordinal"])
     got = {r.part_name.split("/")[-1][:-4]: r for r in flags.collect()}
-    assert not got["junk"].decodable and not got["junk"].photographic
+    for name in ("junk", "none"):
+        assert (got[name].decodable, got[name].photographic, got[name].width) == (False, False, -1)
+        assert got[name].decode_error == "cannot identify image file" and got[name].problem is None
     for name, (_, alpha, colors) in PICTURES.items():
         assert (got[name].decodable, got[name].has_alpha) == (True, alpha), name
         assert colors is None or got[name].sample_colors == colors, name
@@ -367,11 +372,59 @@ def test_pictures(spark, tmp_path):
     wide = noise(3, 1024)[[0, 2]]  # rows under the centres of two sampled lines
     sample = wide[:, 1::2]
     assert got["wide"].sample_colors == len(np.unique(sample.reshape(-1, 3), axis=0))
-    profile = inspect_images(spark, parts, scratch_dir(spark), image_profile).collect()
-    sizes = {(r.width, r.height) for r in profile}
-    assert len(profile) == 9 and (1024, 3) in sizes and (-1, -1) in sizes
-    none = inspect_images(spark, parts.limit(0), scratch_dir(spark), image_profile)
-    assert none.count() == 0 and set(none.columns) == set(profile[0].asDict())
+    assert (got["wide"].width, got["wide"].height, got["wide"].channels) == (1024, 3, 3)
+    none = inspect_images(parts.limit(0), unpack_png)
+    assert none.count() == 0 and {*none.columns, "part_name"} == set(got["wide"].asDict())
+    # Sizes from the first bytes alone.
+    heads = head_profile(pk.read_parts(parts, first_bytes=32)).collect()
+    for r in heads:
+        seen = got[r.part_name.split("/")[-1][:-4]]
+        assert (r.head_width, r.head_height, r.head_channels) == (
+            (seen.width, seen.height, seen.channels) if seen.decodable else (None, None, None))
+
+
+def test_heads_of_other_formats(spark):
+    heads = {
+        "gif": (b"GIF89a" + bytes([64, 1, 200, 0]), ("GIF", 320, 200)),
+        "bmp": (b"BM" + bytes(16) + bytes([4, 0, 0, 0, 5, 1, 0, 0]), ("BMP", 4, 261)),
+        "jpeg": (JPEG + bytes(28), ("JPEG", None, None)),
+        "cut": (bytes.fromhex("89504E470D0A1A0A"), ("PNG", None, None)),
+        "huge": (bytes.fromhex("89504E470D0A1A0A") + bytes(8) + b"\xff" * 8, ("PNG", 2**32 - 1, 2**32 - 1)),
+        "none": (None, (None, None, None)),
+    }
+    rows = spark.createDataFrame([(k, None if v[0] is None else bytearray(v[0])) for k, v in heads.items()], "name string, content binary")
+    got = {r.name: (r.head_format, r.head_width, r.head_height) for r in head_profile(rows).collect()}
+    assert got == {k: v[1] for k, v in heads.items()}
+
+
+def test_a_candidate_is_opened_once(spark, tmp_path):
+    """The decoder and the codec meet the same bytes in one task, each part once."""
+    log = tmp_path / "log"
+    write_package(tmp_path / "a.docx", {f"word/media/{k}.png": photo(100, alpha=None if k else 7) for k in range(6)})
+
+    def told(what, content):
+        with open(log, "a") as out:
+            out.write(f"{what} {len(content)}\n")
+
+    def decode(content):
+        told("decode", content)
+        return unpack_png(content)
+
+    def codec(content, name):
+        told("codec", content)
+        return content[:-9]
+
+    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
+    done = rc.convert(parts, decode, codec, str(tmp_path / "slices"), min_colors=1000)
+    done = done.withColumn("why", rc.pixel_reason()).toPandas()
+    lines = log.read_text().split("\n")
+    assert sum(x.startswith("decode") for x in lines) == 6 and sum(x.startswith("codec") for x in lines) == 5
+    assert sorted(done["why"].fillna("")) == [""] * 5 + [fv.KEPT_ALPHA]
+    for place, size in zip(done["new_slice"], done["old_size"]):
+        if place is not None:
+            with open(place["file"], "rb") as file:
+                file.seek(place["offset"])
+                assert file.read(place["size"])[:4] == b"\x89PNG" and place["size"] == size - 9
 
 
 def test_sampling_keeps_small_images_whole():
@@ -381,6 +434,63 @@ def test_sampling_keeps_small_images_whole():
     assert sampled_colors(pixels) == 512
 
 
+def test_main_part_of_another_name_in_both_passes(spark, tmp_path):
+    root = rels(("rId1", fv.DOCUMENT_REL_TYPE, "word/story.xml"))
+    story = {fv.ROOT_RELS: root, "word/story.xml": main_part(5, 2, 1),
+             "word/_rels/story.xml.rels": rels(("rId1", IMAGE, "media/photo.png")), "word/media/photo.png": photo(200)}
+    source = tmp_path / "in"
+    source.mkdir()
+    write_package(source / "story.docx", {fv.CONTENT_TYPES_PART: types({"png": "image/png", "rels": "r"}), **story})
+    settings = Settings(min_part_bytes=2000, min_colors=1000)
+    for second in (False, True):
+        target = str(tmp_path / f"out{second}")
+        done = (run_second_pass(spark, str(source), target, repack, unpack_png, settings) if second
+                else run_first_pass(spark, str(source), target, halve, settings))
+        row = done.outcomes.first()
+        assert (row.version, row.failure, row.paragraphs, row.tables, row.inline_images) == ("new", None, 5, 2, 1)
+
+
+def test_hidden_names_and_empty_files_have_outcomes(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for name in ("_a.docx", ".b.docx", "c.docx"):
+        write_package(source / name, MIXED)
+    (source / "empty.docx").write_bytes(b"")
+    done = run_first_pass(spark, str(source), str(target), halve, SMALL)
+    rows = {r.container: r for r in done.outcomes.collect()}
+    assert {k: r.version for k, r in rows.items()} == {
+        "_a.docx": "new", ".b.docx": "new", "c.docx": "new", "empty.docx": "original"}
+    assert (rows["empty.docx"].size_before, rows["empty.docx"].size_after) == (0, 0)
+    assert (target / "empty.docx").read_bytes() == b""
+    assert members(target / "_a.docx") == members(target / ".b.docx") == members(target / "c.docx")
+    done.discard()
+    assert not os.path.exists(done.scratch)
+    # The stream finds and does the same.
+    args = (spark, str(source), str(tmp_path / "streamed"), str(tmp_path / "results"), str(tmp_path / "check"), halve, SMALL)
+    run_corpus(*args, max_files_per_trigger=3)
+    got = spark.read.parquet(str(tmp_path / "results")).collect()
+    assert {r.container: r.version for r in got} == {k: r.version for k, r in rows.items()}
+    assert sorted(r.chunk for r in got) == [0, 0, 0, 1]
+    for name in rows:
+        assert (tmp_path / "streamed" / name).read_bytes() == (target / name).read_bytes()
+
+
+def test_writer_gets_no_bytes(spark, first, tmp_path, monkeypatch):
+    """Replacements come as places; no binary column is shuffled."""
+    seen = []
+
+    def spy(containers, replacements, folder, tasks):
+        seen.append(dict(replacements.dtypes))
+        return pub.write_packages(containers, replacements, folder, tasks)
+
+    monkeypatch.setattr("folioworks.plans.first_pass.write_packages", spy)
+    monkeypatch.setattr("folioworks.plans.second_pass.write_packages", spy)
+    _, source, _ = first
+    run_first_pass(spark, str(source), str(tmp_path / "o1"), halve, SMALL)
+    run_second_pass(spark, str(source), str(tmp_path / "o2"), repack, unpack_png, SMALL)
+    assert len(seen) == 2 and all("binary" not in kind for types_ in seen for kind in types_.values())
+
+
 def test_corpus_stream_takes_only_new_packages(spark, tmp_path):
     source, target, results = (str(tmp_path / n) for n in ("in", "out", "results"))
     os.mkdir(source)
@@ -392,3 +502,24 @@ def test_corpus_stream_takes_only_new_packages(spark, tmp_path):
     rows = {r.container: r.batch_id for r in spark.read.parquet(results).collect()}
     assert rows == {"a.docx": 0, "b.docx": 1}
     assert members(f"{target}/b.docx") == BASE
+
+
+def test_corpus_stream_leaves_nothing_but_results(spark, tmp_path):
+    """Also after a failed batch, which the next run repeats."""
+    source, target, results, check = (str(tmp_path / n) for n in ("in", "out", "results", "check"))
+    os.mkdir(source)
+    write_package(f"{source}/a.docx", MIXED)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    os.mkdir(target)
+    os.mkdir(f"{target}/a.docx")  # nothing can be published there
+    with pytest.raises(Exception):
+        run_corpus(spark, source, target, results, check, halve, SMALL)
+    assert set(os.listdir(shared)) == before and os.listdir(target) == ["a.docx"]
+    os.rmdir(f"{target}/a.docx")
+    run_corpus(spark, source, target, results, check, halve, SMALL)
+    assert set(os.listdir(shared)) == before
+    assert [n for n in os.listdir(target) if not n.startswith(".")] == ["a.docx"]
+    assert [r.container for r in spark.read.parquet(results).collect()] == ["a.docx"]
+    run_corpus(spark, source, target, results, check, halve, SMALL)
+    assert spark.read.parquet(results).count() == 1
