@@ -66,20 +66,38 @@ def stamp(polls: DataFrame) -> DataFrame:
     return polls.withColumn(fv.STAMP_COLUMN, poll_stamp("polled_at"))
 
 
+def poll_maps(readings: DataFrame, keys: Sequence[str] = POLL) -> DataFrame:
+    """One map of code to value for each poll, ``values``; of a repeated code the last counts.
+
+    One aggregate whatever the number of codes; a poll's payload bounds its entries.
+    Readings without a code are left out.
+    """
+    entry = F.struct("pos", "code", "value")
+    gathered = F.collect_list(F.when(F.col("code").isNotNull(), entry))
+
+    def later_first(x: Column, y: Column) -> Column:
+        return F.when(x["pos"] > y["pos"], -1).when(x["pos"] < y["pos"], 1).otherwise(0)
+
+    polls = readings.groupBy(*keys).agg(gathered.alias("_entries"))
+    polls = polls.withColumn("_entries", F.array_sort("_entries", later_first))
+    polls = polls.withColumn("_codes", F.col("_entries.code"))
+    distinct = F.array_distinct("_codes")
+    last = F.transform(
+        distinct, lambda code: F.get("_entries", F.array_position("_codes", code).cast("int") - 1)["value"]
+    )
+    return polls.select(*keys, F.map_from_arrays(distinct, last).alias("values"))
+
+
 def to_wide(
     readings: DataFrame, codes: Sequence[str], keys: Sequence[str] = POLL
 ) -> DataFrame:
     """One row per poll, one column per code, null where a code is missing.
 
-    ``readings`` may repeat a code: the last one counts.  One aggregation with
-    a slot per code, so no separate step and no job to find the codes.
+    ``readings`` may repeat a code: the last one counts.  The columns are taken
+    from one map per poll, so no separate step and no job to find the codes.
     """
-
-    def value_of(code: str) -> Column:
-        mine = F.col("code") == F.lit(code)
-        return F.max_by(F.when(mine, F.col("value")), F.when(mine, F.col("pos")))
-
-    return readings.groupBy(*keys).agg(*[value_of(c).alias(c) for c in codes])
+    polls = poll_maps(readings, keys)
+    return polls.select(*keys, *[F.col("values").getItem(c).alias(c) for c in codes])
 
 
 def codes_per_poll(readings: DataFrame) -> DataFrame:

@@ -74,6 +74,35 @@ def side_by_side(
     )
 
 
+def _judged(pairs: DataFrame, exempt: Column, rank: Sequence[str]) -> DataFrame:
+    """Add ``status`` (null where all is well) and ``ordinal`` to pairs of manifests."""
+    same = (F.col("before.crc") == F.col("after.crc")) & (
+        F.col("before.file_size") == F.col("after.file_size")
+    )
+    status = (
+        F.when(F.col("after").isNull(), F.lit("missing"))
+        .when(F.col("before").isNull(), F.lit("extra"))
+        .when(~exempt & ~same, F.lit("changed"))
+    )
+    ordinal = F.coalesce(*(f"{side}.rank" for side in rank)).cast("long")
+    return pairs.withColumns({"status": status, "ordinal": ordinal})
+
+
+def _differences(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("status").isNotNull()).select(
+        "container", "part_name", "status", "ordinal"
+    )
+
+
+def _manifests(
+    before: DataFrame, after: DataFrame, exempt: Callable[[str], Column] = is_media
+) -> DataFrame:
+    pairs = side_by_side(
+        before, after, ["container", "part_name"], "ordinal", ["crc", "file_size"]
+    )
+    return _judged(pairs, exempt("part_name"), ("before", "after"))
+
+
 def reconcile(
     before: DataFrame,
     after: DataFrame,
@@ -84,27 +113,7 @@ def reconcile(
     Manifests have ``container, part_name, ordinal, crc, file_size``.  Members
     for which ``exempt`` holds may change, but not come or go.
     """
-    pairs = side_by_side(
-        before, after, ["container", "part_name"], "ordinal", ["crc", "file_size"]
-    )
-    same = (F.col("before.crc") == F.col("after.crc")) & (
-        F.col("before.file_size") == F.col("after.file_size")
-    )
-    status = (
-        F.when(F.col("after").isNull(), F.lit("missing"))
-        .when(F.col("before").isNull(), F.lit("extra"))
-        .when(~exempt("part_name") & ~same, F.lit("changed"))
-    )
-    return (
-        pairs.withColumn("status", status)
-        .filter(F.col("status").isNotNull())
-        .select(
-            "container",
-            "part_name",
-            "status",
-            F.coalesce("before.rank", "after.rank").cast("long").alias("ordinal"),
-        )
-    )
+    return _differences(_manifests(before, after, exempt))
 
 
 def expected_manifest(before: DataFrame, renames: DataFrame) -> DataFrame:
@@ -121,8 +130,7 @@ def may_change_when_renaming(part_name: str) -> Column:
     return (name == fv.CONTENT_TYPES_PART) | name.endswith(fv.RELS_SUFFIX)
 
 
-def reconcile_renamed(before: DataFrame, after: DataFrame, renames: DataFrame) -> DataFrame:
-    """As ``reconcile``, with the renamed parts expected under their new names."""
+def _manifests_renamed(before: DataFrame, after: DataFrame, renames: DataFrame) -> DataFrame:
     expected = expected_manifest(before, renames)
     entry = F.struct(F.col("ordinal").alias("rank"), "crc", "file_size")
     none = F.lit(None).cast("void")
@@ -133,22 +141,13 @@ def reconcile_renamed(before: DataFrame, after: DataFrame, renames: DataFrame) -
     pairs = stacked.groupBy(*keys).agg(
         F.max("b").alias("before"), F.max("a").alias("after"), F.max("renamed").alias("renamed")
     )
-    same = (F.col("before.crc") == F.col("after.crc")) & (
-        F.col("before.file_size") == F.col("after.file_size")
-    )
     exempt = F.col("renamed") | may_change_when_renaming("part_name")
-    status = (
-        F.when(F.col("after").isNull(), F.lit("missing"))
-        .when(F.col("before").isNull(), F.lit("extra"))
-        .when(~exempt & ~same, F.lit("changed"))
-    )
-    return (
-        pairs.withColumn("status", status)
-        .filter(F.col("status").isNotNull())
-        .select(
-            *keys, "status", F.coalesce("after.rank", "before.rank").cast("long").alias("ordinal")
-        )
-    )
+    return _judged(pairs, exempt, ("after", "before"))
+
+
+def reconcile_renamed(before: DataFrame, after: DataFrame, renames: DataFrame) -> DataFrame:
+    """As ``reconcile``, with the renamed parts expected under their new names."""
+    return _differences(_manifests_renamed(before, after, renames))
 
 
 def member_diff(differences: DataFrame, shown: int = 5) -> DataFrame:
@@ -178,42 +177,83 @@ def media_counts(parts: DataFrame) -> DataFrame:
     )
 
 
-def diff_media_counts(
-    before: DataFrame, after: DataFrame, rule_no: int, message: str
-) -> DataFrame:
-    b = media_counts(before)
-    a = media_counts(after).withColumnRenamed("media_count", "media_after")
-    differing = b.join(a, "container").filter(F.col("media_count") != F.col("media_after"))
+def manifest_totals(judged: DataFrame) -> DataFrame:
+    """What the pairs of two manifests say by container, in one further aggregation.
+
+    ``members_differ``; ``media_count`` and ``media_after`` (distinct names), with
+    ``compared`` where both sides know the container; ``changed_parts`` and the
+    first of them, ``first_changed``.
+    """
+    old, new = F.col("before").isNotNull(), F.col("after").isNotNull()
+    media, changed = is_media("part_name"), F.col("status") == "changed"
+    return judged.groupBy("container").agg(
+        F.bool_or(~(old & new)).alias("members_differ"),
+        F.count_if(old & media).alias("media_count"),
+        F.count_if(new & media).alias("media_after"),
+        (F.bool_or(old) & F.bool_or(new)).alias("compared"),
+        F.count_if(changed).alias("changed_parts"),
+        F.min(F.when(changed, F.struct("ordinal", "part_name"))).alias("first_changed"),
+    )
+
+
+def _media_violations(totals: DataFrame, rule_no: int, message: str) -> DataFrame:
+    differing = totals.filter(
+        F.col("compared") & (F.col("media_count") != F.col("media_after"))
+    )
     return violation(
         differing, rule_no, F.format_string(message, "media_count", "media_after")
     )
 
 
+def _part_violations(judged: DataFrame, rule_no: int, message: str) -> DataFrame:
+    return violation(
+        judged.filter(F.col("status") == "changed"),
+        rule_no,
+        F.format_string(message, "part_name"),
+        F.col("ordinal"),
+        F.col("part_name"),
+    )
+
+
 def manifest_violations(before: DataFrame, after: DataFrame) -> DataFrame:
-    """First pass: same members, untouched parts identical, as many media."""
-    found = reconcile(before, after)
-    members = (
-        found.filter(F.col("status") != "changed").select("container").distinct()
+    """First pass: same members, untouched parts identical, as many media.
+
+    The manifests are shuffled once, into pairs, and the pairs once more, into one
+    row for each container; what the pairs themselves add reuses their shuffle.
+    """
+    judged = _manifests(before, after)
+    totals = manifest_totals(judged)
+    message = F.format_string(fv.BAD_MEDIA_COUNT, "media_count", "media_after")
+
+    def finding(when: Column, rule_no: int, text: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule_no).alias("rule_no"), text.alias("message")))
+
+    found = F.array_compact(
+        F.array(
+            finding(F.col("members_differ"), RULE_MEMBERS, F.lit(fv.BAD_MEMBERS)),
+            finding(
+                F.col("compared") & (F.col("media_count") != F.col("media_after")),
+                RULE_MEDIA_COUNT,
+                message,
+            ),
+        )
     )
-    return all_violations(
-        violation(members, RULE_MEMBERS, F.lit(fv.BAD_MEMBERS)),
-        diff_media_counts(before, after, RULE_MEDIA_COUNT, fv.BAD_MEDIA_COUNT),
-        violation(
-            found.filter(F.col("status") == "changed"),
-            RULE_PART,
-            F.format_string(fv.BAD_PART, "part_name"),
-            F.col("ordinal"),
-            F.col("part_name"),
-        ),
+    whole = totals.select("container", F.inline(found)).select(
+        "container",
+        "rule_no",
+        F.lit(0).cast("long").alias("ordinal"),
+        F.lit(None).cast("string").alias("subject"),
+        "message",
     )
+    return all_violations(whole, _part_violations(judged, RULE_PART, fv.BAD_PART))
 
 
 def manifest_violations_renamed(
     before: DataFrame, after: DataFrame, renames: DataFrame
 ) -> DataFrame:
     """Second pass: members as expected, the others identical, as many media."""
-    found = reconcile_renamed(before, after, renames)
-    members = member_diff(found)
+    judged = _manifests_renamed(before, after, renames)
+    members = member_diff(_differences(judged))
     return all_violations(
         violation(
             members,
@@ -222,15 +262,9 @@ def manifest_violations_renamed(
                 fv.BAD_MEMBERS_RENAMED, py_list(F.col("missing")), py_list(F.col("extra"))
             ),
         ),
-        violation(
-            found.filter(F.col("status") == "changed"),
-            RULE_PART_RENAMED,
-            F.format_string(fv.BAD_PART_RENAMED, "part_name"),
-            F.col("ordinal"),
-            F.col("part_name"),
-        ),
-        diff_media_counts(
-            before, after, RULE_MEDIA_COUNT_RENAMED, fv.BAD_MEDIA_COUNT_RENAMED
+        _part_violations(judged, RULE_PART_RENAMED, fv.BAD_PART_RENAMED),
+        _media_violations(
+            manifest_totals(judged), RULE_MEDIA_COUNT_RENAMED, fv.BAD_MEDIA_COUNT_RENAMED
         ),
     )
 

@@ -241,6 +241,62 @@ vectors AS (
 photos AS (SELECT *, NOT has_alpha AND colors > 500 AS converted FROM vectors)"""
 
 
+# Reports: masked sizes, one list of lines for each package.
+
+HEAD_1 = [fv.REPORT_TITLE, "Entrada: in", "Saída:   out", fv.REPORT_PARAMETERS % (1600, 80, 1), fv.RULE_LINE]
+HEAD_2 = [
+    fv.REPORT_TITLE_2, "Entrada: in", "Saída:   out",
+    (fv.REPORT_PARAMETERS_2 % (80, 1, 500, 5.0)).replace("5 %", "# %"), fv.RULE_LINE,
+]
+REPORTED_1 = """
+c AS (
+  SELECT container, count(*) AS media, count(*) FILTER (accepted) AS done,
+         count(*) FILTER (extension = '.png') AS pngs, count(*) FILTER (lang <> 'fr') AS paragraphs,
+         count(*) FILTER (lang = 'fr') AS tables, count(*) FILTER (lang = 'en') AS images
+  FROM passed GROUP BY container
+)"""
+REPORTED_2 = """
+c AS (
+  SELECT container, count(*) AS media, count(*) FILTER (converted) AS done FROM photos GROUP BY container
+)"""
+LINES_1 = f"""[
+  '', 'ARQUIVO: ' || container, '  Tamanho antes:  # MB',
+  '  Validação: imagens: ' || media || ' = ' || media || ' OK; partes XML intactas (CRC) OK',
+  '  Validação: parágrafos: ' || paragraphs || ' OK; tabelas: ' || tables || ' OK; imagens inline: '
+    || images || ' OK',
+  '  Tamanho depois: # MB', '  Redução:        # %',
+  '  Imagens processadas: ' || done || ' | puladas: ' || (media - done)]"""
+LINES_2 = f"""[
+  '', 'ARQUIVO: ' || container, '  Tamanho antes: # MB',
+  CASE WHEN done = 0 THEN '{fv.LINE_UNCHANGED}' END,
+  CASE WHEN done > 0 THEN '  Validação: ' || (media + 3 - done)
+    || ' partes não convertidas permanecem byte a byte idênticas (CRC) OK' END,
+  CASE WHEN done > 0 THEN '  Validação: imagens: ' || media || ' = ' || media || ' OK; ' || done
+    || ' JPEG(s) convertido(s) e íntegro(s) OK' END,
+  CASE WHEN done > 0 THEN '  Validação: {fv.VALID_RELS_2}' END,
+  CASE WHEN done > 0 THEN '  Validação: {fv.VALID_TYPES_2}' END,
+  CASE WHEN done > 0 THEN '  Validação: parágrafos: ' || media || ' OK; tabelas: 0 OK; imagens inline: '
+    || media || ' OK' END,
+  '  Tamanho depois: # MB', '  Redução:        # %',
+  '  PNGs convertidos: ' || done || ' | mantidos como PNG: ' || (media - done)]"""
+SUMMARY_1 = f"""['', '{fv.RULE_LINE}', '{fv.SUMMARY_TITLE}',
+  '  Arquivos processados: ' || count(*) || ' | com falha (original mantido): 0',
+  '  Total antes:  # MB', '  Total depois: # MB', '  Redução total: # %', '']"""
+SUMMARY_2 = SUMMARY_1.replace(fv.SUMMARY_TITLE, fv.SUMMARY_TITLE_2).replace("original mantido", "entrada mantida")
+
+
+def _report(head: list[str], sections: str, lines: str, summary: str) -> str:
+    quoted = ", ".join("'" + text.replace("'", "''") + "'" for text in head)
+    return f"""SELECT * FROM (
+          SELECT 0 AS block, '' AS container, unnest(range(5))::INT AS section, 0::BIGINT AS ordinal,
+                 unnest([{quoted}]) AS line
+          UNION ALL
+          SELECT 1, container, unnest({sections}), 0, unnest({lines}) FROM c
+          UNION ALL
+          SELECT 2, '', unnest(range(8))::INT, 0, unnest({summary}) FROM c
+        ) WHERE line IS NOT NULL"""
+
+
 def _wide(source: str, condition: str = "true") -> str:
     columns = ", ".join(
         f"arg_max(value, pos) FILTER (code = '{c}' AND {condition}) AS {c}" for c in CODES
@@ -542,11 +598,44 @@ ORACLES: dict[str, str] = {
                      CASE WHEN accepted THEN recoded ELSE content END AS content FROM passed)
         SELECT container, part_name, CAST(octet_length(content) AS INTEGER) AS size,
                md5(content) AS digest FROM p""",
-    "first_pass_report": f"""WITH {PACKED}
-        SELECT container, '    - ' || part_name || ': ' ||
+    "first_pass_report": f"""WITH {PACKED}, {REPORTED_1}
+        {_report(HEAD_1, "[0, 1, 2, 4, 5, 8, 9, 10]", LINES_1, SUMMARY_1)}
+        UNION ALL
+        SELECT 1, container, 50, row_number() OVER (PARTITION BY container ORDER BY doc_id) + 2,
+          '    - ' || part_name || ': ' ||
           CASE WHEN accepted THEN {mb('file_size')} || ' -> ' || {mb('new_size')}
-               ELSE reason END AS line
-        FROM passed""",
+               ELSE reason END
+        FROM passed
+        UNION ALL
+        SELECT 3, '', 0, 0, '  ATENÇÃO: ' || count(*) || ' arquivo(s) ainda acima de 100 MB:' FROM c
+        UNION ALL
+        SELECT 3, container, 0, 0, '    - ' || container || ': # MB | PNGs em word/media: ' || pngs
+          || ' arquivo(s), # MB (# % do peso)' FROM c
+        UNION ALL
+        SELECT 4, '', i, 0, hint FROM (VALUES (0, '{fv.OVER_HINT[0]}'), (1, '{fv.OVER_HINT[1]}')) AS t(i, hint)""",
+    "second_pass_report": f"""WITH {VECTORS}, {REPORTED_2}
+        {_report(HEAD_2, "[0, 1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 13]", LINES_2, SUMMARY_2)}
+        UNION ALL
+        SELECT 1, container, 50, row_number() OVER (PARTITION BY container ORDER BY vec_id) + 2,
+          '    - word/media/vec' || vec_id || '.png' ||
+          CASE WHEN converted THEN ' -> word/media/vec' || vec_id || '.jpeg: # MB -> # MB'
+               WHEN has_alpha THEN ': {fv.KEPT_ALPHA}' ELSE ': {fv.KEPT_FEW_COLORS}' END
+        FROM photos
+        UNION ALL
+        SELECT 3, '', 0, 0, '  Ainda acima de 100 MB após a 2ª passada: ' || count(*) || ' arquivo(s):' FROM c
+        UNION ALL
+        SELECT 3, container, 0, 0, '    - ' || container || ': # MB' FROM c""",
+    "second_pass_xml": f"""WITH {VECTORS}
+        SELECT container, 'reference' AS kind, 'rId' || vec_id AS key,
+               '{IMAGE} media/vec' || vec_id || CASE WHEN converted THEN '.jpeg' ELSE '.png' END AS value
+        FROM photos
+        UNION ALL SELECT DISTINCT container, 'default', 'png', 'image/png' FROM photos
+        UNION ALL SELECT DISTINCT container, 'default', 'jpeg', 'image/jpeg' FROM photos WHERE converted
+        UNION ALL SELECT DISTINCT container, 'override', '/word/document.xml', 'main+xml' FROM photos""",
+    "picture_heads": f"""WITH {VECTORS}
+        SELECT container, 'word/media/vec' || vec_id || '.png' AS part_name, 'PNG' AS head_format,
+               64 AS head_width, 64 AS head_height, CASE WHEN label = 0 THEN 4 ELSE 3 END AS head_channels
+        FROM vectors""",
     "image_flags": f"""WITH {VECTORS}
         SELECT 'word/media/vec' || vec_id || '.png' AS part_name, 64 AS width, 64 AS height,
                CASE WHEN label = 0 THEN 4 ELSE 3 END AS channels, true AS decodable, has_alpha,

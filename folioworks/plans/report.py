@@ -15,7 +15,8 @@ from .first_pass import PassResult
 
 LINE_ORDER = ("block", "container", "section", "ordinal")
 _HEADER, _CONTAINERS, _SUMMARY, _OVER, _CLOSING = range(5)
-_DETAILS = 50
+#: Section of the lines about parts.
+PART_LINES = 50
 
 
 def _lines(df: DataFrame, block: int, lines: Sequence[Column], container: Column) -> DataFrame:
@@ -64,7 +65,7 @@ def render_report(
     details = result.details.select(
         F.lit(_CONTAINERS).alias("block"),
         "container",
-        F.lit(_DETAILS).alias("section"),
+        F.lit(PART_LINES).alias("section"),
         "ordinal",
         "line",
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,10 @@ from .operators.naming import assign_names
 from .operators.numbering import with_progress
 from .operators.recode import decide, recode
 from .plans.first_pass import PassResult, run_first_pass
-from .plans.report import LINE_ORDER, render_report
+from .plans.report import LINE_ORDER, PART_LINES, render_report
 from .plans.second_pass import run_second_pass
 from .plans.telemetry import take_in
-from .session import scratch_dir, tasks_for
+from .session import scratch_dir, tasks_for, written
 from .sources import images as im
 from .sources import package_xml as px
 from .sources import packages as pk
@@ -657,11 +658,55 @@ def first_pass_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _whole_report(result: PassResult, second: bool = False) -> DataFrame:
+    """Every line of a report, over-limit list included (nothing is small enough).
+
+    Sizes in an archive depend on the compressor: ``#`` stands for them.  Sizes of
+    the first pass's parts are known and stay.
+    """
+    settings = replace(st.SMALL, alert_bytes=0)
+    lines = render_report(result, "in", "out", settings, second)
+    masked = F.regexp_replace("line", r"[0-9.]+,[0-9] MB", "# MB")
+    masked = F.regexp_replace(masked, r"-?[0-9]+([.][0-9]+)? %", "# %")
+    known = F.lit(not second) & (F.col("section") == PART_LINES)
+    return lines.select(*LINE_ORDER, F.when(known, F.col("line")).otherwise(masked).alias("line"))
+
+
 @query
 def first_pass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detail lines of the first pass's report."""
-    lines = render_report(_first_pass(spark, sf_dir), "in", "out", st.SMALL)
-    return lines.filter(F.col("line").startswith("    - word")).select(*LINE_ORDER[1:2], "line")
+    """The whole report of the first pass."""
+    return _whole_report(_first_pass(spark, sf_dir))
+
+
+@query
+def second_pass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of the second pass."""
+    return _whole_report(_second_pass(spark, sf_dir), second=True)
+
+
+@query
+def second_pass_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and declarations in the packages that the second pass published."""
+    done = _second_pass(spark, sf_dir)
+    parts = done.published_parts
+    xml = px.rels_parts(parts).unionByName(px.content_types_parts(parts))
+    rows = written(px.read_xml(xml, done.share), scratch_dir(spark))
+    rels = px.relationships(rows).select(
+        "container", F.lit("reference").alias("kind"), F.col("rel_id").alias("key"),
+        F.concat_ws(" ", "rel_type", "target", "target_mode").alias("value"),
+    )
+    types = px.content_types(rows).select("container", "kind", "key", F.col("content_type").alias("value"))
+    return rels.unionByName(types)
+
+
+@query
+def picture_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format and size of every picture, read from the first bytes of its member."""
+    parts, share = _parts_on_disk(spark, st.vector_packages(spark, sf_dir))
+    heads = pk.read_parts(parts.filter(is_media("part_name")), share, first_bytes=32)
+    return im.head_profile(heads).select(
+        "container", "part_name", "head_format", "head_width", "head_height", "head_channels"
+    )
 
 
 @query

@@ -54,6 +54,29 @@ def test_first_pass_manifest_rules(spark, after, expected):
     assert messages(got) == expected
 
 
+def test_first_pass_manifests_meet_in_one_pass(spark):
+    """Members, media and changed parts together: two shuffles, one of them used twice."""
+    before = manifest(spark, *PARTS)
+    found = rec.manifest_violations(before, manifest(spark, *PARTS[:2]))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    assert len([x for x in plan.split("\n") if " Exchange hashpartitioning" in x]) <= 3
+
+
+def test_totals_of_two_manifests(spark):
+    rows = [(c, n, i, crc, 1) for c, names in {
+        "a": [("word/media/1", 1), ("word/media/2", 1), ("x", 1), ("y", 1)], "gone": [("word/media/1", 1)], "none": [],
+    }.items() for i, (n, crc) in enumerate(names)]
+    after = [("a", "word/media/1", 0, 9, 9), ("a", "y", 3, 2, 1), ("a", "x", 5, 2, 1), ("new", "z", 0, 1, 1)]
+    judged = rec._manifests(spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(after, MANIFEST))
+    got = {r.container: r for r in rec.manifest_totals(judged).collect()}
+    a = got["a"]
+    assert (a.members_differ, a.media_count, a.media_after, a.compared, a.changed_parts) == (True, 2, 1, True, 2)
+    assert (a.first_changed.ordinal, a.first_changed.part_name) == (2, "x")
+    assert {c: (r.members_differ, r.compared, r.changed_parts, r.first_changed) for c, r in got.items() if c != "a"} == {
+        "gone": (True, False, 0, None), "new": (True, False, 0, None)}
+
+
 def test_a_name_entered_twice_counts_as_its_last_entry(spark):
     before = manifest(spark, ("a", 1, 1), ("a", 2, 2))
     assert rec.reconcile(before, manifest(spark, ("a", 2, 2))).count() == 0

@@ -65,6 +65,19 @@ def test_last_value_of_a_repeated_code(spark, tmp_path):
     assert [(r.pos, r.value.toPython()) for r in got] == [(2, 3.3)]
 
 
+def test_one_map_per_poll(spark):
+    rows = [("d", "p", 0, "a", 1), ("d", "p", 3, "b", 2), ("d", "p", 2, "a", 3), ("d", "p", 4, None, 4), ("d", "p", 5, "c", None),
+            ("d", "q", 0, None, 5), ("e", "p", 1, "a", None), ("e", "p", 0, "a", 6)]
+    readings = spark.createDataFrame(rows, "device_id string, poll_id string, pos int, code string, value int").withColumn(
+        "polled_at", F.lit("2024-01-01").cast("timestamp_ntz")).repartition(3)
+    got = {(r.device_id, r.poll_id): r["values"] for r in rd.poll_maps(readings).collect()}
+    assert got == {("d", "p"): {"a": 3, "b": 2, "c": None}, ("d", "q"): {}, ("e", "p"): {"a": None}}
+    wide = {(r.device_id, r.poll_id): (r.a, r.b, r.z) for r in rd.to_wide(readings, ["a", "b", "z"]).collect()}
+    assert wide == {("d", "p"): (3, 2, None), ("d", "q"): (None, None, None), ("e", "p"): (None, None, None)}
+    plan = rd.to_wide(readings, [f"c{k}" for k in range(50)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "max_by" not in plan
+
+
 CODES = ("humidity", "on", "temp_current")
 EXPECTED = {
     "p1": (60, True, 21.5), "p2": (50, None, None), "p3": (61, None, 3.3), "p4": (62, None, None),
