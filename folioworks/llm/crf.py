@@ -212,17 +212,20 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1) of each whole text.
+def scored(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """``docs`` with ``column``, the score (0 to 1) of each whole text.
 
     Null texts, empty ones and those of white space only have no line and score
-    0.  Other columns are passed through and never read.
+    0.  Texts of any length are read whole; repeated rows score alike, each by
+    itself; an empty table stays empty.  Other columns are passed through and never
+    read; one that is named like ``column``, in any case, is replaced.
     """
+    docs = docs.drop(column)
     fields = docs.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pa.array(score_texts(batch.column(fields.index("text")), model), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "quality_score"])
+            score = pa.array(score_texts(batch.column(fields.index("text")), model), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, extended(docs, "quality_score double"))
+    return docs.mapInArrow(run, extended(docs, f"`{column}` double"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import scratch_dir, stored
 
 
 @dataclass(frozen=True)
@@ -56,11 +57,22 @@ class Index:
     stride: int
 
 
-def build_index(item_ids: list[int], texts: list[str | None], how: Search) -> Index | None:
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words, whichever index holds them."""
+
+    items: int
+    mean_words: float
+    terms: np.ndarray  # sorted hashes, those of one index at least
+    df: np.ndarray  # how many items hold each
+
+
+def build_index(item_ids: list[int], texts: list[str | None], how: Search, all_items: Statistics | None = None) -> Index | None:
     """Index the items that have words; None if none has.
 
     A term's weight is its BM25 score in the item over the sum of all of the
-    item's terms, so a passage that holds the whole item scores 1.
+    item's terms, so a passage that holds the whole item scores 1.  The counts
+    behind it are those of ``all_items``, by default of the items given.
     """
     data, offsets = W.utf8(pa.array(texts, pa.string()))
     hashes, _, _, at = W.words(data, offsets, W.ALPHANUMERIC)
@@ -74,8 +86,11 @@ def build_index(item_ids: list[int], texts: list[str | None], how: Search) -> In
     pair, tf = np.unique(term.astype(np.int64) * len(own) + item, return_counts=True)
     term, item = pair // len(own), pair % len(own)
     df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((len(own) - df + 0.5) / (df + 0.5))
-    norm = how.k1 * (1 - how.b + how.b * length[item] / length.mean())
+    if all_items is None:
+        all_items = Statistics(len(own), float(length.mean()), terms, df)
+    held = all_items.df[np.searchsorted(all_items.terms, terms)]
+    idf = np.log1p((all_items.items - held + 0.5) / (held + 0.5))
+    norm = how.k1 * (1 - how.b + how.b * length[item] / all_items.mean_words)
     weight = idf[term] * tf * (how.k1 + 1) / (tf + norm)
     weight = weight / np.bincount(item, weights=weight)[item]
     # The most frequent terms are skipped as long as no item gets half of the
@@ -192,24 +207,88 @@ def _search(index: Index, column: pa.Array, how: Search) -> Iterator[tuple[int,
             yield first_row + row, int(index.item_ids[i]), s, overlap, question, answer
 
 
+def _indexes(items: DataFrame, how: Search) -> Iterator[Index | None]:
+    """The items in turns of about ``index_bytes``, weighted by the counts of all of them."""
+    items = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    turns = int(-(-total // how.index_bytes)) or 1
+    turn_of = F.pmod(F.xxhash64("item_id"), F.lit(turns))
+
+    def taken(turn: int) -> tuple[list[int], list[str | None]]:
+        rows = items.filter(turn_of == turn).orderBy("item_id", "text").collect()
+        return [r.item_id for r in rows], [r.text for r in rows]
+
+    if turns == 1:
+        yield build_index(*taken(0), how)
+        return
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turn = batch.column(1).to_numpy()
+            for first, _, data, offsets in W.groups(batch.column(0)):
+                hashes, _, _, at = W.words(data, offsets, W.ALPHANUMERIC)
+                n = np.diff(at)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])])[: len(row)]
+                row, hashes = row[fresh], hashes[fresh]
+                head = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]  # carries its item's length
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), pa.array(turn[first + row]), pa.array(np.where(head, n[row], 0))],
+                    ["term", "turn", "words"])
+
+    spark = items.sparkSession
+    held = items.select("text", turn_of.alias("turn")).mapInArrow(words, "term long, turn long, words long")
+    held = stored(held, f"{scratch_dir(spark)}/item-words")
+    n_items, n_words = held.filter("words > 0").agg(F.count("*"), F.sum("words")).first()
+    counts = stored(held.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("turn").alias("turns")), f"{scratch_dir(spark)}/item-df")
+    for turn in range(turns):
+        own = counts.filter(F.array_contains("turns", F.lit(turn).cast("long"))).select("term", "df").toArrow()
+        terms = own.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        yield build_index(*taken(turn), how, Statistics(
+            n_items, (n_words or 0) / max(n_items, 1), terms[order], own.column("df").to_numpy()[order]))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, how: Search = Search()) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of every
     test item found in a document, with its best passage.
 
     A map over the documents: they are neither shuffled nor cut.  Items come to
-    the driver in turns of ``index_bytes`` (an item is never cut).  Null and
-    empty texts and items match nothing; repeated rows are each reported;
-    items with a null id are left out.
+    the driver in turns of ``index_bytes`` (an item is never cut); what is found
+    doesn't depend on the turns, since the weights count all items.  Null and
+    empty texts and items match nothing; repeated rows are each reported; of two
+    passages that score alike the first counts; items with a null id are left out.
+    Other columns are ignored, whatever their names; without documents or items
+    the result is empty.
     """
-    items = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    turns = int(-(-total // how.index_bytes)) or 1
-    parts = []
-    for turn in range(turns):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).orderBy("item_id", "text").collect()
-        index = build_index([r.item_id for r in rows], [r.text for r in rows], how)
-        parts.append(_searched(docs, index, how))
-    return reduce(DataFrame.union, parts)
+    return reduce(DataFrame.union, [_searched(docs, index, how) for index in _indexes(items, how)])
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, how: Search = Search()) -> DataFrame:
+    """``docs`` without the rows in whose text a test item is found.
+
+    A map: each row is judged by its own text, whatever its id and other columns.
+    """
+    place = docs.schema.fieldNames().index("text")
+    for index in _indexes(items, how):
+        docs = _without(docs, index, place, how)
+    return docs
+
+
+def _without(docs: DataFrame, index: Index | None, place: int, how: Search) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(vars(index) if index else None)  # at most index_bytes of items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(**shared.value) if shared.value else None
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            if index is not None:
+                clean[[f[0] for f in _search(index, batch.column(place).cast(pa.string()), how)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _searched(docs: DataFrame, index: Index | None, how: Search) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_dir, width
 
-__all__ = ["extended", "held_out", "read", "scratch_dir", "stored", "width"]
+__all__ = ["extended", "free_name", "held_out", "read", "scratch_dir", "stored", "width"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +30,12 @@ def held_out(doc_id: Column) -> Column:
 def extended(docs: DataFrame, more: str) -> StructType:
     """The schema of ``docs`` with the columns of a DDL string behind its own."""
     return StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def free_name(docs: DataFrame, wanted: str, *endings: str) -> str:
+    """``wanted``, with as many underscores as it takes that no column has that name
+    (with none of the ``endings``), in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while any(f"{wanted}{end}".lower() in taken for end in endings or ("",)):
+        wanted += "_"
+    return wanted

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioworks.llm import words as W
-from folioworks.llm.decontaminate import Search, build_index, contaminated, retrieve, windows
+from folioworks.llm.decontaminate import Search, build_index, contaminated, retrieve, uncontaminated, windows
 
 ITEMS = "item_id long, text string"
 
@@ -55,6 +55,38 @@ def test_finds_copies_and_leaves_clean_documents(spark, documents):
     assert all(r.overlap == 1.0 and r.score > 0.99 for r in found)
 
 
+def test_turns_change_nothing(spark, documents):
+    """Partial copies near the threshold: what is found is the same with one index and with many."""
+    rng = random.Random(7)
+    word = lambda: f"v{min(int(rng.expovariate(0.01)), 500)}"
+    items = [(k, " ".join(word() for _ in range(rng.randrange(12, 40)))) for k in range(200)] + [(500, ""), (501, None)]
+    docs = []
+    for k in range(200):
+        words = items[k][1].split()
+        kept = " ".join(w for w in words if rng.random() < rng.choice([0.8, 0.9, 1.0]))
+        docs.append((k, " ".join([*(word() for _ in range(80)), kept, *(word() for _ in range(80))])))
+    table, asked = documents(docs), spark.createDataFrame(items, ITEMS)
+    how = {"threshold": 0.7, "overlap": 0.5, "part_overlap": 0.2, "run": 2}
+    one, many = (sorted(map(tuple, contaminated(table, asked, Search(**how, index_bytes=n)).collect())) for n in (10**7, 900))
+    assert len(one) > 50 and [(r[0], r[1], *(round(x, 9) for x in r[2:])) for r in one] == [
+        (r[0], r[1], *(round(x, 9) for x in r[2:])) for r in many]
+    clean = {r.doc_id for r in uncontaminated(table, asked, Search(**how, index_bytes=900)).collect()}
+    assert clean == set(range(200)) - {r[0] for r in one}
+
+
+def test_rows_are_judged_by_their_own_text(spark, documents):
+    item = " ".join(f"i{n}" for n in range(20))
+    docs = documents([(1, f"a {item} b"), (1, "nothing here"), (None, item), (None, "clean"), (2, None), (3, ""), (1, f"a {item} b")])
+    docs = docs.withColumn("item_id", F.lit(5)).withColumn("clean", F.lit("x"))
+    asked = spark.createDataFrame([(0, item)], ITEMS)
+    out = uncontaminated(docs, asked)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [
+        ("1", "nothing here"), ("2", "None"), ("3", ""), ("None", "clean")]
+    assert len(contaminated(docs, asked).collect()) == 3
+    assert uncontaminated(docs, asked.limit(0)).count() == 7
+
+
 def test_several_turns_and_empty_tables(spark, documents):
     items = [(k, " ".join(f"i{k}x{n}" for n in range(20))) for k in range(12)]
     docs = documents([(k, items[k][1]) for k in range(12)])

@@ -170,3 +170,30 @@ def test_neighbours_reach_the_recall(spark, block_rows):
     few = crosspolytope.search(df.filter("vec_id < 4"), F.col("vec_id") == 0, how).collect()
     assert len(few) == 3
     assert crosspolytope.search(df.limit(0), F.col("vec_id") == 0, how).count() == 0
+
+
+def test_only_letters_make_a_language(spark, documents):
+    """Emoji, digits of any plane and lone marks are no letters; letters beyond 16 bits are."""
+    rows = [(k, "the cat sat on the mat and saw the other cat", "en") for k in range(40)]
+    rows += [(100 + k, "el gato vio al otro gato en la casa del rey", "es") for k in range(40)]
+    model = langid.fit(documents(rows))
+    table = langid.fit(documents(rows), langid.Training(entries=10))
+    odd = {"\U0001f642\U0001f642 \U0001f642": False, "\u0301 \u0302": False, "\U0001d7d8\U0001d7d9": False, "12 -": False,
+           "\U00010400\U00010401": True, "e\u0301l gato": True, "the cat": True, "\u0915\u093f": True}
+    asked = documents([(k, t) for k, t in enumerate(odd)]).withColumn("LANG_PRED", F.lit("x")).withColumn("lang_bits", F.lit("x"))
+    for m in (model, table):
+        got = {r.text: (r.lang_pred, r.lang_rejected) for r in langid.identified(asked, m).collect()}
+        for text, letters in odd.items():
+            assert (got[text][0] != "und") == letters, text
+            assert letters or got[text][1]
+
+
+def test_a_clashing_score_column_is_replaced(spark, documents):
+    docs = documents([(k, f"line {k}\nanother line of text") for k in range(30)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    model = crf.fit(docs, labels)
+    out = crf.scored(docs.withColumn("Quality_Score", F.lit("x")), model)
+    assert [c for c in out.columns if c.lower() == "quality_score"] == ["quality_score"]
+    assert {r.quality_score for r in out.collect()} != {"x"}
+    again = crf.scored(docs.union(docs), model).groupBy("doc_id").agg(F.count_distinct("quality_score").alias("n")).collect()
+    assert {r.n for r in again} == {1}
