@@ -1,7 +1,8 @@
-"""Near-duplicate classes by banded MinHash signatures.
+"""Near-duplicate classes by an LSH forest over MinHash signatures.
 
-Not an LSH forest proper: each order is one band of equal ``depth``, no
-signature is sorted and no common prefix length is taken.
+Each of several orders sorts all signatures, from a hash of its own on.  Neighbours
+in an order are the rows with a long common prefix: regions are as shallow as they
+are sparse, and as deep as ``depth`` hashes where they are crowded.
 """
 
 from __future__ import annotations
@@ -18,21 +19,26 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .tables import scratch_dir, stored
+from .tables import width as width_of
 
 
 @dataclass(frozen=True)
 class Forest:
-    """``orders`` signature orders, each keyed by its own ``depth`` hashes.
+    """``orders`` sorted orders of signatures, each looked at ``depth`` hashes deep.
 
-    A pair at similarity s shares the first ``depth`` hashes of an order with
-    probability s**depth; all orders miss it with (1 - s**depth)**orders, 3e-7
-    at s = 0.85 and 6e-5 at 0.8 for the defaults.
+    All rows that share the first ``depth`` hashes of an order are neighbours there,
+    however many.  A pair at similarity s does so with probability s**depth; all
+    orders miss it with (1 - s**depth)**orders, 3e-7 at s = 0.85 and 6e-5 at 0.8 for
+    the defaults.  Where no more than ``crowd`` different rows share a prefix of only
+    ``shallow`` hashes (or of any length up to ``depth``), they are neighbours, too.
     """
 
     shingle: int = 5
     percent: int = 80
     orders: int = 32
     depth: int = 6
+    shallow: int = 4
+    crowd: int = 32
     # Rows of one region that are compared with each other in one piece; larger
     # regions are dealt over cells of two blocks of about so many rows.
     region_rows: int = 4096
@@ -59,16 +65,6 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (drawn[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (drawn[n:] >> np.uint64(32)).astype(np.uint32)
 
 
-def _prefixes(signature: np.ndarray, forest: Forest, order: int, depth: int) -> np.ndarray:
-    """Key of the first ``depth`` hashes of one order; orders go round the signature."""
-    at = (order * forest.depth + np.arange(depth)) % forest.hashes
-    key = np.full(len(signature), order * 1_000_003 + depth, dtype=np.uint64)
-    keys = W.position_keys(depth)
-    for k, j in enumerate(at):
-        key += (signature[:, j].astype(np.uint64) + np.uint64(1)) * keys[k]
-    return W.mixed(key)
-
-
 def sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for first, end, data, offsets in W.groups(column):
         hashes, _, _, at = W.words(data, offsets, W.NOT_SPACE)
@@ -76,7 +72,7 @@ def sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarr
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> DataFrame:
-    """(id, n_shingles, content, signature, prefixes) of every text.
+    """(id, n_shingles, content, signature) of every text.
 
     ``content`` is a 128-bit digest of the shingle set: equal sets, equal digest.
     """
@@ -94,19 +90,138 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> Dat
                 digest = np.stack([
                     W.reduced(np.add, W.mixed(shingle + np.uint64(0x5851F42D4C957F2D)), at, 0),
                     W.reduced(np.bitwise_xor, W.mixed(shingle ^ np.uint64(0x14057B7EF767814F)), at, 0)], axis=1)
-                prefix = np.stack([_prefixes(signature, forest, t, forest.depth) for t in range(forest.orders)], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, rows),
                     pa.array(np.diff(at), pa.int64()),
                     pa.array([x.tobytes() for x in digest], pa.binary()),
                     pa.array([x.tobytes() for x in signature], pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, rows * forest.orders + 1, forest.orders), pa.int32()),
-                        pa.array(prefix.view(np.int64).ravel())),
-                ], ["id", "n_shingles", "content", "signature", "prefixes"])
+                ], ["id", "n_shingles", "content", "signature"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        run, "id long, n_shingles long, content binary, signature binary, prefixes array<long>")
+        run, "id long, n_shingles long, content binary, signature binary")
+
+
+class _Walk:
+    """Reads the rows of sorted orders and tells the regions, holding at most ``crowd`` heads.
+
+    A head is the first row of those that share ``depth`` hashes.  The run of heads
+    that share ``shallow`` hashes is one region if it is no crowd; else its runs at
+    each greater depth are, on the same condition.  Rows that share ``depth`` hashes
+    are a region always.
+    """
+
+    def __init__(self, forest: Forest):
+        self.depth, self.crowd = forest.depth, forest.crowd
+        self.depths = range(forest.shallow, forest.depth)
+        # Of each depth: heads of the run under way (one more than a crowd at most).
+        self.heads: dict[int, list[int]] = {d: [] for d in self.depths}
+        # Closed runs of the next depth, which count if the run under way grows to a crowd.
+        self.inner: dict[int, list[tuple]] = {d: [] for d in self.depths}
+        self.out: list[tuple] = []  # (order, depth, prefix, id)
+        self.first = None  # of a deepest run, while it is alone
+
+    def _closed(self, depth: int, order: int, key: bytes) -> None:
+        """End the run of this depth, and the deeper ones in it."""
+        if depth + 1 < self.depth:
+            self._closed(depth + 1, order, key)
+        heads, inner = self.heads[depth], self.inner[depth]
+        if len(heads) > self.crowd:
+            found = inner
+        else:
+            found = [(order, depth, key[: 2 * depth], i) for i in heads] if len(heads) > 1 else []
+        if depth - 1 in self.heads and len(self.heads[depth - 1]) <= self.crowd:
+            self.inner[depth - 1] += found  # the outer run decides
+        else:
+            self.out += found
+        self.heads[depth], self.inner[depth] = [], []
+
+    def row(self, order: int, key: bytes, row_id: int, common: int, was: tuple[int, bytes] | None, edge: bool) -> None:
+        """``common``: hashes shared with the row before, ``was``; ``edge``: its run may go on elsewhere."""
+        if common == self.depth:
+            if self.first is not None:
+                self.out.append((order, self.depth, key, self.first))
+                self.first = None
+            self.out.append((order, self.depth, key, row_id))
+            return
+        if was is not None:
+            ending = max(common + 1, self.depths.start)
+            if ending < self.depth:
+                self._closed(ending, *was)
+        for d in self.depths:
+            if len(self.heads[d]) <= self.crowd:
+                self.heads[d].append(row_id)
+                if len(self.heads[d]) > self.crowd and (d - 1 not in self.heads or len(self.heads[d - 1]) > self.crowd):
+                    self.out += self.inner[d]  # it has grown to a crowd: its closed runs stand
+                    self.inner[d] = []
+        self.first = row_id
+        if edge:
+            self.out.append((order, self.depth, key, row_id))
+            self.first = None
+
+    def ended(self, order: int, key: bytes) -> None:
+        """Close what is under way; the last row's run may go on elsewhere."""
+        if self.depths:
+            self._closed(self.depths.start, order, key)
+        if self.first is not None:
+            self.out.append((order, self.depth, key, self.first))
+
+
+def _filed(distinct: DataFrame, forest: Forest) -> DataFrame:
+    """(region, id, order): the neighbours of each sorted order, by region.
+
+    The orders are sorted by ranges over all rows, so a crowd of equal prefixes is dealt
+    over many tasks.  A task names the deepest runs at its edges even if they are
+    single rows there, so no run is lost between two tasks; regions of one row are
+    left out afterwards.
+    """
+    width, n = 2 * forest.depth, forest.depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, was = _Walk(forest), None
+        held: tuple | None = None  # the row before, until it is known whether it has a neighbour
+
+        def found() -> pa.RecordBatch:
+            rows, walk.out = walk.out, []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.int64()))],
+                ["order", "depth", "prefix", "id"])
+
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order, key, ids = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            raw = np.frombuffer(b"".join(key.to_pylist()), np.uint16).reshape(-1, n)
+            before = np.concatenate([raw[:1] if was is None else np.frombuffer(was[1], np.uint16)[None], raw[:-1]])
+            same = np.concatenate([raw == before, np.zeros((len(raw), 1), bool)], axis=1)
+            common = np.where(np.concatenate([[was is not None and was[0] == order[0]], order[1:] == order[:-1]]),
+                              np.argmin(same, axis=1), -1)
+            if first:
+                common[0] = -1
+            # Rows without a neighbour on either side are most of all; the walk needs the others only.
+            near = common >= forest.shallow
+            wanted = near.copy()
+            wanted[:-1] |= near[1:]
+            wanted[[0, -1]] = True  # what comes before and after is not known here
+            at = np.flatnonzero(wanted)
+            for k, o, c in zip(at.tolist(), order[at].tolist(), common[at].tolist()):
+                own = raw[k].tobytes()
+                walk.row(o, own, int(ids[k]), c, held, first and k == 0)
+                held = (o, own)
+            first = False
+            was = int(order[-1]), raw[-1].tobytes()
+            if len(walk.out) > 50_000:
+                yield found()
+        if held is not None:
+            walk.ended(*held)
+            yield found()
+
+    keys = F.transform(F.sequence(F.lit(0), F.lit(forest.orders - 1)), lambda t: F.substring("signature", t * width + 1, F.lit(width)))
+    rows = distinct.select("id", F.posexplode(keys).alias("order", "key")).select("order", "key", "id")
+    tasks = max(width_of(distinct.sparkSession), 1)
+    walked = rows.repartitionByRange(tasks, "order", "key", "id").sortWithinPartitions("order", "key", "id").mapInArrow(
+        run, "order int, depth int, prefix binary, id long")
+    return walked.select(F.xxhash64("order", "depth", "prefix").alias("region"), "id", "order")
 
 
 def _estimated(pairs: DataFrame, distinct: DataFrame, forest: Forest) -> DataFrame:
@@ -334,8 +449,9 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
 
     1. Equal shingle sets are one class by their digest; the smallest id stands
        for it from here on.
-    2. Every order of the forest files the distinct sets under the prefix of
-       their signature.  Sets that share a prefix are neighbours; each is first
+    2. Every order of the forest sorts the distinct sets by their signature and
+       finds regions of rows with a common prefix, deeper where they are crowded
+       (see ``Forest``).  Sets of one region are neighbours; each is first
        checked against the most central of them (the one with most neighbours
        in all orders), which joins a large group of copies at the cost of one
        comparison a member, and never by all its pairs.
@@ -357,7 +473,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
         sketch.join(classes, (sketch.content == classes.content) & (sketch.id == classes.rep), "left_semi")
         .dropDuplicates(["id"]), f"{base}/distinct")
 
-    filed = distinct.select("id", F.posexplode("prefixes").alias("order", "region"))
+    filed = stored(_filed(distinct, forest), f"{base}/walked")
     shared = filed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
     filed = stored(filed.join(shared, "region"), f"{base}/filed")
 
