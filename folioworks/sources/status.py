@@ -8,17 +8,8 @@ STATUS_SCHEMA = (
     "poll_id string, device_id string, polled_at timestamp_ntz, success boolean, "
     "code long, msg string, result array<struct<code string, value variant>>"
 )
-
-# Error codes of the device service with a known remedy.
-HINTS = (
-    (1004, "invalid signature: check the access secret and the clock"),
-    (1010, "invalid token: the endpoint usually belongs to another data centre"),
-    (1106, "no permission: check that the device is linked to the project"),
-    (1109, "wrong endpoint: check the data centre of the project"),
-    (1114, "source address rejected: check the project's list of allowed addresses"),
-    (2007, "wrong data centre for these credentials"),
-    (28841105, "the service subscription has expired"),
-)
+#: What a service's error codes mean for its users: a table of the caller's.
+HINT_SCHEMA = "code long, hint string"
 
 
 def read_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,5 +26,6 @@ def stream_status(
     return reader.json(folder)
 
 
-def default_hints(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HINTS, "code long, hint string")
+def no_hints(spark: SparkSession) -> DataFrame:
+    """For a service without known remedies: errors are told by code and text alone."""
+    return spark.createDataFrame([], HINT_SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import readings as rd
 from ..plans.telemetry import column_codes, take_in
-from ..sources.status import default_hints, stream_status
+from ..sources.status import no_hints, stream_status
 
 HEADER_SCHEMA = "device_id string, codes array<string>, run string, batch_id long"
 
@@ -100,10 +100,11 @@ def run_telemetry(
 
     The header table is the only state, and outlives the checkpoint: a run with a
     new one adds to the tables.  Every table is written per batch, so
-    a batch that is run again after a failure leaves the same rows.
+    a batch that is run again after a failure leaves the same rows.  ``hints``
+    (``code, hint``) are added to the texts of errors.
     """
     tables = TelemetryTables(target)
-    known_hints = default_hints(spark) if hints is None else hints
+    known_hints = no_hints(spark) if hints is None else hints
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators import readings as rd
 from folioworks.plans.telemetry import column_codes, take_in
-from folioworks.sources.status import default_hints, read_status
+from folioworks.sources.status import HINT_SCHEMA, no_hints, read_status
 from folioworks.streaming import TelemetryTables, run_telemetry
 from folioworks.streaming.telemetry import append_batch
 
@@ -37,6 +37,10 @@ def landed(spark, tmp_path, responses):
     return read_status(spark, str(tmp_path / "in"))
 
 
+def known_hints(spark):
+    return spark.createDataFrame([(1106, "no permission: ask the owner"), (7, "x")], HINT_SCHEMA)
+
+
 def values(df, codes):
     rows = df.select("poll_id", *[F.to_json(F.col(c)).alias(c) for c in codes]).collect()
     return {
@@ -45,22 +49,24 @@ def values(df, codes):
 
 
 def test_gate_guard_and_errors(spark, tmp_path):
-    intake = take_in(landed(spark, tmp_path, FIRST + SECOND), default_hints(spark), "Falha")
+    intake = take_in(landed(spark, tmp_path, FIRST + SECOND), known_hints(spark), "Falha")
     assert [r.poll_id for r in intake.empty.collect()] == ["p7"]
     got = {r.poll_id: r.message for r in intake.errors.collect()}
     assert got["p9"] == "Falha (code=5): ?"
     assert got["p8"].startswith("Falha (code=1106): no\nDica: no permission")
     assert intake.readings.select("poll_id").distinct().count() == 7
+    bare = take_in(landed(spark, tmp_path, SECOND), no_hints(spark), "Falha").errors.collect()
+    assert {r.message for r in bare} == {"Falha (code=5): ?", "Falha (code=1106): no"}
 
 
 def test_headers_follow_the_first_poll(spark, tmp_path):
-    intake = take_in(landed(spark, tmp_path, FIRST + SECOND), default_hints(spark), "x")
+    intake = take_in(landed(spark, tmp_path, FIRST + SECOND), known_hints(spark), "x")
     got = {r.device_id: r.codes for r in rd.derive_headers(intake.readings).collect()}
     assert got == {"d1": ["humidity", "on", "temp_current"], "d2": ["humidity"], "d3": ["B", "a", "b"]}
 
 
 def test_last_value_of_a_repeated_code(spark, tmp_path):
-    readings = take_in(landed(spark, tmp_path, FIRST), default_hints(spark), "x").readings
+    readings = take_in(landed(spark, tmp_path, FIRST), known_hints(spark), "x").readings
     got = rd.last_per_code(readings).filter("poll_id = 'p3' and code = 'temp_current'").collect()
     assert [(r.pos, r.value.toPython()) for r in got] == [(2, 3.3)]
 
@@ -88,7 +94,7 @@ DRIFT = {"p4": ["Alpha", "wind"], "p5": ["temp_current"], "p6": ["timestamp"]}
 
 def test_locked_columns_and_drift(spark, tmp_path):
     polls = FIRST + SECOND[:-1]
-    readings = take_in(landed(spark, tmp_path, polls), default_hints(spark), "x").readings
+    readings = take_in(landed(spark, tmp_path, polls), known_hints(spark), "x").readings
     headers = rd.derive_headers(readings)
     assert column_codes(headers) == list(CODES)
     locked = rd.lock_columns(readings, headers, CODES)
@@ -115,7 +121,7 @@ def test_stream_equals_batch_and_keeps_headers(spark, tmp_path):
 
 def test_a_repeated_batch_leaves_the_same_rows(spark, tmp_path):
     tables = TelemetryTables(str(tmp_path / "out"))
-    hints = default_hints(spark)
+    hints = known_hints(spark)
     first = landed(spark, tmp_path, FIRST)
     append_batch(first, 0, tables, hints)
     append_batch(first, 0, tables, hints)
