@@ -39,7 +39,7 @@ class Bins:
     group_rows: int = 50_000
     end_id: int = 1
     # Words (and as many parts of other texts) whose ids a worker remembers before it starts anew.
-    remembered: int = 600_000
+    remembered: int = 300_000
 
 
 #: Letters that need no look at their neighbours: ASCII and the Latin blocks behind it, lowered.
@@ -81,17 +81,26 @@ class Encoder:
 
 
 class Memory:
-    """Ids of strings, each encoded once; beyond ``remembered`` strings it starts anew."""
+    """Ids of strings, each encoded once while it is remembered.
+
+    Strings of late stay; those not asked for while half of ``remembered`` others
+    were go.  One call's strings are all held until the next.
+    """
 
     def __init__(self, tokenizer, remembered: int):
-        self.tokenizer, self.remembered, self.known = tokenizer, remembered, {}
+        self.tokenizer, self.remembered, self.known, self.older = tokenizer, remembered, {}, {}
 
     def ids(self, rows: list[list[str]]) -> Iterator[bytes]:
         """The ids of each row's strings, one after another."""
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = list({w for row in rows for w in row if w not in known})
+        if len(self.known) > self.remembered // 2:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for word in {w for row in rows for w in row if w not in known}:
+            ids = older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
         for k in range(0, len(new), 20_000):
             block = new[k : k + 20_000]
             for word, got in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
