@@ -37,6 +37,18 @@ def test_turns_come_back(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_mask_of_many_turns(spark):
+    texts = [HARD[k % 13] + str(k) for k in range(3_000)]
+    rows = [(1, k, ("system", "user", "assistant")[k % 3], x) for k, x in enumerate(texts)]
+    chats = chat.with_loss(chat.formatted(spark.createDataFrame(rows, TURNS)))
+    row, done = chats.first(), chat.digest(chats).first()
+    assert [s is not None for s in row.loss_spans] == [k % 3 == 2 for k in range(3_000)]
+    cut = [row.formatted[s.start : s.start + s.length] for s in row.loss_spans if s]
+    safe = [x.replace("\\", "\\\\").replace("###", "#\\##").replace("</turn>", "<\\/turn>") for x in texts[2::3]]
+    assert row.escape_level == 1 and cut == safe
+    assert done.loss_sha256 == hashlib.sha256("".join(texts[2::3]).encode()).hexdigest() and done.n_turns == 3_000
+
+
 def test_pages_come_back(spark):
     rows = [(k, f"http://x.org/{k % 7} a", f"<p>{k % 5} é</p>") for k in range(40)]
     rows += [(50, None, None), (51, "u", ""), (52, "u", "y" * 300_000), (None, "u", "z"), (60, "u", "same"), (60, "u", "same")]
