@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import extended, held_out
+from .tables import extended, forget_encoder, held_out
 
 # Byte classes: lower, upper, digit, blank, sentence marks, "!", "|", other signs, above ASCII.
 _CLASSES = 9
@@ -224,6 +224,7 @@ def scored(docs: DataFrame, model: Model, column: str = "quality_score") -> Data
     fields = docs.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for batch in batches:
             score = pa.array(score_texts(batch.column(fields.index("text")), model), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, column])

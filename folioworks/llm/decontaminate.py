@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import scratch_dir, stored
+from .tables import forget_encoder, scratch_dir, stored
 
 
 @dataclass(frozen=True)
@@ -281,6 +281,7 @@ def _without(docs: DataFrame, index: Index | None, place: int, how: Search) -> D
     shared = docs.sparkSession.sparkContext.broadcast(vars(index) if index else None)  # at most index_bytes of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         index = Index(**shared.value) if shared.value else None
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
@@ -298,6 +299,7 @@ def _searched(docs: DataFrame, index: Index | None, how: Search) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value is None:
             return
+        forget_encoder()
         index = Index(**shared.value)
         for batch in batches:
             found = list(_search(index, batch.column(1), how))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import scratch_dir, stored
+from .tables import forget_encoder, scratch_dir, stored
 from .tables import width as width_of
 
 
@@ -79,6 +79,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, forest: Forest) -> Dat
     factor, offset = _multipliers(forest.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for batch in batches:
             for first, end, shingle, at in sets_of(batch.column(1), forest.shingle):
                 rows = end - first

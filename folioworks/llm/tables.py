@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_dir, width
 
-__all__ = ["extended", "free_name", "held_out", "read", "scratch_dir", "stored", "width"]
+__all__ = ["extended", "forget_encoder", "free_name", "held_out", "read", "scratch_dir", "stored", "width"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +41,14 @@ def free_name(docs: DataFrame, wanted: str, *endings: str) -> str:
     while any(f"{wanted}{end}".lower() in taken for end in endings or ("",)):
         wanted += "_"
     return wanted
+
+
+def forget_encoder() -> None:
+    """Drops the words that this worker remembers for packing.
+
+    Workers serve all stages in turn; tasks of the others call this first, so that
+    their arrays and those words do not share a worker's memory.
+    """
+    packing = sys.modules.get("folioworks.llm.packing")
+    if packing:
+        packing.encoder_of.cache_clear()

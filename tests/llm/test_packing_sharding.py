@@ -149,3 +149,13 @@ def test_ids_by_word_are_the_tokenizers():
     got = [ids for k in range(0, len(texts), 100) for ids in encoder.encode(texts[k : k + 100])]
     assert got == want
     assert encoder.encode([None]) == [b""]
+
+
+def test_other_stages_drop_the_remembered_words():
+    from folioworks.llm import packing
+    from folioworks.llm.tables import forget_encoder
+
+    first = packing.encoder_of(packing.tokenizer_path(), 100)
+    assert packing.encoder_of(packing.tokenizer_path(), 100) is first
+    forget_encoder()
+    assert packing.encoder_of.cache_info().currsize == 0
