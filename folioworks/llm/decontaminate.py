@@ -23,8 +23,9 @@ class Search:
     ``least_stride``), moved by half of that, so every copy of an item lies
     wholly in one.  Confirmed are items of which ``overlap`` of the words, and
     ``part_overlap`` of the question's and of the answer's words, lie in runs of
-    ``run`` words that the passage shares.  The answer is the last third of an
-    item's words.
+    ``run`` words that the passage shares.  ``answer`` names the items' column
+    with the answer, which then stands behind the text, the question; without
+    one, the answer is the last third of an item's words.
     """
 
     threshold: float = 0.6
@@ -32,11 +33,14 @@ class Search:
     part_overlap: float = 0.5
     run: int = 5
     least_stride: int = 64
+    answer: str | None = None
     block: int = 16
     k1: float = 1.2
     b: float = 0.75
     # UTF-8 bytes of items in one index; a larger benchmark is searched in turns.
     index_bytes: int = 16_000_000
+    # UTF-8 bytes of texts that a task searches at a time; a longer text is searched alone.
+    group_bytes: int = 500_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,7 @@ class Index:
 
     item_ids: np.ndarray
     item_words: list[np.ndarray]
+    question_words: np.ndarray  # how many of an item's words are its question
     terms: np.ndarray  # sorted word hashes
     frequent: np.ndarray  # terms that alone never make a candidate
     at: np.ndarray  # term -> its postings
@@ -67,19 +72,25 @@ class Statistics:
     df: np.ndarray  # how many items hold each
 
 
-def build_index(item_ids: list[int], texts: list[str | None], how: Search, all_items: Statistics | None = None) -> Index | None:
-    """Index the items that have words; None if none has.
+def build_index(item_ids: list[int], texts: list[str | None], how: Search, all_items: Statistics | None = None,
+                answers: list[str | None] | None = None) -> Index | None:
+    """Index the items that have words, each its text and then its answer; None if none has.
 
     A term's weight is its BM25 score in the item over the sum of all of the
     item's terms, so a passage that holds the whole item scores 1.  The counts
     behind it are those of ``all_items``, by default of the items given.
     """
-    data, offsets = W.utf8(pa.array(texts, pa.string()))
-    hashes, _, _, at = W.words(data, offsets, W.ALPHANUMERIC)
-    full = np.flatnonzero(np.diff(at) > 0)
+    own = _words_of(texts)
+    count = np.array([len(w) for w in own], dtype=np.int64)
+    if answers is None:
+        question = count - np.maximum(count // 3, 1)
+    else:
+        question = count
+        own = [np.concatenate(both) for both in zip(own, _words_of(answers))]
+    full = np.array([i for i, w in enumerate(own) if len(w)], dtype=np.int64)
     if not len(full):
         return None
-    own = [hashes[at[i] : at[i + 1]] for i in full]
+    own = [own[i] for i in full]
     length = np.array([len(w) for w in own])
     terms, term = np.unique(np.concatenate(own), return_inverse=True)
     item = np.repeat(np.arange(len(own)), length)
@@ -110,11 +121,17 @@ def build_index(item_ids: list[int], texts: list[str | None], how: Search, all_i
     skipped = np.zeros(n_blocks)
     np.maximum.at(skipped, np.arange(len(own)) // how.block, mass)
     return Index(
-        np.array(item_ids, dtype=np.int64)[full], own, terms, frequent, begin, item, weight,
+        np.array(item_ids, dtype=np.int64)[full], own, question[full], terms, frequent, begin, item, weight,
         np.searchsorted(key[first] // n_blocks, np.arange(len(terms) + 1)), key[first] % n_blocks,
         np.maximum.reduceat(weight, first), skipped, max(how.least_stride, int(length.max())))
 
 
+def _words_of(texts: list[str | None]) -> list[np.ndarray]:
+    data, offsets = W.utf8(pa.array(texts, pa.string()))
+    hashes, _, _, at = W.words(data, offsets, W.ALPHANUMERIC)
+    return [hashes[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _expanded(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a list of terms: which of the list each posting belongs to, and the postings."""
     count = at[terms + 1] - at[terms]
@@ -188,7 +205,7 @@ def _covered(item: np.ndarray, passage: np.ndarray, run: int) -> np.ndarray:
 
 
 def _search(index: Index, column: pa.Array, how: Search) -> Iterator[tuple[int, int, float, float, float, float]]:
-    for first_row, _, data, offsets in W.groups(column):
+    for first_row, _, data, offsets in W.groups(column, how.group_bytes):
         hashes, _, _, rows = W.words(data, offsets, W.ALPHANUMERIC)
         window, item, score = retrieve(index, hashes, rows, how)
         first, _ = windows(rows, index.stride)
@@ -198,8 +215,8 @@ def _search(index: Index, column: pa.Array, how: Search) -> Iterator[tuple[int,
             start = int(rows[row]) + (w - int(first[row])) * index.stride
             words = index.item_words[i]
             hit = _covered(words, hashes[start : min(start + 2 * index.stride, rows[row + 1])], how.run)
-            cut = len(words) - max(len(words) // 3, 1)
-            question, answer = (hit[:cut].mean() if cut else 1.0), hit[cut:].mean()
+            cut = index.question_words[i]
+            question, answer = (part.mean() if len(part) else 1.0 for part in (hit[:cut], hit[cut:]))
             if hit.mean() >= how.overlap and min(question, answer) >= how.part_overlap:
                 found = (float(hit.mean()), s, float(question), float(answer))
                 best[row, i] = max(best.get((row, i), found), found)
@@ -209,17 +226,20 @@ def _search(index: Index, column: pa.Array, how: Search) -> Iterator[tuple[int,
 
 def _indexes(items: DataFrame, how: Search) -> Iterator[Index | None]:
     """The items in turns of about ``index_bytes``, weighted by the counts of all of them."""
-    items = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    question, answer = F.col("text").cast("string"), F.col(how.answer).cast("string") if how.answer else F.lit(None).cast("string")
+    items = items.filter(F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("long"), F.concat_ws("\n", question, answer).alias("text"), question.alias("question"), answer.alias("answer"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     turns = int(-(-total // how.index_bytes)) or 1
     turn_of = F.pmod(F.xxhash64("item_id"), F.lit(turns))
 
-    def taken(turn: int) -> tuple[list[int], list[str | None]]:
-        rows = items.filter(turn_of == turn).orderBy("item_id", "text").collect()
-        return [r.item_id for r in rows], [r.text for r in rows]
+    def index_of(turn: int, all_items: Statistics | None = None) -> Index | None:
+        rows = items.filter(turn_of == turn).orderBy("item_id", "question", "answer").collect()
+        answers = [r.answer for r in rows] if how.answer else None
+        return build_index([r.item_id for r in rows], [r.question for r in rows], how, all_items, answers)
 
     if turns == 1:
-        yield build_index(*taken(0), how)
+        yield index_of(0)
         return
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +267,7 @@ def _indexes(items: DataFrame, how: Search) -> Iterator[Index | None]:
         own = counts.filter(F.array_contains("turns", F.lit(turn).cast("long"))).select("term", "df").toArrow()
         terms = own.column("term").to_numpy().view(np.uint64)
         order = np.argsort(terms)
-        yield build_index(*taken(turn), how, Statistics(
+        yield index_of(turn, Statistics(
             n_items, (n_words or 0) / max(n_items, 1), terms[order], own.column("df").to_numpy()[order]))
 
 
@@ -259,7 +279,8 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Search = Search()) -> D
     the driver in turns of ``index_bytes`` (an item is never cut); what is found
     doesn't depend on the turns, since the weights count all items.  Null and
     empty texts and items match nothing; repeated rows are each reported; of two
-    passages that score alike the first counts; items with a null id are left out.
+    passages that score alike the first counts; items with a null id are left out;
+    where an item has no question or no answer, the other part alone decides.
     Other columns are ignored, whatever their names; without documents or items
     the result is empty.
     """

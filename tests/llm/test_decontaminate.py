@@ -95,3 +95,19 @@ def test_several_turns_and_empty_tables(spark, documents):
     assert sorted((r.doc_id, r.item_id) for r in out) == [(k, k) for k in range(12)]
     assert contaminated(docs, table.limit(0)).count() == 0
     assert contaminated(docs.limit(0), table).count() == 0
+
+
+def test_answers_of_their_own_column(spark, documents):
+    """A question without its answer is no contamination, wherever the answer's words begin."""
+    part = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    asked = spark.createDataFrame(
+        [(1, part("q", 30), part("a", 6)), (2, part("r", 30), None), (3, None, part("s", 12)), (4, part("t", 4), part("u", 40)), (5, None, "")],
+        "item_id long, text string, solution string")
+    docs = documents([(1, f"{part('q', 30)} and {part('a', 6)}"), (2, part("q", 30)), (3, part("r", 30)), (4, part("s", 12)),
+                      (5, part("u", 40)), (6, f"{part('t', 4)} {part('u', 40)}"), (7, "a0 and a1")])
+    found = lambda **how: sorted((r.doc_id, r.item_id) for r in contaminated(docs, asked, Search(**how)).collect())
+    whole = [(1, 1), (3, 2), (4, 3), (6, 4)]
+    assert found(answer="solution") == found(answer="solution", index_bytes=100) == whole
+    assert (2, 1) in found() and (5, 4) not in found()  # by the question's last third
+    row = contaminated(docs, asked, Search(answer="solution", part_overlap=0.0, overlap=0.5)).filter("doc_id = 2").first()
+    assert (row.question_overlap, row.answer_overlap) == (1.0, 0.0)
