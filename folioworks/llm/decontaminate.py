@@ -40,7 +40,7 @@ class Search:
     # UTF-8 bytes of items in one index; a larger benchmark is searched in turns.
     index_bytes: int = 16_000_000
     # UTF-8 bytes of texts that a task searches at a time; a longer text is searched alone.
-    group_bytes: int = 500_000
+    group_bytes: int = W.GROUP_BYTES
 
 
 @dataclass(frozen=True)
