@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import extended, scratch_dir, stored
+from .tables import extended, release_memory, scratch_dir, stored
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -132,6 +132,7 @@ def pieces(docs: DataFrame, path: str | None = None, bins: Bins = Bins()) -> Dat
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encoder, end = encoder_of(path, bins.remembered), np.array([bins.end_id], dtype="<u4").tobytes()
         width = 4 * bins.tokens
         for batch in batches:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_dir, width
 
-__all__ = ["extended", "forget_encoder", "free_name", "held_out", "read", "scratch_dir", "stored", "width"]
+__all__ = ["extended", "forget_encoder", "free_name", "held_out", "read", "release_memory", "scratch_dir", "stored", "width"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +46,7 @@ def free_name(docs: DataFrame, wanted: str, *endings: str) -> str:
 
 
 def forget_encoder() -> None:
-    """Drops the words that this worker remembers for packing.
+    """Drops the words that this worker remembers for packing, and gives freed memory back.
 
     Workers serve all stages in turn; tasks of the others call this first, so that
     their arrays and those words do not share a worker's memory.
@@ -52,3 +54,12 @@ def forget_encoder() -> None:
     packing = sys.modules.get("folioworks.llm.packing")
     if packing:
         packing.encoder_of.cache_clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives what this worker has freed back to the system: Arrow's pool and, with glibc, the heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
