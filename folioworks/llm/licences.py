@@ -65,7 +65,7 @@ class Automaton:
     """Suffix automaton of several token sequences.
 
     Each state knows, for every template its words occur in, one place where
-    they end.
+    they end, and the sequences that end whole wherever its words do.
     """
 
     def __init__(self, sequences: list[list[int]]):
@@ -81,6 +81,16 @@ class Automaton:
             for k, place in self.ends[state].items():
                 up = self.ends[self.link[state]]
                 up[k] = min(up.get(k, place), place)
+        self.whole: list[list[int]] = [[] for _ in self.size]
+        for k, sequence in enumerate(sequences):
+            state = 0
+            for token in sequence:
+                state = self.step[state][token]
+            if state:
+                self.whole[state].append(k)
+        self.length = [len(sequence) for sequence in sequences]
+        for state in sorted(range(1, len(self.size)), key=lambda s: self.size[s]):
+            self.whole[state] += self.whole[self.link[state]]
 
     def _state(self, size: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -127,6 +137,20 @@ class Automaton:
         if size >= least:
             yield len(tokens) - size, size, state
 
+    def places(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
+        """(start, sequence) of every place where a whole sequence stands."""
+        state = size = 0
+        for place, token in enumerate(tokens):
+            while state and token not in self.step[state]:
+                state = self.link[state]
+                size = self.size[state]
+            if token in self.step[state]:
+                state = self.step[state][token]
+                size += 1
+            for k in self.whole[state]:
+                if self.length[k] <= size:
+                    yield place + 1 - self.length[k], k
+
 
 def chained(matches: list[tuple[int, int, dict[int, int]]], how: Scan) -> dict[int, list[tuple[int, int, int]]]:
     """Spans (first word, end word, matched words) by template."""
@@ -153,17 +177,22 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dic
     base_labels, labels, score and ``spans`` (label, first_word, end_word, coverage).
 
     ``score`` is 1 where a base phrase stands, else the best coverage of a
-    template.  Null and empty texts have no word, no label and score 0.
-    Words outside the templates end every match, so the automaton runs only
-    over stretches of word triples that some template has.
+    template.  Null and empty texts have no word, no label and score 0; texts of any
+    length are read whole; each row, repeated ones too, is judged by itself; spans
+    that begin alike come by label; other columns are ignored, and an empty table
+    gives an empty one.  The base places come from an automaton of the phrases, the
+    spans from one of the templates.  A pair of words that no sequence has ends every
+    match, so an automaton runs only over stretches without such pairs.
     """
     names = list(templates)
     vocabulary = {w: W.word_hash(w) for t in [*templates.values(), *phrases] for w in t.split()}
     # The automaton's tokens are the word hashes themselves.
     sequences = [[vocabulary[w] for w in templates[k].split()] for k in names]
     automaton = Automaton(sequences)
-    pairs = np.unique(np.array([_pair(a, b) for s in sequences for a, b in zip(s, s[1:])], dtype=np.uint64))
-    wanted = [(np.array([vocabulary[w] for w in p.split()], dtype=np.uint64), label) for p, label in phrases.items()]
+    said = {p: [vocabulary[w] for w in p.split()] for p in phrases if p.split()}
+    base_labels, base_automaton = [phrases[p] for p in said], Automaton(list(said.values()))
+    pairs, base_pairs = _pairs_of(sequences), _pairs_of(list(said.values()))
+    alone = np.array([s[0] for s in said.values() if len(s) == 1], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,23 +203,12 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dic
 
     def _rows(ids: list[int], hashes: np.ndarray, rows: np.ndarray) -> Iterator[dict]:
         of = np.repeat(np.arange(len(ids)), np.diff(rows))
-        places, labels = [], []
-        for phrase, label in wanted:
-            m = len(phrase)
-            if len(hashes) < m:
-                continue
-            hit = np.ones(len(hashes) - m + 1, dtype=bool)
-            for k in range(m):
-                hit &= hashes[k : k + len(hit)] == phrase[k]
-            at = np.flatnonzero(hit & (of[: len(hit)] == of[m - 1 :]))
-            places.append(at)
-            labels.extend([label] * len(at))
-        place = np.concatenate(places) if places else np.zeros(0, np.int64)
         base: dict[int, list[tuple[int, str]]] = {}
-        for p, label in zip(place.tolist(), labels):
-            base.setdefault(int(of[p]), []).append((p - int(rows[of[p]]), label))
+        for row, begin, stretch in _stretches(hashes, rows, of, base_pairs, 2, alone):
+            found = [(begin + s, base_labels[k]) for s, k in base_automaton.places(stretch)]
+            base.setdefault(row, []).extend(found)
         spans: dict[int, list[dict]] = {}
-        for row, begin, stretch in _stretches(hashes, rows, of):
+        for row, begin, stretch in _stretches(hashes, rows, of, pairs, how.least_words):
             found = [(begin + s, n, automaton.ends[state]) for s, n, state in automaton.matches(stretch, how.least_words)]
             spans.setdefault(row, []).extend(found)
         for row, doc_id in enumerate(ids):
@@ -211,19 +229,27 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dic
                 "score": 1.0 if own else best, "spans": sorted(kept, key=lambda s: (s["first_word"], s["label"])),
             }
 
-    def _stretches(hashes: np.ndarray, rows: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
-        """(row, first word, words) of maximal stretches whose neighbours are neighbours in a template."""
-        if len(hashes) < how.least_words:
-            return
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DDL)
+
+
+def _stretches(hashes: np.ndarray, rows: np.ndarray, of: np.ndarray, pairs: np.ndarray, least: int,
+               alone: np.ndarray | None = None) -> Iterator[tuple[int, int, list[int]]]:
+    """(row, first word, words) of maximal stretches whose neighbours are one of ``pairs``:
+    those of at least ``least`` words, and single words that are in ``alone``."""
+    if not len(hashes):
+        return
+    hit = np.zeros(len(hashes) - 1, dtype=bool)
+    if len(pairs) and len(hit):
         key = _pair(hashes[:-1], hashes[1:])
         at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        hit = np.concatenate([[False], (pairs[at] == key) & (of[1:] == of[:-1]), [False]])
-        change = np.flatnonzero(hit[1:] != hit[:-1])
-        for a, b in zip(change[::2].tolist(), change[1::2].tolist()):
-            if b - a + 1 >= how.least_words:
-                yield int(of[a]), a - int(rows[of[a]]), hashes[a : b + 1].tolist()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DDL)
+        hit = (pairs[at] == key) & (of[1:] == of[:-1])
+    edges = np.flatnonzero(np.concatenate([[True], ~hit, [True]]))
+    size = np.diff(edges)
+    wanted = size >= least
+    if alone is not None and len(alone):
+        wanted |= (size == 1) & np.isin(hashes[edges[:-1]], alone)
+    for a, n in zip(edges[:-1][wanted].tolist(), size[wanted].tolist()):
+        yield int(of[a]), a - int(rows[of[a]]), hashes[a : a + n].tolist()
 
 
 _DDL = (
@@ -238,6 +264,10 @@ _SCHEMA = pa.schema([
 ])
 
 
+def _pairs_of(sequences: list[list[int]]) -> np.ndarray:
+    return np.unique(np.array([_pair(a, b) for s in sequences for a, b in zip(s, s[1:])], dtype=np.uint64))
+
+
 def _pair(a, b):
     with np.errstate(over="ignore"):
         return W.mixed(np.asarray(a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, dtype=np.uint64))

@@ -121,6 +121,22 @@ def test_matching_statistics_equal_brute_force():
         assert all(templates[k][e - n + 1 : e + 1] == part for k, e in automaton.ends[state].items())
 
 
+def test_places_equal_plain_scan():
+    rng = np.random.default_rng(3)
+    phrases = [rng.integers(0, 3, n).tolist() for n in (1, 2, 2, 3, 5)] + [[0, 1], [1, 0, 1]]
+    tokens = rng.integers(0, 4, 400).tolist()
+    expected = sorted((i, k) for k, p in enumerate(phrases) for i in range(len(tokens)) if tokens[i : i + len(p)] == p)
+    assert sorted(licences.Automaton(phrases).places(tokens)) == expected
+
+
+def test_phrases_of_the_caller(documents):
+    rows = [(1, "gpl and lgpl"), (1, "gpl and lgpl"), (2, "a b a b c"), (3, None), (4, "b"), (5, "b a")]
+    out = licences.scanned(documents(rows), phrases={"gpl": "one", "a b": "two", "b a b": "three", " ": "none"}).collect()
+    assert sorted((r.doc_id, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out if r.n_base) == [
+        (1, 1, 0, 0, "one"), (1, 1, 0, 0, "one"), (2, 3, 0, 2, "three,two")]
+    assert len(out) == 6 and all(r.score == (1.0 if r.n_base else 0.0) for r in out)
+
+
 def test_licences_equal_plain_scan(documents):
     texts = ["Released under the MIT License.", "mit\nlicense MIT-LICENSE cc by-nc", None, "", "gnu general public", "x" * 100_000,
              licences.TEMPLATES["mit-text"].upper().replace(" ", ", "), "the apache_license ünder apache  license",
