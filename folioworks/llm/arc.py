@@ -69,12 +69,9 @@ def arc_record(version: int, name: str, page_id: int, url: str | None, payload:
     return arc_line(version, values, len(head) + len(payload)) + head + payload + b"\n"
 
 
-def read_arc(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header values and block of every record but the version block.
-
-    The first record names the version and the fields of the header lines that
-    follow it; a record's block is as long as its line declares.
-    """
+def version_block(stream: IO[bytes]) -> tuple[int, str, str]:
+    """Version, name and date that the first record states; it also lists the fields of
+    the header lines that follow, which must be those of its version."""
     first = stream.readline().split()
     if not first or not first[0].startswith(b"filedesc://"):
         raise ValueError("no version block")
@@ -82,6 +79,18 @@ def read_arc(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     version, fields = int(block[0].split()[0]), block[1].split()
     if fields != FIELDS.get(version):
         raise ValueError(f"unknown ARC version {version} with fields {fields}")
+    return version, first[0].decode("utf-8", "replace").removeprefix("filedesc://"), first[2].decode("utf-8", "replace")
+
+
+def read_arc(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header values and block of every record but the version block.
+
+    A record's block is as long as its line declares.
+    """
+    return _records(stream, FIELDS[version_block(stream)[0]])
+
+
+def _records(stream: IO[bytes], fields: list[str]) -> Iterator[tuple[dict[str, str], bytes]]:
     while line := stream.readline():
         if not line.strip():
             continue
@@ -106,24 +115,43 @@ def _http(block: bytes) -> tuple[bytes, int, bytes]:
 # ---- WARC --------------------------------------------------------------------
 
 
-def warc_record(values: dict[str, str], block: bytes, refers_to: int | None) -> bytes:
-    """The WARC record equivalent to an ARC record; a revisit keeps the HTTP head only."""
+def _date(stamp: str) -> str:
+    return f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:14]}Z"
+
+
+def _record(lines: list[tuple[str, str]], body: bytes) -> bytes:
+    lines = [*lines, ("WARC-Block-Digest", f"sha1:{sha1(body)}"), ("Content-Length", str(len(body)))]
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n").encode() + body + b"\r\n\r\n"
+
+
+def info_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_ids, f'file:{name}')}>"
+
+
+def warc_info(version: int, name: str, stamp: str, target: str) -> bytes:
+    """The ``warcinfo`` record equivalent to a version block."""
+    body = f"software: folioworks\r\nformat: WARC File Format 1.0\r\ndescription: {name}, ARC version {version}\r\n".encode()
+    return _record([
+        ("WARC-Type", "warcinfo"), ("WARC-Record-ID", info_id(target)), ("WARC-Date", _date(stamp)),
+        ("WARC-Filename", target), ("Content-Type", "application/warc-fields")], body)
+
+
+def warc_record(values: dict[str, str], block: bytes, refers_to: int | None, target: str) -> bytes:
+    """The WARC record equivalent to an ARC record, in the archive ``target``; a
+    revisit keeps the HTTP head only."""
     head, page_id, payload = _http(block)
-    stamp = values["Archive-date"]
-    date = f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:14]}Z"
     body = block if refers_to is None else head
     lines = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)), ("WARC-Target-URI", values["URL"]), ("WARC-Date", date),
+        ("WARC-Record-ID", record_id(page_id)), ("WARC-Target-URI", values["URL"]), ("WARC-Date", _date(values["Archive-date"])),
+        ("WARC-Warcinfo-ID", info_id(target)),
         ("WARC-IP-Address", values["IP-address"]), ("Content-Type", "application/http; msgtype=response"),
-        ("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), ("WARC-Block-Digest", f"sha1:{sha1(body)}"),
+        ("WARC-Payload-Digest", f"sha1:{sha1(payload)}"),
     ]
     if refers_to is not None:
         lines += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to)),
                   ("X-Refers-To-Page", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
-    lines.append(("Content-Length", str(len(body))))
-    text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n"
-    return text.encode() + body + b"\r\n\r\n"
+    return _record(lines, body)
 
 
 def read_warc(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -236,25 +264,29 @@ def choose_responses(contents: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def convert(decisions: DataFrame, folder: str) -> DataFrame:
-    """Write each ARC archive as a WARC archive; returns (path, records)."""
+    """Write each ARC archive as a WARC archive; returns (path, records), the records
+    without the ``warcinfo`` that stands for the version block."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         path = key[0].as_py()
         refers = dict(zip(table.column("page_id").to_pylist(), table.column("refers_to").to_pylist()))
-        target = f"{folder}/{path.rsplit('/', 1)[-1].removesuffix('.arc.gz')}.warc.gz"
+        target = f"{path.rsplit('/', 1)[-1].removesuffix('.arc.gz')}.warc.gz"
         n = 0
 
         def fill(out: IO[bytes]) -> None:
             nonlocal n
             with _opened(path) as stream:
-                for values, block in read_arc(stream):
-                    out.write(_member(warc_record(values, block, refers[_http(block)[1]])))
+                version, name, stamp = version_block(stream)
+                out.write(_member(warc_info(version, name, stamp, target)))
+                for values, block in _records(stream, FIELDS[version]):
+                    out.write(_member(warc_record(values, block, refers[_http(block)[1]], target)))
                     n += 1
 
-        place(target, fill)
-        return pa.table({"path": [target], "records": [n]})
+        place(f"{folder}/{target}", fill)
+        return pa.table({"path": [f"{folder}/{target}"], "records": [n]})
 
-    return decisions.groupBy("path").applyInArrow(run, "path string, records long")
+    # By number of tasks: small rows, much work; adaptive execution would merge them.
+    return _spread(decisions, "path").groupBy("path").applyInArrow(run, "path string, records long")
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
@@ -266,7 +298,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with _opened(path) as stream:
-                    rows = [_read_back(values, block) for values, block in read_warc(stream)]
+                    rows = [_read_back(values, block) for values, block in read_warc(stream) if values["WARC-Type"] != "warcinfo"]
                 yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
     return warcs.select("path").mapInArrow(
@@ -308,10 +340,10 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     base = scratch_dir(pages.sparkSession)
     arcs = stored(write_arcs(pages, f"{base}/arc"), f"{base}/arcs")
-    decisions = choose_responses(stored(arc_contents(_one_each(arcs)), f"{base}/contents"), least_bytes)
-    return read_warcs(_one_each(stored(convert(decisions, f"{base}/warc"), f"{base}/warcs")))
+    decisions = choose_responses(stored(arc_contents(_spread(arcs)), f"{base}/contents"), least_bytes)
+    return read_warcs(_spread(stored(convert(decisions, f"{base}/warc"), f"{base}/warcs")))
 
 
-def _one_each(files: DataFrame) -> DataFrame:
-    """Spread a short list of files over tasks, whatever its own bytes."""
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _spread(files: DataFrame, *by: str) -> DataFrame:
+    """Spread short rows that stand for files over tasks, whatever the rows' own bytes."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

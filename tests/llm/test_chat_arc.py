@@ -78,3 +78,16 @@ def test_archive_lines_follow_their_version(version):
         list(arc.read_arc(io.BytesIO(data[:-3])))
     with pytest.raises(ValueError):
         list(arc.read_arc(io.BytesIO(data.replace(b"URL IP", b"UR IP", 1).replace(b"text/plain ", b"text/plain ", 1))))
+
+
+def test_version_block_becomes_warcinfo(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "u", f"p{k}") for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    arcs = arc.write_arcs(rows, f"{tmp_path}/arc").cache()
+    made = arc.convert(arc.choose_responses(arc.arc_contents(arcs)), f"{tmp_path}/warc").collect()
+    assert [r.records for r in made] == [6]
+    with arc._opened(made[0].path) as stream:
+        (info, block), *others = arc.read_warc(stream)
+    assert info["WARC-Type"] == "warcinfo" and info["WARC-Filename"] == made[0].path.rsplit("/", 1)[-1]
+    assert info["WARC-Date"] == "2020-01-01T00:00:00Z" and b"ARC version 1" in block
+    assert info["WARC-Block-Digest"] == f"sha1:{arc.sha1(block)}"
+    assert {v["WARC-Warcinfo-ID"] for v, _ in others} == {info["WARC-Record-ID"]} and len(others) == 6
