@@ -66,8 +66,12 @@ def assign_names(candidates: DataFrame, existing: DataFrame) -> DataFrame:
                 F.lit(None).cast("string").alias("_stem"), F.lit(None).cast("string").alias("_ext"))
         .unionByName(named.join(contested, keys, "left_semi"))
     )
+    # Both sides of the union may come from joins dealt by these keys.  Spark then drops a
+    # repartition by the same keys, and adaptive execution merges each side's partitions
+    # for itself: a root's taken names and its candidates would be in different tasks.
+    # A hash of the keys is no such key.
     walked = (
-        rows.repartition(*keys)
+        rows.repartition(F.xxhash64(*keys))
         .sortWithinPartitions(*keys, "ordinal")
         .mapInPandas(_walk, _RENAMES)
     )

@@ -279,6 +279,30 @@ def test_names_are_those_of_a_greedy_walk(spark, packages):
     assert got == expected
 
 
+def test_new_names_meet_taken_ones_where_nothing_is_broadcast(spark):
+    rows = [(f"p{k}", i, f"word/media/a{i}.{e}") for k in range(300) for i, e in enumerate(["png", "png", "jpeg"])]
+    rows += [(f"p{k}", 3, "word/media/a0.jpeg") for k in range(0, 300, 2)]
+    # One root has most of the candidates, so the shuffles' partitions differ in size.
+    rows += [("q", k, f"word/media/y_conv{k + 2}.png") for k in range(3000)]
+    parts = spark.createDataFrame(rows, "container string, ordinal int, part_name string")
+    wanted = parts.filter(F.col("part_name").endswith(".png")).withColumn("jpeg_extension", F.lit("jpeg"))
+    # As at size: joins by shuffles, whose partitions adaptive execution merges.
+    at_size = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "13",
+               "adaptive.coalescePartitions.minPartitionSize": "1b"}
+    before = {name: spark.conf.get(f"spark.sql.{name}") for name in at_size}
+    try:
+        for name, value in at_size.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+        got = {(r.container, r.ordinal): r.new_part_name for r in assign_names(wanted, parts).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+    assert len(got) == 3600
+    for k in range(300):
+        assert got[f"p{k}", 0] == ("word/media/a0.jpeg" if k % 2 else "word/media/a0_conv2.jpeg")
+        assert got[f"p{k}", 1] == "word/media/a1.jpeg"
+
+
 def test_numbering_is_total_and_dense(spark):
     rows = spark.range(0, 500, 1, 7).select(F.sha1(F.col("id").cast("string")).alias("name"))
     got = with_progress(rows, ["name"]).collect()
