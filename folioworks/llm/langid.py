@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import extended, forget_encoder, held_out, scratch_dir, stored
@@ -23,12 +23,10 @@ class Training:
     """n-grams are counted over every training text, and the model keeps them all.
     Up to ``entries`` of them, over all languages and orders, are sent to the
     executors; a larger model stays a table that the texts' n-grams are joined
-    with, to the same scores.  The rejection threshold is fitted on
-    ``calibration`` rows."""
+    with, to the same scores.  The rejection threshold is fitted on all training
+    texts, too."""
 
     entries: int = 2_000_000
-    calibration: int = 2000
-    seed: int = 11
 
 
 def _characters() -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +319,7 @@ def fit(docs: DataFrame, how: Training = Training()) -> Model | TableModel:
             n1, n2 = ones.get((lang, 1), 0), ones.get((lang, 2), 0)
             discounts[order][lang] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     if sum(t.count() for t in tables.values()) > how.entries:
-        return _calibrated(_tabled(tables, discounts, languages, float(-np.log2(alphabet))), train, how)
+        return _calibrated(_tabled(tables, discounts, languages, float(-np.log2(alphabet))), train)
     for order in range(1, ORDER + 1):
         t, discount = tables[order], discounts[order]
         context = F.shiftright("code", 16).alias("context")
@@ -344,26 +342,28 @@ def fit(docs: DataFrame, how: Training = Training()) -> Model | TableModel:
         contexts.append(known)
         backoffs.append(weight)
     bare = Model(languages, codes, scores, contexts, backoffs, np.zeros(len(languages)), np.ones(len(languages)), 0.0, np.inf)
-    return _calibrated(bare, train, how)
+    return _calibrated(bare, train)
 
 
-def _calibrated(model: Model | TableModel, train: DataFrame, how: Training) -> Model | TableModel:
-    """Rejection: a text must look two and a half times as strange as any of the calibration rows."""
-    chosen = train.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id").limit(how.calibration)
-    sample = train.join(F.broadcast(chosen.distinct()), "doc_id").select("text")
-    sample = _measured(sample, model).select("best", "bits", "letters").filter("letters > 0").toPandas()
+def _calibrated(model: Model | TableModel, train: DataFrame) -> Model | TableModel:
+    """Rejection: a text must look two and a half times as strange as any training row."""
+    seen = _measured(train.select("text"), model).select("best", "bits", "letters").filter("letters > 0")
+    seen = stored(seen, f"{scratch_dir(train.sparkSession)}/seen")
     mean, spread = np.zeros(len(model.languages)), np.ones(len(model.languages))
-    for k in range(len(model.languages)):
-        bits = sample.loc[(sample["best"] == k) & (sample["letters"] >= 200), "bits"]
-        bits = bits if len(bits) else sample.loc[sample["best"] == k, "bits"]
-        if len(bits):
-            mean[k], spread[k] = bits.mean(), max(bits.std(ddof=0), 0.05)
-    off = (sample["bits"] - mean[sample["best"]]) ** 2 * sample["letters"]
-    short = float(off[sample["letters"] < 200].mean()) if (sample["letters"] < 200).any() else 4.0
-    model = replace(model, mean=mean, spread=spread, short=max(short, 1.0))
-    scale = np.sqrt(spread[sample["best"]] ** 2 + model.short / sample["letters"])
-    most = float(((sample["bits"] - mean[sample["best"]]) / scale).max()) if len(sample) else 0.0
-    return replace(model, cut=2.5 * max(most, 4.0))
+    long = F.when(F.col("letters") >= 200, F.col("bits"))
+    for r in seen.groupBy("best").agg(
+        F.coalesce(F.mean(long), F.mean("bits")).alias("mean"), F.coalesce(F.stddev_pop(long), F.stddev_pop("bits")).alias("spread"),
+    ).collect():  # a row for each language
+        mean[r.best], spread[r.best] = r.mean, max(r.spread, 0.05)
+
+    def own(values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])[F.col("best").cast("int")]
+
+    above = F.col("bits") - own(mean)
+    short = seen.filter("letters < 200").agg(F.mean(above**2 * F.col("letters"))).first()[0]
+    model = replace(model, mean=mean, spread=spread, short=max(4.0 if short is None else short, 1.0))
+    most = seen.agg(F.max(above / F.sqrt(own(spread) ** 2 + model.short / F.col("letters")))).first()[0]
+    return replace(model, cut=2.5 * max(most or 0.0, 4.0))
 
 
 _MEASURES = ["best", "bits", "score", "odd", "letters"]

@@ -59,6 +59,20 @@ def test_language_on_held_out_rows(spark, documents):
     assert langid.identified(docs.limit(3), nothing).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_training_text_counts_for_rejection(documents):
+    text = "der hund und die katze und der mann " * 9
+    plain = [(k, text + "aber " * (k % 7), "de") for k in range(5000)]
+    odd = [(k, "wxq jyq qyx " * 25, "de") for k in range(5000, 5040)]
+    model = langid.fit(documents([*plain, *odd]))
+    seen = langid.identified(documents([*plain, *odd]), model)
+    bits = seen.filter(~held_out(F.col("doc_id"))).toPandas()["lang_bits"].to_numpy()
+    assert np.isclose(model.mean[0], bits.mean(), rtol=1e-9) and np.isclose(model.spread[0], bits.std(), rtol=1e-6)
+    texts = [t for _, t, _ in [*plain[:7], *odd[:1]]]
+    entropy, letters = model.entropies(texts)
+    most = model.surprise(entropy, np.zeros(8, np.int64), letters).max()
+    assert np.isclose(model.cut, 2.5 * max(most, 4.0)) and most > 4
+
+
 def test_model_sums_to_one(documents):
     text = "der hund und die katze und der mann " * 5
     model = langid.fit(documents([(k, text + "aber" * k, "de") for k in range(8)]))
