@@ -278,7 +278,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, fo
                     for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
+    # Stored, so that its size is known: a short list is sent to the texts instead of
+    # shuffling them.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(wanted, f"{scratch_dir(docs.sparkSession)}/wanted")
     sets = _members(docs, wanted, id_col, text_col, forest)
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
@@ -502,10 +505,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     regions = _regions(rows, stats, forest)
     second = stored(_open_pairs(regions, forest), f"{base}/second")
     pairs = second.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    pairs = stored(pairs, f"{base}/pairs")
     links = links.union(_confirmed(pairs, docs, id_col, text_col, forest))
     dense = regions.join(second.filter("a is null").select("region"), "region", "left_semi")
-    # Stored, so that its size is known: a short list is sent to the texts
-    # instead of shuffling them.
+    # Stored for the same reason as ``wanted`` in ``_confirmed``.
     crowded = stored(dense.select("id").distinct(), f"{base}/crowded")
     sets = _members(docs, crowded, id_col, text_col, forest)
     links = links.union(_dense_links(dense, sets, forest))

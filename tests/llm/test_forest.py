@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.forest import Forest, _filed, _open_pairs, _open_regions, _regions, near_duplicates
+from folioworks.llm.forest import Forest, _confirmed, _filed, _open_pairs, _open_regions, _regions, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,3 +185,14 @@ def test_walk_tells_the_regions_of_sorted_orders(spark, tasks):
     assert deepest <= several
     if tasks == 1:
         assert several == want_rows
+
+
+def test_texts_are_not_shuffled_for_few_pairs(spark, documents):
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words")])
+    # By its estimate this is a large table, as after the joins that pairs come from.
+    pairs = spark.range(5_000_000).filter("id = 1").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = _confirmed(pairs, docs, "doc_id", "text", Forest())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
