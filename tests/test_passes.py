@@ -523,3 +523,18 @@ def test_corpus_stream_leaves_nothing_but_results(spark, tmp_path):
     assert [r.container for r in spark.read.parquet(results).collect()] == ["a.docx"]
     run_corpus(spark, source, target, results, check, halve, SMALL)
     assert spark.read.parquet(results).count() == 1
+
+
+def test_drawn_pictures_go_from_their_task_to_slices(spark, sf_dir, monkeypatch):
+    """At size a batch of pictures is too large to be handed from one task's worker to another."""
+    from folioworks import standins
+
+    seen = []
+    monkeypatch.setattr(standins, "_write_packages", lambda media, listed, folder: seen.append(media))
+    monkeypatch.setattr(standins, "_written", {})
+    standins.vector_packages(spark, sf_dir)
+    assert [f.simpleString() for f in seen[0].schema if f.name.startswith("new_")] == [
+        "new_part_name:string", "new_slice:struct<file:string,offset:bigint,size:bigint>"
+    ]
+    rows = seen[0].collect()
+    assert len(rows) == len({(r.new_slice.file, r.new_slice.offset) for r in rows}) > 0
