@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import extended, forget_encoder, held_out
+from .tables import extended, forget_encoder, held_out, scratch_dir, stored
 
 # Byte classes: lower, upper, digit, blank, sentence marks, "!", "|", other signs, above ASCII.
 _CLASSES = 9
@@ -26,8 +26,9 @@ FEATURES = 16
 
 @dataclass(frozen=True)
 class Training:
-    """The model is fitted on at most ``documents`` labelled rows, the first by a
-    hash of their id, of at most ``most_lines`` lines each."""
+    """The model is fitted on all labelled rows that aren't held out, in groups of about
+    ``documents`` rows, dealt by a hash of their id; the groups' weights are averaged by
+    their lines.  Texts of more than ``most_lines`` lines teach in chains of so many."""
 
     documents: int = 4000
     most_lines: int = 400
@@ -154,50 +155,67 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model
     a clean paragraph in a bad document teaches nothing wrong.  Without both
     labels among the rows the score is constant at their share of label 1.
     """
-    chosen = (
+    known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id").limit(how.documents)
     )
+    base = scratch_dir(docs.sparkSession)
+    train = stored(docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "quality", "text"), f"{base}/train")
+    share = train.agg(F.count("*").alias("n"), F.mean("quality").alias("mean"), F.min("quality").alias("low"), F.max("quality").alias("high")).first()
+    if share.n == 0 or share.low == share.high:
+        return Model(np.zeros(1 + 3 * FEATURES), np.zeros((2, 2)), 0.0, float(_logit(np.array(share.mean if share.n else 0.5))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for batch in batches:
             for first, end, data, offsets in W.groups(batch.column(2)):
                 features, size, lines = line_features(data, offsets)
-                rows = [(features[i:j].tobytes(), size[i:j].tobytes()) for i, j in zip(lines[:-1], lines[1:])]
-                keep = [0 < n <= how.most_lines for n in np.diff(lines)]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first),
-                    pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
-                ], ["doc_id", "quality", "features", "size"]).filter(pa.array(keep))
-
-    # Both are bounded by the number of sampled rows.
-    sample = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-        .mapInArrow(run, "doc_id long, quality int, features binary, size binary").toArrow().sort_by("doc_id")
-    )
-    quality = sample.column("quality").to_numpy()
-    if len(np.unique(quality)) < 2:
-        share = float(quality.mean()) if len(quality) else 0.5
-        return Model(np.zeros(1 + 3 * FEATURES), np.zeros((2, 2)), 0.0, float(_logit(np.array(share))))
-    features = [np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v in sample.column("features").to_pylist()]
-    size = np.concatenate([np.frombuffer(v, np.float64) for v in sample.column("size").to_pylist()])
-    lines = np.concatenate([[0], np.cumsum([len(f) for f in features])])
-    x = _windowed(np.concatenate(features), lines).astype(np.float64)
-    label = np.repeat(quality, np.diff(lines))
-    weights, turn = _fit_chain(x, label, lines, how)
-    alone = x @ weights > 1
-    weights, turn = _fit_chain(x, np.where((label == 0) & alone, 1, label), lines, how)
-    good, _ = marginals(x @ weights, lines, turn)
-    z = _logit(_document_scores(good, size, lines))
+                ids, quality = (batch.column(k).slice(first, end - first).to_pylist() for k in (0, 1))
+                rows = [(ids[r], quality[r], at, features[at : min(at + how.most_lines, j)].tobytes())
+                        for r, (i, j) in enumerate(zip(lines[:-1].tolist(), lines[1:].tolist()))
+                        for at in range(i, j, how.most_lines)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
+                    ["doc_id", "quality", "at", "features"])
+
+    groups = max(1, round(share.n / how.documents))
+
+    def learned(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("at", "ascending")])
+        features = [np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v in table.column("features").to_pylist()]
+        lines = np.concatenate([[0], np.cumsum([len(f) for f in features])])
+        x = _windowed(np.concatenate(features), lines).astype(np.float64)
+        label = np.repeat(table.column("quality").to_numpy(), np.diff(lines))
+        weights, turn = _fit_chain(x, label, lines, how)
+        alone = x @ weights > 1
+        weights, turn = _fit_chain(x, np.where((label == 0) & alone, 1, label), lines, how)
+        return pa.table({"lines": pa.array([len(x)], pa.int64()), "w": pa.array([[*weights.tolist(), *turn.ravel().tolist()]])})
+
+    dealt = train.mapInArrow(chains, "doc_id long, quality int, at long, features binary").withColumn(
+        "group", F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(groups)))
+    fits = dealt.repartition(groups, "group").groupBy("group").applyInArrow(learned, "lines long, w array<double>")
+    n = 1 + 3 * FEATURES
+    means = stored(fits, f"{base}/fits").agg(*[
+        (F.sum(F.col("w")[k] * F.col("lines")) / F.sum("lines")).alias(f"w{k}") for k in range(n + 4)]).first()
+    if means[0] is None:  # no text has a line
+        return Model(np.zeros(n), np.zeros((2, 2)), 0.0, float(_logit(np.array(share.mean))))
+    mean = np.array(means)
+    bare = Model(mean[:n], mean[n:].reshape(2, 2), 1.0, 0.0)
+
+    # Logistic calibration of the document score, on all training rows with a line.
+    p = F.col("score")
+    seen = scored(train, bare, "score").filter(p > 0).select("quality", F.log(p / (1 - p)).alias("z"))
+    seen = stored(seen, f"{base}/seen")
     slope, shift = 1.0, 0.0
-    for _ in range(200):  # logistic calibration of the document score
-        p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-        g = np.array([((quality - p) * z).mean() - 1e-3 * slope, (quality - p).mean()])
-        h = p * (1 - p) + 1e-6
-        hessian = np.array([[(h * z * z).mean() + 1e-3, (h * z).mean()], [(h * z).mean(), h.mean()]])
-        slope, shift = np.array([slope, shift]) + 0.5 * np.linalg.solve(hessian, g)
-    return Model(weights, turn, float(max(slope, 0.0)), float(shift))
+    for _ in range(60):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z") * float(slope) + float(shift)))))
+        z, h, off = F.col("z"), p * (1 - p) + 1e-6, F.col("quality") - p
+        m = seen.agg(*(F.mean(c) for c in (off * z, off, h * z * z, h * z, h))).first()
+        step = 0.5 * np.linalg.solve(np.array([[m[2] + 1e-3, m[3]], [m[3], m[4]]]), np.array([m[0] - 1e-3 * slope, m[1]]))
+        slope, shift = slope + step[0], shift + step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return Model(bare.weights, bare.turn, float(max(slope, 0.0)), float(shift))
 
 
 def score_texts(column: pa.Array, model: Model) -> np.ndarray:

@@ -45,6 +45,17 @@ def test_quality_on_held_out_rows(spark, documents):
     assert {round(r.quality_score, 6) for r in crf.scored(docs.limit(5), empty).collect()} == {0.5}
 
 
+def test_every_labelled_row_teaches_quality(spark, documents):
+    good, bad = "A plain line of words.\n" * 3, "BUY NOW!!! ||| $$$ WIN!!!\n" * 3
+    docs = documents([(k, good if k % 2 else bad) for k in range(80)] + [(1000, "#;#;#\n" * 900)])
+    labels = docs.selectExpr("doc_id", "case when doc_id = 1000 then 0 else doc_id % 2 end as quality")
+    few, more = (crf.fit(docs, x, crf.Training(rounds=20)) for x in (labels.filter("doc_id < 1000"), labels))
+    assert not np.allclose(few.weights, more.weights)  # a text of 900 lines counts
+    grouped = crf.fit(docs, labels, crf.Training(documents=20, rounds=20))
+    score = {r.doc_id: r.quality_score for r in crf.scored(docs, grouped).collect()}
+    assert score[1] >= 0.7 > score[0] and score[1000] < 0.7
+
+
 def test_language_on_held_out_rows(spark, documents):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     model = langid.fit(docs)
