@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import words as W
 from .tables import extended, forget_encoder, held_out, scratch_dir, stored
 
@@ -23,6 +24,9 @@ _CLASS[ord("!")], _CLASS[ord("|")] = 5, 6
 
 FEATURES = 16
 
+# Rows judged at once when the score is calibrated.
+_ROWS = 500
+
 
 @dataclass(frozen=True)
 class Training:
@@ -147,6 +151,18 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _log_odds(features: np.ndarray, size: np.ndarray, lines: np.ndarray, model: Model) -> np.ndarray:
+    """The rows' document scores as log-odds, before calibration."""
+    good, _ = marginals(_windowed(features, lines) @ model.weights, lines, model.turn)
+    return _logit(_document_scores(good, size, lines))
+
+
+def _stacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' features that a binary column holds for each row, and the rows' line offsets."""
+    rows = [np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v in column.to_pylist()]
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+
+
 def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """Learn from labelled rows that aren't held out.
 
@@ -154,45 +170,55 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model
     low-quality documents that look good by themselves count as good, so that
     a clean paragraph in a bad document teaches nothing wrong.  Without both
     labels among the rows the score is constant at their share of label 1.
+
+    Features are made where the texts are read, of all rows that aren't held out; they,
+    not the texts, are joined with the labels.  The join is a merge at every size: what
+    moves grows with the lines, and no label table has to fit into a task.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     )
     base = scratch_dir(docs.sparkSession)
-    train = stored(docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "quality", "text"), f"{base}/train")
-    share = train.agg(F.count("*").alias("n"), F.mean("quality").alias("mean"), F.min("quality").alias("low"), F.max("quality").alias("high")).first()
-    if share.n == 0 or share.low == share.high:
-        return Model(np.zeros(1 + 3 * FEATURES), np.zeros((2, 2)), 0.0, float(_logit(np.array(share.mean if share.n else 0.5))))
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoder()
         for batch in batches:
-            for first, end, data, offsets in W.groups(batch.column(2)):
+            for first, end, data, offsets in W.groups(batch.column(1)):
                 features, size, lines = line_features(data, offsets)
-                ids, quality = (batch.column(k).slice(first, end - first).to_pylist() for k in (0, 1))
-                rows = [(ids[r], quality[r], at, features[at : min(at + how.most_lines, j)].tobytes())
-                        for r, (i, j) in enumerate(zip(lines[:-1].tolist(), lines[1:].tolist()))
-                        for at in range(i, j, how.most_lines)]
+                size, bounds = size.astype(np.uint32), list(zip(lines[:-1].tolist(), lines[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                    ["doc_id", "quality", "at", "features"])
+                    [batch.column(0).slice(first, end - first),
+                     *(pa.array([x[i:j].tobytes() for i, j in bounds], pa.binary()) for x in (features, size))],
+                    ["doc_id", "features", "sizes"])
+
+    texts = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    made = texts.mapInArrow(featured, extended(texts.select("doc_id"), "features binary, sizes binary"))
+    train = written(
+        made.join(known.hint("merge"), "doc_id").select("doc_id", "quality", "features", "sizes"),
+        f"{base}/train", large_rows=True)
+    share = train.agg(F.count("*").alias("n"), F.mean("quality").alias("mean"), F.min("quality").alias("low"), F.max("quality").alias("high")).first()
+    if share.n == 0 or share.low == share.high:
+        return Model(np.zeros(1 + 3 * FEATURES), np.zeros((2, 2)), 0.0, float(_logit(np.array(share.mean if share.n else 0.5))))
 
     groups = max(1, round(share.n / how.documents))
 
     def learned(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("at", "ascending")])
-        features = [np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v in table.column("features").to_pylist()]
-        lines = np.concatenate([[0], np.cumsum([len(f) for f in features])])
-        x = _windowed(np.concatenate(features), lines).astype(np.float64)
-        label = np.repeat(table.column("quality").to_numpy(), np.diff(lines))
+        table = table.sort_by("doc_id")
+        features, of_row = _stacked(table.column("features"))
+        count = np.diff(of_row)
+        chains = np.concatenate([np.diff(np.append(np.arange(0, n, how.most_lines), n)) for n in count.tolist()])
+        lines = np.concatenate([[0], np.cumsum(chains)])
+        x = _windowed(features, lines).astype(np.float64)
+        label = np.repeat(table.column("quality").to_numpy(), count)
         weights, turn = _fit_chain(x, label, lines, how)
         alone = x @ weights > 1
         weights, turn = _fit_chain(x, np.where((label == 0) & alone, 1, label), lines, how)
         return pa.table({"lines": pa.array([len(x)], pa.int64()), "w": pa.array([[*weights.tolist(), *turn.ravel().tolist()]])})
 
-    dealt = train.mapInArrow(chains, "doc_id long, quality int, at long, features binary").withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(groups)))
+    with_lines = train.filter(F.octet_length("sizes") > 0)
+    dealt = with_lines.select(
+        "doc_id", "quality", "features", F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(groups)).alias("group"))
     fits = dealt.repartition(groups, "group").groupBy("group").applyInArrow(learned, "lines long, w array<double>")
     n = 1 + 3 * FEATURES
     means = stored(fits, f"{base}/fits").agg(*[
@@ -202,9 +228,18 @@ def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model
     mean = np.array(means)
     bare = Model(mean[:n], mean[n:].reshape(2, 2), 1.0, 0.0)
 
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                quality, features, sizes = batch.slice(at, _ROWS).columns
+                features, lines = _stacked(features)
+                size = np.concatenate([np.frombuffer(v, np.uint32) for v in sizes.to_pylist()]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [quality, pa.array(_log_odds(features, size, lines, bare))], ["quality", "z"])
+
     # Logistic calibration of the document score, on all training rows with a line.
-    p = F.col("score")
-    seen = scored(train, bare, "score").filter(p > 0).select("quality", F.log(p / (1 - p)).alias("z"))
+    seen = with_lines.select("quality", "features", "sizes").mapInArrow(judged, "quality int, z double")
     seen = stored(seen, f"{base}/seen")
     slope, shift = 1.0, 0.0
     for _ in range(60):
@@ -222,9 +257,7 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     out = []
     for _, _, data, offsets in W.groups(column):
         features, size, lines = line_features(data, offsets)
-        x = _windowed(features, lines)
-        good, _ = marginals(x @ model.weights, lines, model.turn)
-        z = _logit(_document_scores(good, size, lines))
+        z = _log_odds(features, size, lines, model)
         p = 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -30, 30)))
         out.append(np.where(np.diff(lines) > 0, p, 0.0))
     return np.concatenate(out) if out else np.zeros(0)

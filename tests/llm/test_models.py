@@ -56,6 +56,21 @@ def test_every_labelled_row_teaches_quality(spark, documents):
     assert score[1] >= 0.7 > score[0] and score[1000] < 0.7
 
 
+def test_quality_moves_no_texts(spark, documents, monkeypatch, tmp_path):
+    # Long lines without repeats: a text is far larger than its lines' features.
+    docs = documents([(k, " ".join(f"{k}{'!' * (k % 2)}-{j * j * 7919 + k}" for j in range(9000))) for k in range(60)])
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    monkeypatch.setattr(crf, "scratch_dir", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        crf.fit(docs, labels, crf.Training(rounds=5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert stored < 200_000 < docs.agg(F.sum("n_chars")).first()[0] / 20
+
+
 def test_language_on_held_out_rows(spark, documents):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     model = langid.fit(docs)
