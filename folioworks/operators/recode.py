@@ -15,7 +15,7 @@ from ..functions.formats import MAGIC, format_mismatch, not_png
 from ..settings import DEFAULTS, Settings
 from ..sources.files import opened
 from ..sources.images import PICTURE, Decoder, Picture, picture
-from ..sources.packages import Batches, Share, by_package_slice, open_zip, read_member, read_parts
+from ..sources.packages import Batches, Share, by_package_slice, open_zip, read_member
 from ..sources.slices import SLICE, SliceWriter, as_struct, slice_writer
 from .classify import accept
 
@@ -51,6 +51,51 @@ def _recoded(
     return len(new), as_struct(slices.add(new)) if smaller else None, None
 
 
+def _right_format(head: bytes, extension: str) -> bool:
+    """Whether ``format_mismatch`` finds nothing against these first bytes."""
+    return any(
+        extension in extensions and head.startswith(bytes.fromhex(dict(MAGIC)[kind]))
+        for kind, extensions in (("PNG", fv.PNG_EXTENSIONS), ("JPEG", fv.JPEG_EXTENSIONS))
+    )
+
+
+def recode_fitting(
+    parts: DataFrame, codec: Codec, folder: str, share: Share = Share()
+) -> DataFrame:
+    """As :func:`recode`, for parts whose first bytes are what their names promise.
+
+    A part is opened once: of the others only the first bytes are read, and
+    ``format_reason`` says why they stay.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = Batches([*_RECODED_COLUMNS, "head"])
+        with opened(open_zip) as package, slice_writer(folder) as slices:
+            for frame in frames:
+                for container, path, ordinal, name, size, extension in frame.itertuples(
+                    index=False, name=None
+                ):
+                    done = (None, None, None)
+                    head, problem = read_member(package, path, ordinal, _HEAD_BYTES)
+                    if problem is None and _right_format(head, extension):
+                        old, problem = read_member(package, path, ordinal)
+                        if problem is None:
+                            size, done = len(old), _recoded(old, name, codec, slices)
+                    size = size if problem is None else None
+                    if batch.add((container, path, ordinal, name, size, *done, problem, head)):
+                        yield batch.take()
+        if batch.rows:
+            yield batch.take()
+
+    rows = parts.select(
+        "container", "path", "ordinal", "part_name", "file_size", ext("part_name").alias("extension")
+    )
+    recoded = by_package_slice(rows, share).mapInPandas(run, f"{_RECODED}, head binary")
+    # A damaged part goes on without a reason; ``decide`` reports it.
+    why = F.when(F.col("problem").isNull(), format_mismatch("head", ext("part_name")))
+    return recoded.withColumn("format_reason", why).drop("head")
+
+
 def recode(parts: DataFrame, codec: Codec, folder: str, share: Share = Share()) -> DataFrame:
     """Apply ``codec(content, part_name)`` to each part.
 
@@ -142,16 +187,3 @@ def decide(recoded: DataFrame, mode: str, settings: Settings = DEFAULTS) -> Data
             F.col("reason")
         ),
     )
-
-
-def check_formats(candidates: DataFrame, mode: str, share: Share = Share()) -> DataFrame:
-    """Add ``format_reason`` from the first bytes of each candidate."""
-    heads = read_parts(candidates, share, first_bytes=32)
-    if mode == "recompress":
-        why = format_mismatch("content", ext("part_name"))
-    else:
-        why = not_png("content")
-    # A damaged part goes on to the recode step, which reports it.
-    return heads.withColumn(
-        "format_reason", F.when(F.col("problem").isNull(), why)
-    ).drop("content", "problem")

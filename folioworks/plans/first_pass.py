@@ -11,7 +11,7 @@ from .. import fixed_values as fv
 from ..operators import outcomes as out
 from ..operators import reconcile as rec
 from ..operators.classify import classify_parts
-from ..operators.recode import DECISION_COLUMNS, Codec, check_formats, decide, recode
+from ..operators.recode import DECISION_COLUMNS, Codec, decide, recode_fitting
 from ..operators.skew import of_containers
 from ..session import registered, scratch_dir, tasks_for, written
 from ..settings import DEFAULTS, Settings
@@ -116,15 +116,10 @@ def run_first_pass(
     scanned = written(explode_parts(containers, tasks), f"{run}/scanned")
     parts = readable(scanned)
     classified = classify_parts(parts, settings)
-    checked = written(
-        check_formats(
-            classified.filter(F.col("disposition") == "candidate"), "recompress", share
-        ),
-        f"{run}/checked",
-    )
-    wanted = checked.filter(F.col("format_reason").isNull())
-    recoded = recode(wanted, codec, f"{run}/slices", share)
-    decided = written(decide(recoded, "recompress", settings), f"{run}/decided")
+    wanted = classified.filter(F.col("disposition") == "candidate")
+    recoded = written(recode_fitting(wanted, codec, f"{run}/slices", share), f"{run}/recoded")
+    decided = decide(recoded.filter(F.col("format_reason").isNull()), "recompress", settings)
+    misnamed = recoded.filter(F.col("format_reason").isNotNull())
 
     whole = containers.join(unreadable(scanned), "container", "left_anti")
     replacements = decided.filter("accepted").select(
@@ -161,7 +156,9 @@ def run_first_pass(
     stopped = violations.filter(F.col("rule_no") == rec.RULE_READABLE).select("container")
     decisions = (
         undecided(classified.filter(F.col("disposition") == "kept"), "reason")
-        .unionByName(undecided(checked.filter(F.col("format_reason").isNotNull()), "format_reason"))
+        .unionByName(
+            undecided(misnamed.withColumnRenamed("old_size", "file_size"), "format_reason")
+        )
         .unionByName(decided.select(*DECISION_COLUMNS))
     )
     decisions = written(of_containers(decisions, stopped, "left_anti"), f"{run}/decisions")

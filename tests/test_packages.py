@@ -98,6 +98,14 @@ def test_contents_and_checksums(spark, folder):
     assert not any(r.crc_ok for r in pk.check_parts(wrong).collect())
 
 
+def test_large_contents_stay_with_their_rows(spark, tmp_path):
+    sizes = {f"{k}.txt": 18_000_000 + k for k in range(4)}
+    write_package(tmp_path / "big.docx", {k: b"x" * n for k, n in sizes.items()})
+    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
+    read = pk.read_parts(parts, pk.Share(tasks=1)).select("part_name", "file_size", F.octet_length("content").alias("n"))
+    assert {r.part_name: (r.file_size, r.n) for r in read.collect()} == {k: (n, n) for k, n in sizes.items()}
+
+
 def test_damaged_member_is_reported_not_raised(spark, tmp_path):
     path = write_package(tmp_path / "d.docx", {"a.raw": b"A" * 200, "b.txt": b"fine"})
     data = bytearray(open(path, "rb").read())

@@ -17,7 +17,7 @@ from folioworks.plans import publish as pub
 from folioworks.plans.first_pass import run_first_pass
 from folioworks.plans.report import LINE_ORDER, render_report, write_report
 from folioworks.plans.second_pass import redeclare, retarget, run_second_pass
-from folioworks.session import scratch_dir
+from folioworks.session import scratch_dir, written
 from folioworks.settings import Settings
 from folioworks.sources import packages as pk
 from folioworks.sources.images import head_profile, inspect_images, sampled_colors
@@ -397,6 +397,50 @@ def test_heads_of_other_formats(spark):
     assert got == {k: v[1] for k, v in heads.items()}
 
 
+def test_first_pass_opens_candidates_once(spark, first, tmp_path, monkeypatch):
+    """Formats are checked where parts are recoded, checksums once; every core has several tasks."""
+    calls, deal = [], pk.by_package_slice
+
+    def spy(parts, share):
+        calls.append(share.tasks)
+        return deal(parts, share)
+
+    monkeypatch.setattr(rc, "by_package_slice", spy)
+    monkeypatch.setattr(pk, "by_package_slice", spy)
+    _, source, _ = first
+    run_first_pass(spark, str(source), str(tmp_path / "out"), halve, SMALL)
+    assert len(calls) == 2 and min(calls) > spark.sparkContext.defaultParallelism
+
+
+def test_only_fitting_formats_meet_the_codec(spark, tmp_path):
+    log, png, jpeg = tmp_path / "log", bytes.fromhex("89504E470D0A1A0A"), bytes.fromhex("FFD8FF")
+    found = {"a.png": png + b"a" * 90, "b.png": jpeg + b"b" * 90, "c.jpeg": jpeg + b"c" * 90, "d.JPG": jpeg + b"d" * 90,
+             "e.jpg": png + b"e" * 90, "f.png": b"", "g.png": png[:5], "h.jpeg": b"GIF89a", "i.gif": png + b"i" * 90}
+    write_package(tmp_path / "a.docx", {f"word/media/{k}": v for k, v in found.items()})
+
+    def codec(content, name):
+        with open(log, "a") as out:
+            out.write(f"{name[11:]}\n")
+        return content[:-9]
+
+    parts = pk.readable(pk.explode_parts(pk.list_containers(spark, str(tmp_path))))
+    done = written(rc.recode_fitting(parts, codec, str(tmp_path / "slices")), str(tmp_path / "done")).collect()
+    fitting = {r.part_name[11:] for r in done if r.format_reason is None}
+    assert sorted(log.read_text().split()) == sorted(fitting) == ["a.png", "c.jpeg", "d.JPG"]
+    assert all((r.new_size == r.old_size - 9) == (r.part_name[11:] in fitting) for r in done if r.new_size)
+    assert {r.part_name[11:]: r.old_size for r in done} == {k: len(v) for k, v in found.items()}
+
+
+def test_a_task_reports_all_its_packages(spark, tmp_path):
+    heads = spark.range(600).selectExpr("concat('p', id, '.docx') as container", "cast(null as string) as path")
+    bodies = heads.select("container", F.lit(0).alias("ordinal"), F.lit("a.txt").alias("new_part_name"),
+                          F.encode("container", "UTF-8").alias("new_content"))
+    bodies = written(stored_contents(bodies, str(tmp_path / "slices")), str(tmp_path / "bodies"))
+    done = pub.write_packages(heads, bodies, str(tmp_path / "out"), 1).collect()
+    assert len({r.container for r in done}) == len(done) == 600
+    assert members(tmp_path / "out/p599.docx") == {"a.txt": b"p599.docx"}
+
+
 def test_a_candidate_is_opened_once(spark, tmp_path):
     """The decoder and the codec meet the same bytes in one task, each part once."""
     log = tmp_path / "log"
