@@ -15,7 +15,7 @@ from ..functions.formats import MAGIC, format_mismatch, not_png
 from ..settings import DEFAULTS, Settings
 from ..sources.files import opened
 from ..sources.images import PICTURE, Decoder, Picture, picture
-from ..sources.packages import Batches, Share, by_package_slice, open_zip, read_member
+from ..sources.packages import DAMAGED, Batches, Share, by_package_slice, open_zip, read_member
 from ..sources.slices import SLICE, SliceWriter, as_struct, slice_writer
 from .classify import accept
 
@@ -51,12 +51,26 @@ def _recoded(
     return len(new), as_struct(slices.add(new)) if smaller else None, None
 
 
-def _right_format(head: bytes, extension: str) -> bool:
-    """Whether ``format_mismatch`` finds nothing against these first bytes."""
-    return any(
-        extension in extensions and head.startswith(bytes.fromhex(dict(MAGIC)[kind]))
-        for kind, extensions in (("PNG", fv.PNG_EXTENSIONS), ("JPEG", fv.JPEG_EXTENSIONS))
-    )
+_MARK_OF = {
+    extension: bytes.fromhex(dict(MAGIC)[kind])
+    for kind, extensions in (("PNG", fv.PNG_EXTENSIONS), ("JPEG", fv.JPEG_EXTENSIONS))
+    for extension in extensions
+}
+
+
+def _read_fitting(package, path: str, ordinal: int, extension: str) -> tuple:
+    """First bytes; the whole content where ``format_mismatch`` finds nothing against
+    them; what is wrong with the part, as far as it was read."""
+    head = None
+    try:
+        z = package(path)
+        with z.open(z.infolist()[ordinal]) as member:
+            head = member.read(_HEAD_BYTES)
+            if extension in _MARK_OF and head.startswith(_MARK_OF[extension]):
+                return head, head + member.read(), None
+            return head, None, None
+    except DAMAGED as problem:
+        return head, None, str(problem) or repr(problem)
 
 
 def recode_fitting(
@@ -76,12 +90,11 @@ def recode_fitting(
                     index=False, name=None
                 ):
                     done = (None, None, None)
-                    head, problem = read_member(package, path, ordinal, _HEAD_BYTES)
-                    if problem is None and _right_format(head, extension):
-                        old, problem = read_member(package, path, ordinal)
-                        if problem is None:
-                            size, done = len(old), _recoded(old, name, codec, slices)
-                    size = size if problem is None else None
+                    head, old, problem = _read_fitting(package, path, ordinal, extension)
+                    if problem is not None:
+                        size = None
+                    elif old is not None:
+                        size, done = len(old), _recoded(old, name, codec, slices)
                     if batch.add((container, path, ordinal, name, size, *done, problem, head)):
                         yield batch.take()
         if batch.rows:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
+import timeit
 import zipfile
 
 import numpy as np
@@ -22,7 +24,7 @@ from folioworks.settings import Settings
 from folioworks.sources import packages as pk
 from folioworks.sources.images import head_profile, inspect_images, sampled_colors
 from folioworks.sources.slices import stored_contents
-from folioworks.standins import png_bytes, repack_png, unpack_png
+from folioworks.standins import collapse_spaces, png_bytes, repack_png, unpack_png
 from folioworks.streaming import run_corpus
 
 from fixtures import BASE, IMAGE, exact_colors, main_part, noise, photo, rels, types, write_package
@@ -431,6 +433,16 @@ def test_only_fitting_formats_meet_the_codec(spark, tmp_path):
     assert {r.part_name[11:]: r.old_size for r in done} == {k: len(v) for k, v in found.items()}
 
 
+def test_collapsed_spaces():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 50, 5000):
+        content = bytes(rng.choice(np.frombuffer(b"  \t\r\n\v\f\0a\xe9", np.uint8), n))
+        assert collapse_spaces(content, "x") == re.sub(rb"[ \t\r\n]+", b" ", content)
+    content = b"some plain words \n " * 20_000
+    assert min(timeit.repeat(lambda: collapse_spaces(content, "x"), number=3, repeat=3)) < min(
+        timeit.repeat(lambda: re.sub(rb"[ \t\r\n]+", b" ", content), number=3, repeat=3)) / 2
+
+
 def test_a_task_reports_all_its_packages(spark, tmp_path):
     heads = spark.range(600).selectExpr("concat('p', id, '.docx') as container", "cast(null as string) as path")
     bodies = heads.select("container", F.lit(0).alias("ordinal"), F.lit("a.txt").alias("new_part_name"),
